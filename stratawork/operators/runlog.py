@@ -43,7 +43,8 @@ def _valid_json(text: Column) -> Column:
 
 def _phase(name: str, moment: str) -> Column:
     phase = F.filter("timing", lambda t: t["name"] == name)
-    return F.try_element_at(phase, F.lit(1))[moment]
+    # The moments are UTC text with or without a zone mark, which the cast leaves out.
+    return F.try_element_at(phase, F.lit(1))[moment].cast("timestamp_ntz")
 
 
 def execution_rows(

@@ -11,7 +11,7 @@ CLIMATE_HOURLY = (
 # Run artifacts as JSON. A nested object read as string keeps its JSON text.
 RUN_RESULT = (
     "status string, thread_id string, execution_time double, message string, failures int, adapter_response string, "
-    "timing array<struct<name: string, started_at: timestamp_ntz, completed_at: timestamp_ntz>>, "
+    "timing array<struct<name: string, started_at: string, completed_at: string>>, "
     "node struct<unique_id: string, resource_type: string, schema: string, name: string, alias: string, "
     "config: struct<materialized: string, full_refresh: boolean>>"
 )
