@@ -10,6 +10,7 @@ from ..functions import time_simple
 from ..operators import dense_sequence, dimension, join_reference, typed, with_unknown_members
 from ..plans import calendar as full_calendar
 from ..plans import (
+    calendar_bytes,
     calendar_dimension,
     date_spine,
     holidays,
@@ -22,11 +23,13 @@ from .inputs import UNKNOWN
 from .registry import query, read
 
 
-def calendar_of(spark: SparkSession, df: DataFrame, date_col: str) -> DataFrame:
-    """The calendar of the years a table covers."""
-    spine = date_spine(spark, *year_span(df, date_col))
+def calendar_of(spark: SparkSession, df: DataFrame, date_col: str) -> tuple[DataFrame, int]:
+    """The calendar of the years a table covers, and the most bytes it can have."""
+    years = year_span(df, date_col)
+    spine = date_spine(spark, *years)
     named = holidays(spine, fixed_values.nl_holidays(spark))
-    return full_calendar(spine, fixed_values.months(spark), fixed_values.weekdays(spark), named)
+    days = full_calendar(spine, fixed_values.months(spark), fixed_values.weekdays(spark), named)
+    return days, calendar_bytes(*years)
 
 
 SPINE = """
@@ -158,7 +161,7 @@ FROM parts p LEFT JOIN holiday h ON h.date = p.date LEFT JOIN per_day o ON o.dat
 """)
 def calendar_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full calendar of the orders' years, with the number of orders per day."""
-    days = calendar_of(spark, read(spark, sf_dir, "orders"), "o_orderdate")
+    days, _ = calendar_of(spark, read(spark, sf_dir, "orders"), "o_orderdate")
     return days.join(_orders_per_day(spark, sf_dir), "date", "left").na.fill(0, ["orders"])
 
 
@@ -172,7 +175,7 @@ FROM c JOIN per_day o ON o.date = c.date
 """)
 def calendar_dimension_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The calendar dimension on the days that have orders."""
-    days = calendar_dimension(calendar_of(spark, read(spark, sf_dir, "orders"), "o_orderdate"))
+    days = calendar_dimension(calendar_of(spark, read(spark, sf_dir, "orders"), "o_orderdate")[0])
     return days.join(_orders_per_day(spark, sf_dir), "date")
 
 
@@ -195,11 +198,10 @@ FROM orders LEFT JOIN holiday h ON h.date = CAST(o_orderdate AS DATE)
 """)
 def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with month, weekday and holiday labels from three reference tables."""
-    days = calendar_of(spark, read(spark, sf_dir, "orders"), "o_orderdate").select(
-        "date", "month_name", F.col("week_day_name").alias("weekday_name"), "holiday_name"
-    )
+    days, size = calendar_of(spark, read(spark, sf_dir, "orders"), "o_orderdate")
+    labels = days.select("date", "month_name", F.col("week_day_name").alias("weekday_name"), "holiday_name")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
-    return join_reference(orders, days, ["date"]).drop("date")
+    return join_reference(orders, labels, ["date"], known_bytes=size).drop("date")
 
 
 @query("""

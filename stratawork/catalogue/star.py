@@ -13,6 +13,7 @@ from ..operators import (
     dimension,
     flatten_star,
     lookup,
+    measured_bytes,
     orphan_rows,
     reconcile_keys,
     with_unknown_members,
@@ -43,7 +44,10 @@ def measure_dimension(spark: SparkSession) -> DataFrame:
     )
 
 
-def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Fact and dimensions, and the size of the larger dimension, measured once for all joins."""
+    suppliers, measures = supplier_dimension(spark, sf_dir), measure_dimension(spark)
+    size = max(measured_bytes(suppliers), measured_bytes(measures))
     keyed = long_lines(spark, sf_dir).select(
         surrogate_key("l_orderkey", "l_linenumber", "measure_code").alias("id_fct__shop__measure"),
         "l_suppkey",
@@ -52,9 +56,9 @@ def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("shipped_at"),
         "measure_value",
     )
-    keyed = lookup(keyed, supplier_dimension(spark, sf_dir), {"l_suppkey": "s_suppkey"}, SUPPLIER)
-    keyed = lookup(keyed, measure_dimension(spark), "measure_code", MEASURE)
-    return keyed.drop("l_suppkey", "measure_code")
+    keyed = lookup(keyed, suppliers, {"l_suppkey": "s_suppkey"}, SUPPLIER, known_bytes=size)
+    keyed = lookup(keyed, measures, "measure_code", MEASURE, known_bytes=size)
+    return keyed.drop("l_suppkey", "measure_code"), suppliers, measures, size
 
 
 FACT = f"""
@@ -78,7 +82,7 @@ fact AS (
 @query(f"WITH {FACT} SELECT * FROM fact")
 def fact_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line and measure, with dimension keys; a supplier in debt is unknown."""
-    return _fact(spark, sf_dir)
+    return _star(spark, sf_dir)[0]
 
 
 @query(f"""
@@ -88,17 +92,19 @@ FROM fact JOIN suppliers USING ({SUPPLIER}) JOIN measures USING ({MEASURE})
 """)
 def flat_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The star flattened: one row per measure with supplier and measure attributes."""
+    fact, suppliers, measures, size = _star(spark, sf_dir)
     flat = flatten_star(
-        _fact(spark, sf_dir),
+        fact,
         [
-            (supplier_dimension(spark, sf_dir), SUPPLIER, ["s_suppkey", "s_name", "s_acctbal"]),
-            (measure_dimension(spark), MEASURE, ["measure_code", "measure_name"]),
+            (suppliers, SUPPLIER, ["s_suppkey", "s_name", "s_acctbal"]),
+            (measures, MEASURE, ["measure_code", "measure_name"]),
         ],
+        known_bytes=size,
     )
     return flat.drop("id_fct__shop__measure")
 
 
-def _station_star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _station_star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     unknown = fixed_values.unknown_members(spark)
     stations = read(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(
         F.col("c_custkey").cast("int").alias("station_code"),
@@ -111,7 +117,9 @@ def _station_star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     types = measurement_type_dimension(
         stage_measurement_types(fixed_values.measurement_types(spark)), unknown
     )
-    return measurement_fact(measured_hours(spark, sf_dir), stations, types), stations, types
+    size = max(measured_bytes(stations), measured_bytes(types))
+    fact = measurement_fact(measured_hours(spark, sf_dir), stations, types, known_bytes=size)
+    return fact, stations, types, size
 
 
 TYPES = "types(code, name, unit) AS (VALUES " + ", ".join(
@@ -153,7 +161,8 @@ FROM station_fact JOIN stations ON station_key = id_dim__weather__knmi_station J
 """)
 def station_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly fact flattened into one row per station, hour and measurement type."""
-    return station_weather(*_station_star(spark, sf_dir))
+    fact, stations, types, size = _station_star(spark, sf_dir)
+    return station_weather(fact, stations, types, known_bytes=size)
 
 
 @query(f"""
@@ -200,7 +209,7 @@ FROM orders GROUP BY 1, 2, 3
 def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders per priority and month through the calendar dimension."""
     orders = read(spark, sf_dir, "orders")
-    days = calendar_dimension(calendar_of(spark, orders, "o_orderdate"))
+    days, size = calendar_of(spark, orders, "o_orderdate")
     fact = orders.select(
         "o_orderkey",
         "o_orderpriority",
@@ -210,11 +219,12 @@ def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return calendar_rollup(
         fact,
-        days,
+        calendar_dimension(days),
         "id_dim__common__calendar",
         ["year_nr", "month_nr"],
         {"o_totalprice": "sum", "o_orderkey": "count", "o_orderstatus": "max"},
         ["o_orderpriority"],
+        known_bytes=size,
     )
 
 

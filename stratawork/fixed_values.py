@@ -81,51 +81,69 @@ NL_HOLIDAYS = [
 ]
 
 
+def code_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from literal rows. It is part of the plan itself: no job, no Python worker, known size."""
+
+    def literal(value: object) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(value)
+
+    fields = [field.split() for field in schema.split(", ")]
+    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
+    values = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(name for name, _ in fields)})")
+
+
 def months(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MONTHS, "month_nr int, month_code string, month_name string")
+    return code_table(spark, MONTHS, "month_nr int, month_code string, month_name string")
 
 
 def weekdays(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(WEEKDAYS, "weekday_nr int, weekday_code string, weekday_name string")
+    return code_table(spark, WEEKDAYS, "weekday_nr int, weekday_code string, weekday_name string")
 
 
 def unknown_members(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(
+    return code_table(
+        spark,
         UNKNOWN_MEMBERS,
-        "unknown_id string, unknown_code string, unknown_name string, unknown_desc string, "
-        "unknown_date string, unknown_sort string",
-    )
-    return rows.selectExpr(
-        "cast(unknown_id as int) unknown_id", "unknown_code", "unknown_name", "unknown_desc",
-        "cast(unknown_date as date) unknown_date", "cast(unknown_sort as int) unknown_sort",
+        "unknown_id int, unknown_code string, unknown_name string, unknown_desc string, unknown_date date, "
+        "unknown_sort int",
     )
 
 
 def environments(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+    return code_table(
+        spark,
         ENVIRONMENTS,
-        "environment_code string, environment_name string, environment_alias string, "
-        "environment_desc string, environment_sort string",
+        "environment_code string, environment_name string, environment_alias string, environment_desc string, "
+        "environment_sort string",
     )
 
 
 def stations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        STATIONS, "station_code string, station_name string, longitude string, latitude string, elevation_m string"
+    return code_table(
+        spark,
+        STATIONS,
+        "station_code string, station_name string, longitude string, latitude string, elevation_m string",
     )
 
 
 def measurement_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+    return code_table(
+        spark,
         MEASUREMENT_TYPES,
-        "measurement_type_code string, measurement_type_name string, measurement_type_desc string, "
-        "unit string, measurement_type_sort string",
+        "measurement_type_code string, measurement_type_name string, measurement_type_desc string, unit string, "
+        "measurement_type_sort string",
     )
 
 
 def nl_holidays(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+    return code_table(
+        spark,
         NL_HOLIDAYS,
-        "holiday_name string, month int, day int, easter_offset int, first_year int, last_year int, "
-        "every_years int, sunday_shift int",
+        "holiday_name string, month int, day int, easter_offset int, first_year int, last_year int, every_years int, "
+        "sunday_shift int",
     )

@@ -44,14 +44,17 @@ def join_reference(
     how: str = "left",
     max_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
+    known_bytes: int | None = None,
 ) -> DataFrame:
     """Join on equal columns; broadcast the reference if it fits, else shuffle with salted keys.
 
     Only for left, inner, left_semi and left_anti joins: a reference row exists once per salt.
+    `known_bytes` is an upper bound the caller can prove, such as rows per year times years; it
+    saves the measuring.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"not a reference join: {how}")
-    if measured_bytes(reference) <= max_bytes:
+    if (measured_bytes(reference) if known_bytes is None else known_bytes) <= max_bytes:
         return large.join(F.broadcast(reference), on, how)
     copies = reference.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return large.withColumn("_salt", _salt(large, salts)).join(copies, [*on, "_salt"], how).drop("_salt")
@@ -75,7 +78,7 @@ def lookup(
     side = dim.select(*[F.col(d).alias(f"_lk_{f}") for f, d in pairs.items()], F.col(key).alias("_lk_key"))
     for f, d in pairs.items():
         side = side.withColumn(f"_lk_{f}", F.col(f"_lk_{f}").cast(fact.schema[f].dataType))
-    side = side.dropna(subset=[f"_lk_{f}" for f in pairs])
+        side = side.filter(F.col(f"_lk_{f}").isNotNull())
     keyed = fact.select("*", *[F.col(f).alias(f"_lk_{f}") for f in pairs])
     joined = join_reference(keyed, side, [f"_lk_{f}" for f in pairs], "left", **join_options)
     return joined.select(

@@ -100,9 +100,10 @@ def merge_into(
 ) -> None:
     """Upsert a batch into the Parquet table at `path` (write).
 
-    Only the partitions the batch touches are read and rewritten. They are written to
-    `<path>__staging` first and swapped in from there, so a job that dies on the way never loses
-    rows: before the swap the table is untouched, and a cut-off swap is repeated by the next merge.
+    The batch is read and deduplicated once, into `<path>__batch`. Only the partitions it touches are
+    read from the table and rewritten: first to `<path>__staging`, then swapped in from there. So a
+    job that dies on the way never loses rows: before the swap the table is untouched, and a cut-off
+    swap is repeated by the next merge. Both staging folders are emptied afterwards.
     The partition columns must be part of the key, or a moved row would leave its old copy behind.
     `newest_wins` compares both sides by `order` instead of letting the batch win.
     """
@@ -110,17 +111,24 @@ def merge_into(
     if not set(partition_by) <= set(keys):
         raise ValueError("the partition columns must be part of the key")
     schema = StructType([f for f in batch.schema if f.name not in partition_by] + [batch.schema[c] for c in partition_by])
-    batch = batch.select(*schema.names)
+    latest = latest_per_key(batch.select(*schema.names), keys, order)
     if not path_exists(spark, path):
-        write_table(latest_per_key(batch, keys, order), path, "overwrite", partition_by)
+        write_table(latest, path, "replace", partition_by)
         return
     _finish_pending(spark, path, schema, partition_by)
+    write_table(latest, f"{path}__batch", "replace", partition_by)
+    staged = _table(spark, f"{path}__batch", schema)
     existing = _table(spark, path, schema)
     if partition_by:
-        existing = existing.filter(_touched(batch, partition_by))
-    merge = merge_latest if newest_wins else merge_upsert
-    write_table(merge(existing, batch, keys, order), f"{path}__staging", "replace", partition_by)
+        existing = existing.filter(_touched(staged, partition_by))
+    if newest_wins:
+        merged = merge_latest(existing, staged, keys, order)
+    else:
+        # One row per key already. Spark knows the size of the staged keys and broadcasts them if they are few.
+        merged = existing.join(staged.select(*keys), keys, "left_anti").unionByName(staged)
+    write_table(merged, f"{path}__staging", "replace", partition_by)
     _swap_in(spark, path, schema, partition_by)
+    _empty(spark, f"{path}__batch", schema)
 
 
 def full_refresh(

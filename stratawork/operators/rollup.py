@@ -18,7 +18,13 @@ def daily_rollup(
 
 
 def calendar_rollup(
-    fact: DataFrame, calendar: DataFrame, key: str, by: list[str], measures: dict[str, str], entity: list[str] = ()
+    fact: DataFrame,
+    calendar: DataFrame,
+    key: str,
+    by: list[str],
+    measures: dict[str, str],
+    entity: list[str] = (),
+    **join_options: int,
 ) -> DataFrame:
     """Measures per calendar period, through the calendar key of the fact.
 
@@ -29,7 +35,7 @@ def calendar_rollup(
     first = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
     names = {column: f"{column}_{how}" for column, how in measures.items()}
     daily = fact.groupBy(*entity, key).agg(*[first[how](c).alias(names[c]) for c, how in measures.items()])
-    labelled = join_reference(daily, calendar.select(key, *by), [key], "inner")
+    labelled = join_reference(daily, calendar.select(key, *by), [key], "inner", **join_options)
     return labelled.groupBy(*entity, *by).agg(*[again[how](names[c]).alias(names[c]) for c, how in measures.items()])
 
 

@@ -1,6 +1,14 @@
 """Whole models: generated dimensions and the weather chain."""
 
-from .calendar import calendar, calendar_dimension, date_spine, integer_series, with_sentinels, year_span
+from .calendar import (
+    calendar,
+    calendar_bytes,
+    calendar_dimension,
+    date_spine,
+    integer_series,
+    with_sentinels,
+    year_span,
+)
 from .holidays import holidays
 from .time_of_day import day_part, time_dimension, time_of_day
 

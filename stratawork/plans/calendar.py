@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..fixed_values import code_table
 from ..functions import (
     FIRST_SENTINEL,
     LAST_SENTINEL,
@@ -25,6 +26,11 @@ from ..functions import (
 EPOCH = date(1900, 1, 1)
 
 
+def calendar_bytes(start_year: int, end_year: int) -> int:
+    """An upper bound of a calendar's size: its days times a generous row."""
+    return (end_year - start_year + 1) * 366 * 1024
+
+
 def integer_series(spark: SparkSession, n: int) -> DataFrame:
     """0 .. n-1 in the column `n`."""
     return spark.range(n).withColumnRenamed("id", "n")
@@ -57,14 +63,12 @@ def year_span(df: DataFrame, date_col: str) -> tuple[int, int]:
 
 def with_sentinels(spine: DataFrame) -> DataFrame:
     """The spine plus the two dates that mean 'no date'."""
-    spark = spine.sparkSession
-    ends = spark.createDataFrame(
+    ends = code_table(
+        spine.sparkSession,
         [(0, FIRST_SENTINEL, f"{FIRST_SENTINEL} 00:00:00"), (99999999, LAST_SENTINEL, f"{LAST_SENTINEL} 23:59:59")],
-        "day int, date string, date_time string",
-    )
-    return spine.unionByName(
-        ends.select("day", F.col("date").cast("date"), F.col("date_time").cast("timestamp_ntz"))
+        "day int, date date, date_time timestamp_ntz",
     )
+    return spine.unionByName(ends)
 
 
 def calendar(spine: DataFrame, months: DataFrame, weekdays: DataFrame, holidays: DataFrame) -> DataFrame:

@@ -20,13 +20,14 @@ def holidays(spine: DataFrame, rules: DataFrame, date: str = "date") -> DataFram
     on one date are listed in one name.
     """
     years = spine.filter(F.col(date).isNotNull()).select(F.year(date).alias("year")).distinct()
+    years = years.withColumn("easter", easter_sunday("year"))
     holds = (
         (F.coalesce("first_year", F.lit(0)) <= F.col("year"))
         & (F.coalesce("last_year", F.lit(9999)) >= F.col("year"))
         & (F.col("year") % F.coalesce("every_years", F.lit(1)) == 0)
     )
     fixed = F.make_date("year", "month", "day")
-    movable = F.date_add(easter_sunday("year"), F.coalesce("easter_offset", F.lit(0)))
+    movable = F.date_add("easter", F.coalesce("easter_offset", F.lit(0)))
     nominal = F.when(F.col("easter_offset").isNull(), fixed).otherwise(movable)
     shift = F.when(weekday_nr("nominal") == 7, F.coalesce("sunday_shift", F.lit(0))).otherwise(0)
     named = (
@@ -37,4 +38,4 @@ def holidays(spine: DataFrame, rules: DataFrame, date: str = "date") -> DataFram
         .groupBy(date)
         .agg(F.concat_ws("; ", F.array_sort(F.collect_set("holiday_name"))).alias("holiday_name"))
     )
-    return named.join(spine.select(date).distinct(), date, "left_semi")
+    return named.join(spine.select(date), date, "left_semi")

@@ -130,7 +130,7 @@ def environment_dimension(environments: DataFrame, unknown: DataFrame) -> DataFr
     )
 
 
-def measurement_fact(long: DataFrame, stations: DataFrame, types: DataFrame) -> DataFrame:
+def measurement_fact(long: DataFrame, stations: DataFrame, types: DataFrame, **join_options: int) -> DataFrame:
     """One row per measurement. The calendar and time keys point at the start of the hour that ended."""
     start = shift_hours("observed_at", -1)
     keyed = long.select(
@@ -144,8 +144,10 @@ def measurement_fact(long: DataFrame, stations: DataFrame, types: DataFrame) ->
         "observed_at",
         "measurement_value",
     )
-    keyed = lookup(keyed, stations, "station_code", "id_dim__weather__knmi_station")
-    keyed = lookup(keyed, types, "measurement_type_code", "id_dim__weather__knmi_measurement_type")
+    keyed = lookup(keyed, stations, "station_code", "id_dim__weather__knmi_station", **join_options)
+    keyed = lookup(
+        keyed, types, "measurement_type_code", "id_dim__weather__knmi_measurement_type", **join_options
+    )
     return keyed.select(
         "id_fct__weather__knmi_measurement",
         "id_dim__weather__knmi_station",
@@ -157,7 +159,7 @@ def measurement_fact(long: DataFrame, stations: DataFrame, types: DataFrame) ->
     )
 
 
-def station_weather(fact: DataFrame, stations: DataFrame, types: DataFrame) -> DataFrame:
+def station_weather(fact: DataFrame, stations: DataFrame, types: DataFrame, **join_options: int) -> DataFrame:
     """The exposed product: one flat row per measurement with station and type attributes."""
     flat = flatten_star(
         fact,
@@ -169,6 +171,7 @@ def station_weather(fact: DataFrame, stations: DataFrame, types: DataFrame) -> D
                 ["measurement_type_code", "measurement_type_name", "unit"],
             ),
         ],
+        **join_options,
     )
     return flat.select(
         "station_code", "station_name", "latitude", "longitude", "observed_at", "measurement_type_code",
