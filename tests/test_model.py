@@ -17,6 +17,7 @@ from stratawork.operators import (
     dense_sequence,
     describe_columns,
     flatten_star,
+    hot_keys,
     join_reference,
     lookup,
     measured_bytes,
@@ -144,7 +145,7 @@ def test_salted_and_broadcast_joins_agree_with_a_plain_join(spark, how, max_byte
     joined = join_reference(large, small, ["k"], how, max_bytes=max_bytes, salts=4)
     assert sorted(map(str, joined.collect())) == plain
     physical = joined._jdf.queryExecution().sparkPlan().toString()
-    assert ("Salt" in physical or "_salt" in physical) == (max_bytes == 0)
+    assert ("_salt" in physical) == (max_bytes == 0)
 
 
 def test_salting_spreads_a_hot_key(spark):
@@ -162,6 +163,25 @@ def test_salting_spreads_a_hot_key(spark):
     assert len(hot) > 1 and max(r["count"] for r in hot) < 3000
 
 
+def test_hot_keys_are_found_and_only_they_are_salted(spark):
+    keys = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id")).alias("k")
+    )
+    expected = spark.range(1).select(F.xxhash64(F.lit(7).cast("bigint")), F.xxhash64(F.lit(None).cast("bigint"))).first()
+    assert set(hot_keys(keys, ["k"])) == set(expected)
+    assert hot_keys(spark.range(10_000), ["id"]) == []
+    assert hot_keys(spark.range(0), ["id"]) == []
+    even = join_reference(spark.range(10_000), spark.range(5_000), ["id"], "left_semi", max_bytes=0)
+    assert even.count() == 5_000 and "_salt" not in even._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_key_types_may_differ(spark):
+    large = spark.range(3000).select((F.col("id") % 2).cast("int").alias("k"))
+    reference = spark.createDataFrame([(1, "one"), (1 << 40, "big")], "k bigint, name string")
+    joined = join_reference(large, reference, ["k"], "inner", max_bytes=0)
+    assert joined.count() == 1500
+
+
 def test_only_reference_joins(spark):
     with pytest.raises(ValueError):
         join_reference(spark.range(1), spark.range(1), ["id"], "full")
