@@ -62,7 +62,9 @@ def join_reference(
 
     Only for left, inner, left_semi and left_anti joins, where a reference row may exist once per
     salt. `known_bytes` is an upper bound the caller can prove, such as rows per year times years;
-    it saves the measuring. `salts` defaults to the number of shuffle partitions.
+    it saves the measuring. `salts` defaults to the number of shuffle partitions. Measuring runs the
+    reference's plan once more, and finding hot keys the key columns of the large side: write either
+    to a table first if it is expensive to compute.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"not a reference join: {how}")
@@ -97,7 +99,7 @@ def lookup(
     alias = alias or key
     side = dim.select(*[F.col(d).alias(f"_lk_{f}") for f, d in pairs.items()], F.col(key).alias("_lk_key"))
     for f, d in pairs.items():
-        side = side.withColumn(f"_lk_{f}", F.col(f"_lk_{f}").cast(fact.schema[f].dataType))
+        side = side.withColumn(f"_lk_{f}", F.col(f"_lk_{f}").try_cast(fact.schema[f].dataType))
         side = side.filter(F.col(f"_lk_{f}").isNotNull())
     keyed = fact.select("*", *[F.col(f).alias(f"_lk_{f}") for f in pairs])
     joined = join_reference(keyed, side, [f"_lk_{f}" for f in pairs], "left", **join_options)

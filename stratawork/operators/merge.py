@@ -55,6 +55,11 @@ def _table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _stored_schema(df: DataFrame, partition_by: list[str]) -> StructType:
+    """The columns as a read of the table returns them: partition columns last."""
+    return StructType([f for f in df.schema if f.name not in partition_by] + [df.schema[c] for c in partition_by])
+
+
 def _touched(batch: DataFrame, partition_by: list[str]) -> Column:
     """A literal filter on the partitions the batch writes to, so the scan of the table is pruned by it."""
     values = batch.select(*partition_by).distinct().take(MAX_PARTITIONS + 1)
@@ -75,10 +80,13 @@ def _empty(spark: SparkSession, path: str, schema: StructType) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
-def _swap_in(spark: SparkSession, path: str, schema: StructType, partition_by: list[str]) -> None:
-    """Replace the staged partitions in the table. Running it twice gives the same table."""
+def _swap_in(
+    spark: SparkSession, path: str, schema: StructType, partition_by: list[str], whole: bool = False
+) -> None:
+    """Replace the staged partitions in the table, or the whole table. Running it twice gives the same table."""
     staged = _table(spark, f"{path}__staging", schema)
-    write = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if partition_by else "static")
+    dynamic = partition_by and not whole
+    write = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if dynamic else "static")
     (write.partitionBy(*partition_by) if partition_by else write).parquet(path)
     _empty(spark, f"{path}__staging", schema)
 
@@ -110,12 +118,13 @@ def merge_into(
     partition_by = list(partition_by)
     if not set(partition_by) <= set(keys):
         raise ValueError("the partition columns must be part of the key")
-    schema = StructType([f for f in batch.schema if f.name not in partition_by] + [batch.schema[c] for c in partition_by])
+    schema = _stored_schema(batch, partition_by)
     latest = latest_per_key(batch.select(*schema.names), keys, order)
+    _finish_pending(spark, path, schema, partition_by)
     if not path_exists(spark, path):
-        write_table(latest, path, "replace", partition_by)
+        write_table(latest, f"{path}__staging", "replace", partition_by)
+        _swap_in(spark, path, schema, partition_by)
         return
-    _finish_pending(spark, path, schema, partition_by)
     write_table(latest, f"{path}__batch", "replace", partition_by)
     staged = _table(spark, f"{path}__batch", schema)
     existing = _table(spark, path, schema)
@@ -143,6 +152,11 @@ def full_refresh(
     """Drop what the table holds and load it again (write).
 
     Rows older than the batch's window are gone, unless `replay_from` brings the whole archive back.
+    The new rows are complete in `<path>__staging` before the old ones are dropped, so a load that
+    fails leaves the table as it was.
     """
+    partition_by = list(partition_by)
     rows = batch if replay_from is None else replay_from.unionByName(batch)
-    write_table(latest_per_key(rows, keys, order), path, "replace", partition_by)
+    schema = _stored_schema(rows, partition_by)
+    write_table(latest_per_key(rows.select(*schema.names), keys, order), f"{path}__staging", "replace", partition_by)
+    _swap_in(spark, path, schema, partition_by, whole=True)

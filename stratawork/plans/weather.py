@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,7 @@ def stage_observations(landed: DataFrame) -> DataFrame:
         hour_ending("date", "hour").alias("observed_at"),
         scaled("t", "10.0").alias("temperature_celsius"),
         scaled("fh", "10.0").alias("wind_speed_ms"),
-        replace_sentinel(F.col("rh").cast("int"), -1, 0.05, scaled("rh", "10.0"))
-        .cast("decimal(17,6)")
-        .alias("precipitation_mm"),
+        replace_sentinel(F.col("rh").cast("int"), -1, Decimal("0.05"), scaled("rh", "10.0")).alias("precipitation_mm"),
         F.col("q").cast("int").alias("global_radiation_jcm2"),
         F.col("u").cast("int").alias("relative_humidity_pct"),
         "_load_id",

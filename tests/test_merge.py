@@ -16,7 +16,6 @@ from stratawork.operators import (
     path_exists,
     write_table,
 )
-from stratawork.operators.merge import _table
 from stratawork.streaming import stream_merge
 
 SCHEMA = "id bigint, value string, load string, day date"
@@ -131,6 +130,23 @@ def test_full_refresh_drops_older_rows_unless_replayed(spark, tmp_path):
     assert stored(spark, path) == MERGED
 
 
+def test_a_failing_load_leaves_the_table_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merge_into(spark, path, rows(spark, *FIRST), KEYS, ORDER, ["day"])
+    broken = rows(spark, *SECOND).withColumn("value", F.raise_error(F.lit("bad row")))
+    for load in (full_refresh, merge_into):
+        with pytest.raises(Exception, match="bad row"):
+            load(spark, path, broken, KEYS, ORDER, ["day"])
+        assert stored(spark, path) == FIRST
+
+
+def test_a_cut_off_first_load_is_finished(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_table(rows(spark, *FIRST), f"{path}__staging", "replace", ["day"])
+    merge_into(spark, path, rows(spark, *SECOND), KEYS, ORDER, ["day"])
+    assert stored(spark, path) == MERGED
+
+
 def test_write_modes(spark, tmp_path):
     path = str(tmp_path / "t")
     write_table(rows(spark, *FIRST), path, "replace", ["day"])
