@@ -402,7 +402,7 @@ def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     source = F.format_string(
         '{"unique_id":"source.shop.s%s","database":"DB","schema":"_SRC","name":"s%s","source_name":"shop",'
-        '"loader":"dlt","identifier":"shop__s%s","loaded_at_field":"_load_id","freshness":{"warn_after":%d}}',
+        '"loader":"files","identifier":"shop__s%s","loaded_at_field":"_load_id","freshness":{"warn_after":%d}}',
         key, key, key, size,
     )
     exposure = F.format_string(
@@ -432,7 +432,9 @@ nodes AS (
   FROM parts
 )
 """
-NODE_HEAD = "'inv-1' AS command_invocation_id, kind || '.shop.n' || k AS node_id, TIMESTAMP '2024-02-01 06:00:00' AS run_started_at"
+NODE_HEAD = """
+'inv-1' AS command_invocation_id, kind || '.shop.n' || k AS node_id, TIMESTAMP '2024-02-01 06:00:00' AS run_started_at
+"""
 NODE_COLUMNS = {
     "database": "'DB' AS database",
     "schema": "'_MRT' AS schema",
@@ -488,7 +490,7 @@ def test_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT 'inv-1' AS command_invocation_id, 'source.shop.s' || p_partkey AS node_id,
        TIMESTAMP '2024-02-01 06:00:00' AS run_started_at, 'DB' AS database, '_SRC' AS schema, 'shop' AS source_name,
-       'dlt' AS loader, 's' || p_partkey AS name, 'shop__s' || p_partkey AS identifier, '_load_id' AS loaded_at_field,
+       'files' AS loader, 's' || p_partkey AS name, 'shop__s' || p_partkey AS identifier, '_load_id' AS loaded_at_field,
        '{"warn_after":' || p_size || '}' AS freshness, CAST(NULL AS VARCHAR) AS all_results
 FROM part
 """)

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values
-from ..functions import date_simple, surrogate_key
+from ..functions import date_simple
 from ..operators import (
+    build_fact,
     calendar_rollup,
     daily_rollup,
     dimension,
     flatten_star,
-    lookup,
     measured_bytes,
     orphan_rows,
     reconcile_keys,
@@ -48,17 +48,19 @@ def _star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     """Fact and dimensions, and the size of the larger dimension, measured once for all joins."""
     suppliers, measures = supplier_dimension(spark, sf_dir), measure_dimension(spark)
     size = max(measured_bytes(suppliers), measured_bytes(measures))
-    keyed = long_lines(spark, sf_dir).select(
-        surrogate_key("l_orderkey", "l_linenumber", "measure_code").alias("id_fct__shop__measure"),
-        "l_suppkey",
-        "measure_code",
-        date_simple("l_shipdate").alias("id_dim__common__calendar"),
-        F.col("l_shipdate").alias("shipped_at"),
-        "measure_value",
+    fact = build_fact(
+        long_lines(spark, sf_dir),
+        "id_fct__shop__measure",
+        ["l_orderkey", "l_linenumber", "measure_code"],
+        [(suppliers, {"l_suppkey": "s_suppkey"}, SUPPLIER), (measures, "measure_code", MEASURE)],
+        [
+            date_simple("l_shipdate").alias("id_dim__common__calendar"),
+            F.col("l_shipdate").alias("shipped_at"),
+            "measure_value",
+        ],
+        known_bytes=size,
     )
-    keyed = lookup(keyed, suppliers, {"l_suppkey": "s_suppkey"}, SUPPLIER, known_bytes=size)
-    keyed = lookup(keyed, measures, "measure_code", MEASURE, known_bytes=size)
-    return keyed.drop("l_suppkey", "measure_code"), suppliers, measures, size
+    return fact, suppliers, measures, size
 
 
 FACT = f"""

@@ -11,7 +11,16 @@ from .freshness import (
     observations,
     recompute_partitions,
 )
-from .joins import flatten_star, hot_keys, join_reference, lookup, measured_bytes, reconcile_keys, with_codes
+from .joins import (
+    build_fact,
+    flatten_star,
+    hot_keys,
+    join_reference,
+    lookup,
+    measured_bytes,
+    reconcile_keys,
+    with_codes,
+)
 from .members import dimension, with_unknown_members
 from .merge import full_refresh, latest_per_key, merge_into, merge_latest, merge_upsert
 from .quality import (

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType, VariantType
 
+from ..functions import surrogate_key
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 0.001
 
@@ -108,6 +110,29 @@ def lookup(
     )
 
 
+def build_fact(
+    df: DataFrame,
+    key: str,
+    grain: list[str],
+    lookups: list[tuple[DataFrame, str | dict[str, str], str]],
+    columns: list[Column | str],
+    default: object = "-2",
+    **join_options: int,
+) -> DataFrame:
+    """A fact: its surrogate key over the grain, a key per looked-up dimension, and the other columns.
+
+    `lookups` is a list of (dimension, business key, dimension key); see `lookup`. The fact itself is
+    hashed and projected in place, each small dimension is one broadcast.
+    """
+    business = [f for _, on, _ in lookups for f in ([on] if isinstance(on, str) else on)]
+    others = df.select(*columns).columns
+    fact = df.select(surrogate_key(*grain).alias(key), *[F.col(b).alias(f"_bk_{b}") for b in business], *columns)
+    for dim, on, dim_key in lookups:
+        pairs = {on: on} if isinstance(on, str) else on
+        fact = lookup(fact, dim, {f"_bk_{f}": d for f, d in pairs.items()}, dim_key, default, **join_options)
+    return fact.select(key, *[dim_key for _, _, dim_key in lookups], *others)
+
+
 def flatten_star(fact: DataFrame, dims: list[tuple[DataFrame, str, list[str]]], **join_options: int) -> DataFrame:
     """One flat row per fact row: each (dimension, key, attributes) replaces the key by the attributes."""
     flat = fact
@@ -124,9 +149,12 @@ def with_codes(df: DataFrame, codes: DataFrame, max_codes: int = 1000) -> DataFr
 
 
 def reconcile_keys(produced: DataFrame, declared: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that only one side knows: declared but not produced is an error, the reverse a warning."""
-    made = produced.select(*keys).distinct()
-    wanted = declared.select(*keys).distinct()
-    missing = wanted.join(made, keys, "left_anti").withColumn("severity", F.lit("error"))
-    unused = made.join(wanted, keys, "left_anti").withColumn("severity", F.lit("warn"))
-    return missing.unionByName(unused)
+    """Keys that only one side knows: declared but not produced is an error, the reverse a warning.
+
+    Both sides are tagged and grouped together: one scan each, one shuffle of distinct keys.
+    """
+    made = produced.select(*keys, F.lit(True).alias("_made"), F.lit(False).alias("_wanted"))
+    wanted = declared.select(*keys, F.lit(False).alias("_made"), F.lit(True).alias("_wanted"))
+    known = [F.bool_or(side).alias(side) for side in ("_made", "_wanted")]
+    one_sided = made.unionByName(wanted).groupBy(*keys).agg(*known).filter(F.col("_made") != F.col("_wanted"))
+    return one_sided.select(*keys, F.when(F.col("_wanted"), "error").otherwise("warn").alias("severity"))

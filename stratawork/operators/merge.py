@@ -39,8 +39,8 @@ def merge_upsert(existing: DataFrame, batch: DataFrame, keys: list[str], order:
     Only the batch is deduplicated; the existing table has one row per key already. A batch whose
     keys are small enough is broadcast by Spark and the existing rows are not shuffled at all.
     """
-    latest = latest_per_key(batch, keys, order)
-    return existing.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
+    untouched = existing.join(batch.select(*keys).distinct(), keys, "left_anti")
+    return untouched.unionByName(latest_per_key(batch, keys, order))
 
 
 def merge_latest(existing: DataFrame, batch: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:

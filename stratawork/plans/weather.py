@@ -7,8 +7,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import date_simple, hour_ending, replace_sentinel, scaled, shift_hours, surrogate_key, time_simple
-from ..operators.joins import flatten_star, lookup
+from ..functions import date_simple, hour_ending, replace_sentinel, scaled, shift_hours, time_simple
+from ..operators.joins import build_fact, flatten_star
 from ..operators.members import dimension, with_unknown_members
 from ..operators.reshape import code_list, unpivot_by_codes
 from ..operators.staging import typed
@@ -133,29 +133,21 @@ def environment_dimension(environments: DataFrame, unknown: DataFrame) -> DataFr
 def measurement_fact(long: DataFrame, stations: DataFrame, types: DataFrame, **join_options: int) -> DataFrame:
     """One row per measurement. The calendar and time keys point at the start of the hour that ended."""
     start = shift_hours("observed_at", -1)
-    keyed = long.select(
-        surrogate_key("station_code", "observed_at", "measurement_type_code").alias(
-            "id_fct__weather__knmi_measurement"
-        ),
-        "station_code",
-        "measurement_type_code",
-        date_simple(start).alias("id_dim__common__calendar"),
-        time_simple(start).alias("id_dim__common__time"),
-        "observed_at",
-        "measurement_value",
-    )
-    keyed = lookup(keyed, stations, "station_code", "id_dim__weather__knmi_station", **join_options)
-    keyed = lookup(
-        keyed, types, "measurement_type_code", "id_dim__weather__knmi_measurement_type", **join_options
-    )
-    return keyed.select(
+    return build_fact(
+        long,
         "id_fct__weather__knmi_measurement",
-        "id_dim__weather__knmi_station",
-        "id_dim__weather__knmi_measurement_type",
-        "id_dim__common__calendar",
-        "id_dim__common__time",
-        "observed_at",
-        "measurement_value",
+        ["station_code", "observed_at", "measurement_type_code"],
+        [
+            (stations, "station_code", "id_dim__weather__knmi_station"),
+            (types, "measurement_type_code", "id_dim__weather__knmi_measurement_type"),
+        ],
+        [
+            date_simple(start).alias("id_dim__common__calendar"),
+            time_simple(start).alias("id_dim__common__time"),
+            "observed_at",
+            "measurement_value",
+        ],
+        **join_options,
     )
 
 

@@ -14,13 +14,14 @@ def stamp_load(df: DataFrame, load_id: str) -> DataFrame:
     return df.withColumn(LOAD_ID, F.lit(load_id))
 
 
-def land(df: DataFrame, root: str, pipeline: str, load_id: str) -> str:
+def land(df: DataFrame, root: str, pipeline: str, load_id: str, compression: str = "none") -> str:
     """Write one load into its own folder `<pipeline>__<load id>` and return the path.
 
-    A folder that is already there is an error: an archived load is never rewritten.
+    A folder that is already there is an error: an archived load is never rewritten. The files are as
+    many as `df` has partitions; a compressed one is read by one task.
     """
     path = f"{root}/{pipeline}__{load_id}"
-    df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+    df.write.mode("errorifexists").json(path, compression=compression, ignoreNullFields=False)
     return path
 
 

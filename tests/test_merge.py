@@ -173,6 +173,21 @@ def test_clustered_files_are_sorted_and_a_hot_value_spans_files(spark, tmp_path)
     assert spark.read.parquet(path).count() == 20_000
 
 
+def test_a_hot_partition_is_split_over_files(spark, tmp_path):
+    path = str(tmp_path / "p")
+    # A third of the rows fall on one day; the other days are small.
+    noise = F.sha2(F.col("id").cast("string"), 512)
+    days = spark.range(60_000).select("id", noise.alias("noise"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20).alias("day"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        write_table(days.repartition(8), path, "replace", ["day"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "p").glob("day=*")}
+    assert len(files) == 20 and files["day=0"] > 2
+    assert spark.read.parquet(path).count() == 60_000
+
+
 @pytest.mark.parametrize(
     "layer,target,base,schema",
     [
