@@ -37,6 +37,7 @@ from .quality import (
     check_rows_expected,
     check_unique,
     check_unique_combination,
+    declare,
     orphan_rows,
     run_suite,
     store_failures,

@@ -122,6 +122,30 @@ def check_query(name: str, query: Callable[[DataFrame], DataFrame]) -> Check:
     return Check(name, rows=query)
 
 
+def declare(
+    *,
+    has_data: bool = True,
+    rows: int | None = None,
+    not_null: list[str] = (),
+    unique: list[str] = (),
+    not_empty: list[str] = (),
+    not_negative: list[str] = (),
+    combination: list[str] = (),
+    parents: dict[str, tuple[DataFrame, str]] | None = None,
+) -> list[Check]:
+    """The usual tests of a table from lists of columns; `parents` maps a foreign key to its dimension and only warns."""
+    return [
+        *([check_has_data()] if has_data else []),
+        *([check_rows_expected(rows)] if rows is not None else []),
+        *([check_unique_combination(*combination)] if combination else []),
+        *map(check_not_null, not_null),
+        *map(check_unique, unique),
+        *map(check_not_empty, not_empty),
+        *map(check_not_negative, not_negative),
+        *[check_relationships(column, dim, key).warn() for column, (dim, key) in (parents or {}).items()],
+    ]
+
+
 def violations(df: DataFrame, check: Check) -> DataFrame:
     """The violating rows of one test."""
     return df.filter(check.condition) if check.condition is not None else check.rows(df)

@@ -10,6 +10,7 @@ from .calendar import (
     year_span,
 )
 from .holidays import holidays
+from .pipeline import build_weather, weather_suite
 from .time_of_day import day_part, time_dimension, time_of_day
 
 __all__ = [name for name in dir() if not name.startswith("_")]
