@@ -83,14 +83,14 @@ def changed_sources(log: DataFrame, runs: DataFrame, job: str, tiebreak: list[st
     A source that was never built has changed; a failed run moves nothing. The log is read once:
     the latest value overall and the latest before the run are two aggregates of one grouping.
     """
-    since = last_success_start(runs, job)  # one row, so its broadcast is bounded
     moment = F.struct("observed_at", *tiebreak)
+    built = F.col("observed_at") < last_success_start(runs, job).scalar()
     compared = (
-        log.crossJoin(F.broadcast(since))
+        log.withColumn("_before", built)
         .groupBy("source")
         .agg(
             F.max_by("max_loaded_at", moment).alias("max_loaded_at"),
-            F.max_by("max_loaded_at", F.when(F.col("observed_at") < F.col("last_success_start"), moment)).alias("_built"),
+            F.max_by("max_loaded_at", F.when(F.col("_before"), moment)).alias("_built"),
         )
     )
     changed = F.col("max_loaded_at").isNotNull() & ~F.col("max_loaded_at").eqNullSafe(F.col("_built"))

@@ -141,11 +141,22 @@ def flatten_star(fact: DataFrame, dims: list[tuple[DataFrame, str, list[str]]],
     return flat
 
 
+def small_rows(table: DataFrame, max_rows: int = 1000) -> Column:
+    """The rows of a code table as one literal array of structs. Its bound is checked (action)."""
+    rows = table.take(max_rows + 1)
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} rows in a code table")
+    fields = [
+        [F.lit(value).cast(f.dataType).alias(f.name) for value, f in zip(row, table.schema.fields)] for row in rows
+    ]
+    if not rows:
+        return F.array().cast(f"array<{table.schema.simpleString()}>")
+    return F.array(*[F.struct(*row) for row in fields])
+
+
 def with_codes(df: DataFrame, codes: DataFrame, max_codes: int = 1000) -> DataFrame:
-    """Every row with every code. The code list is small by contract, and the contract is checked (action)."""
-    if len(codes.take(max_codes + 1)) > max_codes:
-        raise ValueError(f"more than {max_codes} codes")
-    return df.crossJoin(F.broadcast(codes))
+    """Every row with every code, expanded in place from a literal list: no join."""
+    return df.select("*", F.inline(small_rows(codes, max_codes)))
 
 
 def reconcile_keys(produced: DataFrame, declared: DataFrame, keys: list[str]) -> DataFrame:

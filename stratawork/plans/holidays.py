@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import easter_sunday, weekday_nr
+from ..operators.joins import small_rows
 
 
 def holidays(spine: DataFrame, rules: DataFrame, date: str = "date") -> DataFrame:
@@ -31,7 +32,7 @@ def holidays(spine: DataFrame, rules: DataFrame, date: str = "date") -> DataFram
     nominal = F.when(F.col("easter_offset").isNull(), fixed).otherwise(movable)
     shift = F.when(weekday_nr("nominal") == 7, F.coalesce("sunday_shift", F.lit(0))).otherwise(0)
     named = (
-        years.crossJoin(F.broadcast(rules))  # at most a few dozen rules per year
+        years.select("*", F.inline(small_rows(rules)))  # a few dozen rules
         .filter(holds)
         .withColumn("nominal", nominal)
         .select(F.date_add("nominal", shift).alias(date), "holiday_name")
