@@ -97,11 +97,13 @@ def changed_sources(log: DataFrame, runs: DataFrame, job: str, tiebreak: list[st
     return compared.filter(changed).drop("_built")
 
 
-def change_set_key(changed: DataFrame) -> DataFrame:
+def change_set_key(changed: DataFrame, max_sources: int = 10_000) -> DataFrame:
     """The change set as one text, `source@value` parts sorted and joined by a pipe.
 
-    One part per source that changed, a handful of names: the text is the caller's run key.
+    The text is the caller's run key, so it is meant for a handful of names; the bound is checked (action).
     """
+    if changed.count() > max_sources:
+        raise ValueError(f"more than {max_sources} sources changed")
     part = F.concat_ws("@", F.col("source"), F.col("max_loaded_at").cast("string"))
     return changed.agg(F.concat_ws("|", F.array_sort(F.collect_list(part))).alias("change_set_key"))
 

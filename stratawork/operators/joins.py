@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 from ..functions import surrogate_key
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_SHARE = 0.001
+HOT_SHARE = 0.0005
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -37,8 +37,8 @@ def measured_bytes(df: DataFrame) -> int:
 def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> list[int]:
     """Hashes of the keys that may hold more than `share` of the rows (action: one pass over the key columns).
 
-    A frequent-items sketch is merged on the map side; with 10 000 counters its error is far below
-    the share, so no such key is missed. There are at most 1 / share of them, so the list is short.
+    A frequent-items sketch is merged on the map side; with 10 000 counters its error is a fraction
+    of the smallest share. The list is at most 1000 long; a key that is not on it joins as usual.
     """
     top_k = F.call_function("approx_top_k", F.xxhash64(*on), F.lit(1000), F.lit(10_000))
     rows, top = df.agg(F.count(F.lit(1)), top_k).first()
@@ -74,10 +74,10 @@ def join_reference(
         return large.join(F.broadcast(reference), on, how)
     # Equal values must hash alike; a value that does not fit the type on the other side has no match there.
     reference = reference.withColumns({c: F.col(c).try_cast(large.schema[c].dataType) for c in on})
-    hot = hot_keys(large, on)
+    salts = salts or int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_keys(large, on, max(1 / salts, HOT_SHARE))  # more than an average task gets
     if not hot:
         return large.join(reference, on, how)
-    salts = salts or int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     is_hot = F.xxhash64(*on).isin(hot)
     salted = large.withColumn("_salt", F.when(is_hot, _spread(large, salts)).otherwise(0))
     every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -110,6 +110,8 @@ def test_changed_is_measured_from_the_last_successful_run(spark):
 def test_change_set_key_is_sorted(spark):
     rows = spark.createDataFrame([("b", SEVEN), ("a", SIX)], "source string, max_loaded_at string")
     assert change_set_key(rows).first()[0] == f"a@{SIX}|b@{SEVEN}"
+    with pytest.raises(ValueError):
+        change_set_key(rows, max_sources=1)
 
 
 def test_recompute_only_what_got_newer(spark, tmp_path):
