@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import (
     affected_partitions,
+    append_metadata,
     change_set_key,
     changed_sources,
     execution_rows,
@@ -27,6 +28,7 @@ from ..operators import (
     with_outcome,
     write_table,
 )
+from ..schemas import METADATA
 from ..session import new_folder
 from .inputs import number_of
 from .registry import query, read
@@ -388,6 +390,15 @@ def test_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execution_rows(_results(spark, sf_dir), "test", "inv-1", STARTED)
 
 
+@query(f"{_execution_sql('model')} UNION ALL SELECT * FROM ({_execution_sql('model')})")
+def appended_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs appended to the metadata table of model executions."""
+    root = new_folder(spark, "metadata")
+    for _ in range(2):
+        append_metadata(execution_rows(_results(spark, sf_dir), "model", "inv-1", STARTED), root, "model_executions")
+    return spark.read.schema(METADATA["model_executions"]).parquet(f"{root}/model_executions")
+
+
 def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small manifest per part: one node whose kind depends on the size, one source, one exposure."""
     size = F.col("p_size")

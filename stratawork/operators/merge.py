@@ -77,7 +77,8 @@ def _touched(batch: DataFrame, partition_by: list[str]) -> Column:
 
 
 def _empty(spark: SparkSession, path: str, schema: StructType) -> None:
-    spark.createDataFrame([], schema).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    nothing = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    nothing.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
 def _swap_in(

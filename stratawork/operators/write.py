@@ -57,16 +57,25 @@ def materialise(
     base: str = "",
     as_view: bool | None = None,
     partition_by: list[str] = (),
+    catalog: bool = False,
 ) -> DataFrame:
     """Write a model to its layer and return the written table, or register it as a view (write).
 
-    Exposed products are views, everything else is a table; `as_view` overrides that.
+    Exposed products are views, everything else is a table; `as_view` overrides that. With `catalog`
+    the layer is a database under `root` and the table is registered in it, column comments included.
     """
     if layer not in LAYERS:
         raise ValueError(f"not a layer: {layer}")
+    spark, schema = df.sparkSession, layer_schema(layer, target, base)
     if as_view if as_view is not None else layer in VIEW_LAYERS:
         df.createOrReplaceTempView(name)
-        return df.sparkSession.table(name)
-    path = f"{root}/{layer_schema(layer, target, base)}/{name}"
+        return spark.table(name)
+    path = f"{root}/{schema}/{name}"
     write_table(df, path, "replace", partition_by)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if not catalog:
+        return table
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema}` LOCATION '{root}/{schema}'")
+    spark.sql(f"DROP TABLE IF EXISTS `{schema}`.`{name}`")
+    spark.catalog.createTable(f"`{schema}`.`{name}`", path=path, source="parquet", schema=df.schema)
+    return spark.table(f"`{schema}`.`{name}`")

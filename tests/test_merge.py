@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratawork.operators import (
+    describe_columns,
     full_refresh,
     latest_per_key,
     layer_schema,
@@ -215,6 +216,19 @@ def test_materialise_by_layer(spark, tmp_path):
         materialise(table, str(tmp_path), "gold", "x")
 
 
+def test_materialise_in_the_catalog(spark, tmp_path):
+    described = describe_columns(spark.range(3), {"id": "Number."})
+    for _ in range(2):  # a rebuild replaces the table
+        table = materialise(described, str(tmp_path), "stg", "stg__shop__three", "dev", "tester", catalog=True)
+    assert table.count() == spark.table("tester_stg.stg__shop__three").count() == 3
+    parts = spark.range(6).selectExpr("id", "id % 2 as part")
+    split = materialise(parts, str(tmp_path), "stg", "stg__shop__split", "dev", "tester", partition_by=["part"], catalog=True)
+    assert split.filter("part = 1").count() == 3
+    assert (tmp_path / "TESTER_STG" / "stg__shop__split" / "part=1").exists()
+    comments = {r.col_name: r.comment for r in spark.sql("DESCRIBE tester_stg.stg__shop__three").collect()}
+    assert comments["id"] == "Number."
+
+
 def _drop(folder, name, *values):
     folder.mkdir(parents=True, exist_ok=True)
     lines = [json.dumps(dict(zip(("id", "value", "load", "day"), v))) for v in values]
