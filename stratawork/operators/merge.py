@@ -60,6 +60,11 @@ def _stored_schema(df: DataFrame, partition_by: list[str]) -> StructType:
     return StructType([f for f in df.schema if f.name not in partition_by] + [df.schema[c] for c in partition_by])
 
 
+def _with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows, failing the job on the first one whose key is NULL: such a row could never be merged again."""
+    return df.withColumns({k: F.coalesce(k, F.raise_error(F.lit(f"merge key {k} is NULL"))) for k in keys})
+
+
 def _touched(batch: DataFrame, partition_by: list[str]) -> Column:
     """A literal filter on the partitions the batch writes to, so the scan of the table is pruned by it."""
     values = batch.select(*partition_by).distinct().take(MAX_PARTITIONS + 1)
@@ -113,14 +118,15 @@ def merge_into(
     read from the table and rewritten: first to `<path>__staging`, then swapped in from there. So a
     job that dies on the way never loses rows: before the swap the table is untouched, and a cut-off
     swap is repeated by the next merge. Both staging folders are emptied afterwards.
-    The partition columns must be part of the key, or a moved row would leave its old copy behind.
+    The partition columns must be part of the key, or a moved row would leave its old copy behind. A
+    key must not be NULL.
     `newest_wins` compares both sides by `order` instead of letting the batch win.
     """
     partition_by = list(partition_by)
     if not set(partition_by) <= set(keys):
         raise ValueError("the partition columns must be part of the key")
     schema = _stored_schema(batch, partition_by)
-    latest = latest_per_key(batch.select(*schema.names), keys, order)
+    latest = latest_per_key(_with_keys(batch.select(*schema.names), keys), keys, order)
     _finish_pending(spark, path, schema, partition_by)
     if not path_exists(spark, path):
         write_table(latest, f"{path}__staging", "replace", partition_by)
@@ -159,5 +165,6 @@ def full_refresh(
     partition_by = list(partition_by)
     rows = batch if replay_from is None else replay_from.unionByName(batch)
     schema = _stored_schema(rows, partition_by)
-    write_table(latest_per_key(rows.select(*schema.names), keys, order), f"{path}__staging", "replace", partition_by)
+    latest = latest_per_key(_with_keys(rows.select(*schema.names), keys), keys, order)
+    write_table(latest, f"{path}__staging", "replace", partition_by)
     _swap_in(spark, path, schema, partition_by, whole=True)

@@ -141,6 +141,20 @@ def test_a_failing_load_leaves_the_table_as_it_was(spark, tmp_path):
         assert stored(spark, path) == FIRST
 
 
+def test_a_null_key_fails_and_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for bad in ((None, "x", "2", "2024-01-01"), (1, "x", "2", None)):
+        with pytest.raises(Exception, match="is NULL"):
+            merge_into(spark, path, rows(spark, *FIRST, bad), KEYS, ORDER, ["day"])
+        assert not path_exists(spark, path)
+    merge_into(spark, path, rows(spark, *FIRST), KEYS, ORDER, ["day"])
+    with pytest.raises(Exception, match="is NULL"):
+        merge_into(spark, path, rows(spark, *SECOND, bad), KEYS, ORDER, ["day"])
+    assert stored(spark, path) == FIRST
+    merge_into(spark, path, rows(spark, *SECOND), KEYS, ORDER, ["day"])
+    assert stored(spark, path) == MERGED
+
+
 def test_a_cut_off_first_load_is_finished(spark, tmp_path):
     path = str(tmp_path / "t")
     write_table(rows(spark, *FIRST), f"{path}__staging", "replace", ["day"])
