@@ -6,9 +6,11 @@ from collections.abc import Callable
 from textwrap import dedent
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratawork.llm import minhash
+from stratawork.llm import decontaminate, minhash, mixing, sharding, token_files, toxicity
 from stratawork.llm.text import read
+from stratawork.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,6 +26,83 @@ def query(sql: str | None = None):
     return add
 
 
+def tokenizer_file() -> str:
+    """The vocabulary the token files are written with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, read(spark, sf_dir, "labels"))).drop("text_hash")
+
+
+@query()
+def op4_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(read(spark, sf_dir, "documents"), 8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query()
 def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query()
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    token_files.write_tokens(read(spark, sf_dir, "documents"), folder, tokenizer_file(), end_id=1)
+    return token_files.read_tokens(spark, folder)
+
+
+@query(
+    """
+    WITH sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+               ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT + 1)::DOUBLE / 4503599627370496)
+               / coalesce(0.5 + 0.5 * length(regexp_replace(text, '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+', '', 'g'))
+                          / greatest(length(text), 1), 0.5) AS key
+        FROM documents
+    ), sources AS (
+        SELECT source, sum(size)::BIGINT AS source_size,
+               CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+        FROM sized GROUP BY source
+    ), levels AS (
+        SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER full_first, 0))::DOUBLE
+                  / sum(weight) OVER rest_of AS level
+        FROM sources
+        WINDOW full_first AS (ORDER BY 3.0 * source_size / weight, source NULLS LAST
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+               rest_of AS (ORDER BY 3.0 * source_size / weight, source NULLS LAST
+                           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    ), targets AS (
+        SELECT *, least(3.0::DOUBLE * source_size, weight * (
+            SELECT min_by(level, 3.0::DOUBLE * source_size / weight) FROM levels WHERE level <= 3.0::DOUBLE * source_size / weight
+        )) AS target
+        FROM levels
+    ), chosen AS (
+        SELECT d.doc_id, d.size, t.source_size, t.target,
+               CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS epochs,
+               sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key DESC, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS started
+        FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+    ), counted AS (
+        SELECT *, epochs + CASE WHEN target - epochs * source_size > 0
+                                 AND started + size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END AS copies
+        FROM chosen
+    )
+    SELECT doc_id, size, source_size, target, copies::BIGINT AS copies, (copies * size)::BIGINT AS taken FROM counted
+    """
+)
+def op8_efraimidis_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "copies", "taken"
+    )
+
+
+@query()
+def op10_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("doc_key")
