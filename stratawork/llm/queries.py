@@ -8,7 +8,7 @@ from textwrap import dedent
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratawork.llm import decontaminate, minhash, mixing, sharding, token_files, toxicity
+from stratawork.llm import decontaminate, language_id, minhash, mixing, sharding, token_files, toxicity, url_filter
 from stratawork.llm.text import read
 from stratawork.session import new_folder
 
@@ -39,6 +39,38 @@ def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, read(spark, sf_dir, "labels"))).drop("text_hash")
 
 
+#: Fixed rules of the URL query: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query(
+    r"""
+    WITH rest AS (
+        SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+    ), parts AS (
+        SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM rest
+    ), rules(rhost, rpath, rverdict) AS (
+        VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+               ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+    ), fitting AS (
+        SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule,
+               max_by(rverdict, length(rhost || rpath)) AS rverdict
+        FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+        GROUP BY page_id
+    )
+    SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM parts LEFT JOIN fitting USING (page_id)
+    """
+)
+def op3_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judged(read(spark, sf_dir, "pages"), rules)
+
+
 @query()
 def op4_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(read(spark, sf_dir, "documents"), 8).select(
@@ -47,6 +79,12 @@ def op4_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op5_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language_id.languages(docs, language_id.train(docs))
+
+
 @query()
 def op6_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
