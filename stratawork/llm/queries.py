@@ -8,7 +8,7 @@ from textwrap import dedent
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratawork.llm import decontaminate, language_id, minhash, mixing, sharding, token_files, toxicity, url_filter
+from stratawork.llm import decontaminate, language_id, minhash, mixing, sharding, token_files, topk, toxicity, url_filter
 from stratawork.llm.text import read
 from stratawork.session import new_folder
 
@@ -144,3 +144,23 @@ def op8_efraimidis_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
+@query(
+    """
+    WITH clean AS (
+        SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS ints
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.ints, c.ints)::BIGINT AS score
+        FROM clean q JOIN clean c ON q.vec_id != c.vec_id
+        WHERE q.vec_id % 100 = 0
+    )
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 10
+    """
+)
+def op9_pivot_table_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
