@@ -8,7 +8,7 @@ from textwrap import dedent
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratawork.llm import decontaminate, language_id, minhash, mixing, sharding, token_files, topk, toxicity, url_filter
+from stratawork.llm import decontaminate, html_extract, language_id, minhash, mixing, sharding, token_files, topk, toxicity, url_filter
 from stratawork.llm.text import read
 from stratawork.session import new_folder
 
@@ -39,6 +39,12 @@ def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, read(spark, sf_dir, "labels"))).drop("text_hash")
 
 
+@query()
+def op2_boosted_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_extract.main_texts(pages, html_extract.train(pages))
+
+
 #: Fixed rules of the URL query: host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
