@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratawork.llm.text import BY_SIGN, constants, long_lists, mixed, steps, stored, words
@@ -121,8 +121,8 @@ def _filter_bits(seeds: DataFrame, number: int) -> np.ndarray:
     return table
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+def _doc_key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs.doc_id.cast("long"), docs.text)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST_SCORE) -> DataFrame:
@@ -149,7 +149,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     )
     number = seeds.count()
     bits = session.broadcast(_filter_bits(seeds, number))
-    lowered = keyed(docs.select(F.col("doc_id").cast("long"), "text")).withColumn("text", F.lower("text"))
+    lowered = docs.select(docs.doc_id.cast("long"), _doc_key(docs).alias("doc_key"), F.lower("text").alias("text"))
     found = stored(
         lowered.mapInArrow(
             _candidates(masks, bits),
@@ -196,4 +196,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     gone = stored(overlaps(docs, benchmark).select("doc_key").distinct(), "contaminated")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return keyed(docs).join(gone, "doc_key", "left_anti").drop("doc_key")
+    return docs.join(gone, _doc_key(docs) == gone.doc_key, "left_anti")

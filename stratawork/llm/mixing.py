@@ -84,6 +84,22 @@ def _plan(slim: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     return stored(whole.withColumnRenamed("source", "mix_source"), "mix-plan")
 
 
+def _mixture(docs: DataFrame, weights: tuple[int, ...], most: int, quality: Column | None) -> DataFrame:
+    """row (all columns of a document), mix_size, source_size, target, mix_copies."""
+    quality = letter_share() if quality is None else quality
+    row = F.struct(*[docs[name] for name in docs.columns]).alias("row")
+    keyed = _keyed(docs, quality).select(row, "doc_id", "source", "mix_size", "mix_weight", "mix_key")
+    slim = stored(keyed.drop("row"), "mix-slim")
+    plan = _plan(slim, weights, most)
+    key_range = F.floor((1 - F.exp(F.col("mix_key") * F.col("mean_weight"))) * RANGES).cast("int")
+    at_cut = (F.col("mix_key") == F.col("cut_key")) & (F.col("doc_id").isNull() | (F.col("doc_id") <= F.col("cut_id")))
+    before_cut = (key_range == F.col("end_range")) & ((F.col("mix_key") > F.col("cut_key")) | at_cut)
+    again = (F.col("rest") > 0) & F.coalesce((key_range < F.col("end_range")) | before_cut, F.lit(False))
+    joined = keyed.join(plan, keyed.source.eqNullSafe(plan.mix_source))
+    copies = (F.col("epochs") + F.when(again, 1).otherwise(0)).cast("long")
+    return joined.select("row", "mix_size", "source_size", "target", copies.alias("mix_copies"))
+
+
 def mixed_documents(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, quality: Column | None = None
 ) -> DataFrame:
@@ -94,39 +110,22 @@ def mixed_documents(
     the quality weight (a column above 0, the letter share if not given), up to the document that comes closest to the
     target. Keys depend on doc_id alone, so reruns agree. Documents without words take no budget; they are copied like
     others. Rows that repeat a doc_id share a key: once the last of them fits, all are taken. Null texts have size 0.
-    Sources without words have target 0. An empty table stays empty. Extra columns are kept.
+    Sources without words have target 0. An empty table stays empty. Other columns are kept; those named like an added
+    one are replaced.
 
     Only sums by source and key range are shuffled, never texts: the budget of each source ends in one of 4096 ranges of
     its keys, and only the rows of that range are sorted, so a source with a third of all rows is no single task.
     """
-    quality = letter_share() if quality is None else quality
-    keyed = _keyed(docs, quality)
-    slim = stored(keyed.select("doc_id", "source", "mix_size", "mix_weight", "mix_key"), "mix-slim")
-    plan = _plan(slim, weights, most)
-    taken_again = F.coalesce(
-        (F.col("key_range") < F.col("end_range"))
-        | (
-            (F.col("key_range") == F.col("end_range"))
-            & (
-                (F.col("mix_key") > F.col("cut_key"))
-                | ((F.col("mix_key") == F.col("cut_key")) & (F.col("doc_id").isNull() | (F.col("doc_id") <= F.col("cut_id"))))
-            )
-        ),
-        F.lit(False),
+    added = ("size", "source_size", "target", "copies", "taken")
+    own = [F.col("row")[name].alias(name) for name in docs.columns if name not in added]
+    taken = F.col("mix_copies") * F.col("mix_size")
+    return _mixture(docs, weights, most, quality).select(
+        *own, F.col("mix_size").alias("size"), "source_size", "target", F.col("mix_copies").alias("copies"), taken.alias("taken")
     )
-    key_range = F.floor((1 - F.exp(F.col("mix_key") * F.col("mean_weight"))) * RANGES).cast("int")
-    copies = F.col("epochs") + F.when((F.col("rest") > 0) & taken_again, 1).otherwise(0)
-    joined = keyed.join(plan, keyed.source.eqNullSafe(plan.mix_source)).withColumn("key_range", key_range)
-    joined = joined.withColumn("mix_copies", copies.cast("long"))
-    own = [F.col(name) for name in docs.columns if name not in ("size", "source_size", "target", "copies", "taken")]
-    return joined.select(
-        *own, F.col("mix_size").alias("size"), "source_size", "target", F.col("mix_copies").alias("copies"),
-        (F.col("mix_copies") * F.col("mix_size")).alias("taken"),
-    )
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
-    chosen = mixed_documents(docs, weights, most).filter("copies > 0")
-    repeated = chosen.withColumn("copy", F.explode(F.expr("sequence(1, cast(copies as int))")))
-    return repeated.select(*docs.columns)
+    chosen = _mixture(docs, weights, most, None).filter("mix_copies > 0")
+    repeated = chosen.select("row", F.explode(F.expr("sequence(1, cast(mix_copies as int))")))
+    return repeated.select("row.*")
