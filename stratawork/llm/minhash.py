@@ -23,10 +23,10 @@ PERMUTATIONS = 64
 PER_BAND = 2
 #: Candidate ids are broadcast up to this number (8 MB); beyond it the texts are joined with them.
 BROADCAST_IDS = 1_000_000
-#: Rounds in which the members of a bucket are held against one of its members, before all that is left is compared.
-STAR_ROUNDS = 4
-#: Pairs left for each member of a bucket at which all of them are compared at once rather than in another round.
-FEW_PAIRS = 20
+#: Shingles that are known to be frequent where the rest is compared; the others count as rare. This only orders them.
+FREQUENT, LEAST_COUNT = 200_000, 8
+#: Ratio of set sizes within a size class.
+SIZE_RATIO = 1.1
 
 _SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"
 
@@ -100,10 +100,10 @@ def near_duplicates(
     of `width` words, or all its words as one shingle if it has fewer. Documents are linked if the intersection of their
     sets is at least `threshold` per cent of the union; component_id is the smallest doc_id that links reach.
 
-    Documents with equal sets become one vertex first, so thousands of copies cost one row. Each further bucket is held
-    against one of its members, then, where parts of it are not connected yet, against other members of its largest
-    part, and at last every pair of a bucket that is still in different parts is compared: no link between different
-    parts is lost, and a bucket whose members are all connected is never expanded.
+    Documents with equal sets become one vertex first, so thousands of copies cost one row. The members of a bucket are
+    held against its most central member, the one that meets most others in all bands. Where a bucket is still in
+    several parts, those outside its largest part are joined with the members of all such buckets by prefixes of their
+    sets: no link between different parts is lost, and no bucket is expanded into its pairs.
 
     Null or wordless texts have no shingle, are linked with nothing and kept. Rows without doc_id are kept, with a null
     component. Rows that repeat a doc_id are one document as far as their texts are alike. Extra columns are ignored.
@@ -117,14 +117,14 @@ def near_duplicates(
         .select("set_a", "set_b", F.col("first.doc_id").alias("rep"), "first.text_hash", "first.n_shingles", "first.bands"),
         "representatives",
     )
-    banded = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    shared = stored(
-        banded.groupBy("band", "bucket").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).filter("members > 1"),
-        "buckets",
-    )
-    members = stored(
-        banded.join(shared.select("band", "bucket", "pivot"), ["band", "bucket"]), "members"
-    )
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    met = stored(banded.join(stored(shared, "buckets"), ["band", "bucket"]).select("band", "bucket", "rep", "members"), "met")
+    central = met.groupBy("rep").agg(F.sum("members").alias("meetings"))
+    ranked = met.join(stored(central, "central"), "rep")
+    pivots = ranked.groupBy("band", "bucket").agg(F.max(F.struct("meetings", -F.col("rep"), "rep")).alias("top"))
+    pivots = stored(pivots.select("band", "bucket", F.col("top.rep").alias("pivot")), "pivots")
+    members = stored(met.select("band", "bucket", "rep").join(pivots, ["band", "bucket"]), "members")
     linked = _linked(source, reps, members, width, threshold)
     moved = reps.join(linked, reps.rep == linked.id, "left").select(
         "set_a", "set_b", F.coalesce("component", "rep").alias("class")
@@ -146,52 +146,82 @@ def _linked(source: DataFrame, reps: DataFrame, members: DataFrame, width: int,
         wanted = F.broadcast(wanted)
     texts = source.join(wanted, ["doc_id", "text_hash"], "left_semi")
     sets = texts.mapInArrow(_sets(width), "text_hash long, rep long, shingles array<long>")
-    sets = stored(sets.dropDuplicates(["rep", "text_hash"]), "sets")
-    near_size = F.expr(f"100 * least(n_shingles, other_n) >= {threshold} * greatest(n_shingles, other_n)")
-    sizes = reps.select(F.col("rep").alias("other"), F.col("n_shingles").alias("other_n"))
+    sets = stored(sets.dropDuplicates(["rep", "text_hash"]).select("rep", "shingles"), "sets")
 
     def tested(pairs: DataFrame) -> DataFrame:
         """Confirmed links among candidate pairs (rep, other), each compared once."""
         distinct = pairs.filter("rep != other").select(
             F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")
         )
-        return _confirmed(distinct.distinct(), sets, threshold)
+        return stored(_confirmed(distinct.distinct(), sets, threshold), "links")
 
-    first = members.select("rep", "n_shingles", F.col("pivot").alias("other")).join(sizes, "other").filter(near_size)
-    links = stored(tested(first), "links")
+    links = tested(members.select("rep", F.col("pivot").alias("other")))
     labels = components(links)
-    turn, last = 0, False
-    while not last:
-        parts = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-            "band", "bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("part")
-        )
-        split = parts.groupBy("band", "bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
-        parts = stored(parts.join(split.select("band", "bucket"), ["band", "bucket"]), "parts")
-        if not parts.limit(1).count():
-            return labels
-        sized = parts.groupBy("band", "bucket", "part").agg(
-            F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("chosen")
-        )
-        largest = stored(
-            sized.groupBy("band", "bucket").agg(
-                F.max(F.struct("n", "part", "chosen")).alias("most"), F.sum("n").alias("all")
-            ).select("band", "bucket", F.col("most.part").alias("main"), F.col("most.chosen").alias("other"), "most.n", "all"),
-            "largest",
-        )
-        outside = parts.join(largest.select("band", "bucket", "main", "other"), ["band", "bucket"]).filter("part != main")
-        open_pairs, open_members = largest.select(F.sum(F.expr("(all - n) * all")), F.sum("all")).first()
-        last = turn == STAR_ROUNDS or open_pairs <= FEW_PAIRS * open_members
-        if not last:
-            pairs = outside.select("rep", "n_shingles", "other")
-        else:
-            others = parts.select("band", "bucket", F.col("rep").alias("other"), F.col("part").alias("other_part"))
-            pairs = outside.drop("other").join(others, ["band", "bucket"]).filter("part != other_part").select("rep", "n_shingles", "other")
-        found = stored(tested(pairs.join(sizes, "other").filter(near_size)), "links")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = components(links)
-        turn += 1
-    return labels
+    parts = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "band", "bucket", "rep", F.coalesce("component", "rep").alias("part")
+    )
+    sized = parts.groupBy("band", "bucket", "part").agg(F.count("*").alias("n"))
+    split = sized.groupBy("band", "bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
+    split = stored(split.filter("parts > 1").select("band", "bucket", "main"), "split")
+    apart = parts.join(split, ["band", "bucket"]).groupBy("rep", "part").agg(F.max(F.expr("part != main")).alias("outside"))
+    apart = stored(apart.join(sets, "rep"), "apart")
+    found = tested(_prefix_pairs(apart, threshold))
+    return components(links.unionByName(found)) if found.limit(1).count() else labels
+
+
+def _prefix_pairs(sets: DataFrame, threshold: int) -> DataFrame:
+    """All pairs (rep, other) of different parts, the first one `outside`, that may be similar enough.
+
+    Two sets with an overlap of o share a shingle among the first (size - o + 1) of each in any common order. Frequent
+    shingles come last, so members of a large group that is connected already do not meet on what they all hold. The
+    overlap that is needed depends on both sizes, so prefixes are given for each size class of the other set.
+    """
+    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    frequent = counts.filter(f"count >= {LEAST_COUNT}").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()
+    order = np.argsort(frequent.column("shingle").to_numpy())
+    shared = sets.sparkSession.sparkContext.broadcast(
+        (frequent.column("shingle").to_numpy()[order], frequent.column("count").to_numpy()[order])
+    )
+    lows = np.unique(np.ceil(SIZE_RATIO ** np.arange(250)).astype(np.int64))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = shared.value
+        for batch in batches:
+            values, bounds = batch.column("shingles").flatten().to_numpy(), batch.column("shingles").value_lengths().to_numpy()
+            bounds = np.concatenate([[0], np.cumsum(bounds)])
+            weight = np.zeros(len(values), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                weight = np.where(known[at] == values, count[at], 0)
+            row, token, own, other = [], [], [], []
+            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                n = b - a
+                ranked = values[a:b][np.lexsort((values[a:b], weight[a:b]))]
+                mine, least = int(np.searchsorted(lows, n, "right")) - 1, -(-threshold * n // 100)
+                last = int(np.searchsorted(lows, 100 * n // threshold, "right"))
+                for c in range(int(np.searchsorted(lows, least, "right")) - 1, last):
+                    needed = -(-threshold * (n + max(int(lows[c]), least)) // (100 + threshold))
+                    if needed <= n:
+                        token.append(ranked[: n - needed + 1])
+                        row.append(np.full(len(token[-1]), k))
+                        own.append(np.full(len(token[-1]), mine, np.int32))
+                        other.append(np.full(len(token[-1]), c, np.int32))
+            if row:
+                row = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(row) for c in ("rep", "part", "outside")),
+                     *(pa.array(np.concatenate(x)) for x in (token, own, other))],
+                    ["rep", "part", "outside", "shingle", "own", "other_class"],
+                )
+
+    schema = "rep long, part long, outside boolean, shingle long, own int, other_class int"
+    rows = stored(sets.mapInArrow(prefixes, schema), "prefixes")
+    left = rows.filter("outside").select("rep", "part", "shingle", "own", "other_class")
+    right = rows.select(
+        F.col("rep").alias("other"), F.col("part").alias("other_part"), "shingle", F.col("own").alias("other_class"),
+        F.col("other_class").alias("own"),
+    )
+    return left.join(right, ["shingle", "own", "other_class"]).filter("part != other_part").select("rep", "other").distinct()
 
 
 def deduplicated(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
