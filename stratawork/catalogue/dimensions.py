@@ -10,32 +10,32 @@ from ..functions import time_simple
 from ..operators import dense_sequence, dimension, join_reference, typed, with_unknown_members
 from ..plans import calendar as full_calendar
 from ..plans import (
-    calendar_bytes,
     calendar_dimension,
     date_spine,
     holidays,
     time_dimension,
     time_of_day,
     with_sentinels,
-    year_span,
 )
 from .inputs import UNKNOWN
 from .registry import query, read
 
 
-def calendar_of(spark: SparkSession, df: DataFrame, date_col: str) -> tuple[DataFrame, int]:
-    """The calendar of the years a table covers, and the most bytes it can have."""
-    years = year_span(df, date_col)
-    spine = date_spine(spark, *years)
+#: The calendars start in a fixed year, so an older row renumbers nothing.
+START_YEAR, END_YEAR = 1990, 2030
+
+
+def calendar_of(spark: SparkSession) -> DataFrame:
+    """The calendar that all facts share."""
+    spine = date_spine(spark, START_YEAR, END_YEAR)
     named = holidays(spine, fixed_values.nl_holidays(spark))
-    days = full_calendar(spine, fixed_values.months(spark), fixed_values.weekdays(spark), named)
-    return days, calendar_bytes(*years)
+    return full_calendar(spine, fixed_values.months(spark), fixed_values.weekdays(spark), named)
 
 
-SPINE = """
+SPINE = f"""
 spine AS (
   SELECT CAST(d AS DATE) AS date FROM
-    (SELECT make_date(year(min(o_orderdate)), 1, 1) AS a, make_date(year(max(o_orderdate)), 12, 31) AS b FROM orders),
+    (SELECT DATE '{START_YEAR}-01-01' AS a, DATE '{END_YEAR}-12-31' AS b),
     generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY) AS g(d)
 ),
 dated AS (
@@ -149,8 +149,8 @@ SELECT CAST(CASE WHEN s.date = DATE '9999-12-31' THEN 99999999 ELSE s.date - DAT
 FROM dated s LEFT JOIN per_day o ON o.date = s.date
 """)
 def date_spine_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every day of the orders' years plus the sentinels, with its number of orders."""
-    spine = with_sentinels(date_spine(spark, *year_span(read(spark, sf_dir, "orders"), "o_orderdate")))
+    """Every day of the shared calendar plus the sentinels, with its number of orders."""
+    spine = with_sentinels(date_spine(spark, START_YEAR, END_YEAR))
     return spine.join(_orders_per_day(spark, sf_dir), "date", "left").na.fill(0, ["orders"])
 
 
@@ -160,8 +160,8 @@ SELECT {CALENDAR_COLUMNS}, CAST(coalesce(orders, 0) AS BIGINT) AS orders
 FROM parts p LEFT JOIN holiday h ON h.date = p.date LEFT JOIN per_day o ON o.date = p.date
 """)
 def calendar_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full calendar of the orders' years, with the number of orders per day."""
-    days, _ = calendar_of(spark, read(spark, sf_dir, "orders"), "o_orderdate")
+    """The full calendar of the shared calendar, with the number of orders per day."""
+    days = calendar_of(spark)
     return days.join(_orders_per_day(spark, sf_dir), "date", "left").na.fill(0, ["orders"])
 
 
@@ -175,7 +175,7 @@ FROM c JOIN per_day o ON o.date = c.date
 """)
 def calendar_dimension_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The calendar dimension on the days that have orders."""
-    days = calendar_dimension(calendar_of(spark, read(spark, sf_dir, "orders"), "o_orderdate")[0])
+    days = calendar_dimension(calendar_of(spark))
     return days.join(_orders_per_day(spark, sf_dir), "date")
 
 
@@ -185,8 +185,8 @@ SELECT h.date, holiday_name, CAST(coalesce(orders, 0) AS BIGINT) AS orders
 FROM holiday h JOIN spine s ON s.date = h.date LEFT JOIN per_day o ON o.date = h.date
 """)
 def holiday_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Holidays of the orders' years from the rules, with the orders placed on them."""
-    spine = date_spine(spark, *year_span(read(spark, sf_dir, "orders"), "o_orderdate"))
+    """Holidays of the shared calendar from the rules, with the orders placed on them."""
+    spine = date_spine(spark, START_YEAR, END_YEAR)
     named = holidays(spine, fixed_values.nl_holidays(spark))
     return named.join(_orders_per_day(spark, sf_dir), "date", "left").na.fill(0, ["orders"])
 
@@ -198,10 +198,10 @@ FROM orders LEFT JOIN holiday h ON h.date = CAST(o_orderdate AS DATE)
 """)
 def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with month, weekday and holiday labels from three reference tables."""
-    days, size = calendar_of(spark, read(spark, sf_dir, "orders"), "o_orderdate")
+    days = calendar_of(spark)
     labels = days.select("date", "month_name", F.col("week_day_name").alias("weekday_name"), "holiday_name")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
-    return join_reference(orders, labels, ["date"], known_bytes=size).drop("date")
+    return join_reference(orders, labels, ["date"]).drop("date")
 
 
 @query("""

@@ -33,7 +33,7 @@ from ..functions import (
     yes_no,
 )
 from ..operators import code_list, join_reference, typed, unpivot_by_codes, with_codes
-from ..plans import calendar, calendar_bytes, date_spine, holidays, year_span
+from ..plans import calendar, date_spine, holidays
 from ..plans.weather import measurements, stage_measurement_types, stage_observations
 from .inputs import LANDED_HOURS, MERGED_LINES, hours, landed_hours, merged_lines, number_of
 from .registry import query, read
@@ -230,8 +230,7 @@ FROM events WHERE value > 25
 def warm_hours_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """High values first filtered, then enriched with calendar attributes."""
     events = read(spark, sf_dir, "events")
-    years = year_span(events, "ts")
-    spine = date_spine(spark, *years)
+    spine = date_spine(spark, 2000, 2036)  # a fixed start
     days = calendar(
         spine,
         fixed_values.months(spark),
@@ -239,7 +238,7 @@ def warm_hours_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
         holidays(spine, fixed_values.nl_holidays(spark)),
     ).select("date", "year_nr", "iso_week_nr", "is_weekend")
     warm = events.filter("value > 25").select("event_id", "user_id", "ts", F.col("ts").cast("date").alias("date"))
-    return join_reference(warm, days, ["date"], known_bytes=calendar_bytes(*years)).drop("date")
+    return join_reference(warm, days, ["date"]).drop("date")
 
 
 MEASURE_COLUMNS = {"QTY": "l_quantity", "PRICE": "l_extendedprice", "DISC": "l_discount", "TAX": "l_tax"}
@@ -271,7 +270,7 @@ def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines,
         ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"],
         MEASURE_COLUMNS,
-        code_list(measure_codes(spark), "measure_code"),
+        code_list(measure_codes(spark), "measure_code", MEASURE_COLUMNS),
         "measure_code",
         "measure_value",
     )

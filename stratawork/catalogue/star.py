@@ -44,10 +44,10 @@ def measure_dimension(spark: SparkSession) -> DataFrame:
     )
 
 
-def _star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Fact and dimensions, and the size of the larger dimension, measured once for all joins."""
+def _star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
+    """Fact and dimensions, and the size of each dimension, measured once for all joins."""
     suppliers, measures = supplier_dimension(spark, sf_dir), measure_dimension(spark)
-    size = max(measured_bytes(suppliers), measured_bytes(measures))
+    sizes = {SUPPLIER: measured_bytes(suppliers), MEASURE: measured_bytes(measures)}
     fact = build_fact(
         long_lines(spark, sf_dir),
         "id_fct__shop__measure",
@@ -58,9 +58,9 @@ def _star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
             F.col("l_shipdate").alias("shipped_at"),
             "measure_value",
         ],
-        known_bytes=size,
+        sizes=sizes,
     )
-    return fact, suppliers, measures, size
+    return fact, suppliers, measures, sizes
 
 
 FACT = f"""
@@ -94,19 +94,19 @@ FROM fact JOIN suppliers USING ({SUPPLIER}) JOIN measures USING ({MEASURE})
 """)
 def flat_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The star flattened: one row per measure with supplier and measure attributes."""
-    fact, suppliers, measures, size = _star(spark, sf_dir)
+    fact, suppliers, measures, sizes = _star(spark, sf_dir)
     flat = flatten_star(
         fact,
         [
             (suppliers, SUPPLIER, ["s_suppkey", "s_name", "s_acctbal"]),
             (measures, MEASURE, ["measure_code", "measure_name"]),
         ],
-        known_bytes=size,
+        sizes=sizes,
     )
     return flat.drop("id_fct__shop__measure")
 
 
-def _station_star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def _station_star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
     unknown = fixed_values.unknown_members(spark)
     stations = read(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(
         F.col("c_custkey").cast("int").alias("station_code"),
@@ -119,9 +119,12 @@ def _station_star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     types = measurement_type_dimension(
         stage_measurement_types(fixed_values.measurement_types(spark)), unknown
     )
-    size = max(measured_bytes(stations), measured_bytes(types))
-    fact = measurement_fact(measured_hours(spark, sf_dir), stations, types, known_bytes=size)
-    return fact, stations, types, size
+    sizes = {
+        "id_dim__weather__knmi_station": measured_bytes(stations),
+        "id_dim__weather__knmi_measurement_type": measured_bytes(types),
+    }
+    fact = measurement_fact(measured_hours(spark, sf_dir), stations, types, sizes=sizes)
+    return fact, stations, types, sizes
 
 
 TYPES = "types(code, name, unit) AS (VALUES " + ", ".join(
@@ -163,8 +166,8 @@ FROM station_fact JOIN stations ON station_key = id_dim__weather__knmi_station J
 """)
 def station_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly fact flattened into one row per station, hour and measurement type."""
-    fact, stations, types, size = _station_star(spark, sf_dir)
-    return station_weather(fact, stations, types, known_bytes=size)
+    fact, stations, types, sizes = _station_star(spark, sf_dir)
+    return station_weather(fact, stations, types, sizes=sizes)
 
 
 @query(f"""
@@ -211,7 +214,7 @@ FROM orders GROUP BY 1, 2, 3
 def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders per priority and month through the calendar dimension."""
     orders = read(spark, sf_dir, "orders")
-    days, size = calendar_of(spark, orders, "o_orderdate")
+    days = calendar_of(spark)
     fact = orders.select(
         "o_orderkey",
         "o_orderpriority",
@@ -226,7 +229,6 @@ def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["year_nr", "month_nr"],
         {"o_totalprice": "sum", "o_orderkey": "count", "o_orderstatus": "max"},
         ["o_orderpriority"],
-        known_bytes=size,
     )
 
 

@@ -13,8 +13,8 @@ from .freshness import (
 )
 from .joins import (
     build_fact,
+    common_type,
     flatten_star,
-    hot_keys,
     join_reference,
     lookup,
     measured_bytes,
@@ -39,6 +39,7 @@ from .quality import (
     check_unique_combination,
     declare,
     orphan_rows,
+    require_passed,
     run_suite,
     store_failures,
     violations,

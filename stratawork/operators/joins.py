@@ -1,21 +1,32 @@
 """Joins of a large table with a reference table: lookup with a default key, star flattening, orphans.
 
-A reference table is broadcast only after its size was measured. Beyond the bound the join
-shuffles. Keys that hold a large share of the rows (say, the unknown member, or NULL) are found
-first and spread over as many tasks as there are shuffle partitions; only their reference rows
-are copied.
+A reference table is broadcast only after its size was measured. Beyond the bound the join shuffles and Spark splits the
+partitions of hot keys at run time. Which of the two happens never changes the result: keys of different types are
+widened to a common type first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType, VariantType
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    CharType,
+    DataType,
+    DecimalType,
+    FractionalType,
+    MapType,
+    NumericType,
+    StringType,
+    StructType,
+    VarcharType,
+    VariantType,
+)
 
 from ..functions import surrogate_key
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_SHARE = 0.0005
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -34,21 +45,25 @@ def measured_bytes(df: DataFrame) -> int:
     return rows * fixed + sum(sizes)
 
 
-def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of the keys that may hold more than `share` of the rows (action: one pass over the key columns).
+def common_type(df: DataFrame, left: DataType, right: DataType) -> DataType:
+    """The type in which keys of two types are compared without losing digits.
 
-    A frequent-items sketch is merged on the map side; with 10 000 counters its error is a fraction
-    of the smallest share. The list is at most 1000 long; a key that is not on it joins as usual.
+    Text against anything else is compared as text, so '01' is not 1. Binary fractions have no exact common type with
+    integers and decimals, and are refused.
     """
-    top_k = F.call_function("approx_top_k", F.xxhash64(*on), F.lit(1000), F.lit(10_000))
-    rows, top = df.agg(F.count(F.lit(1)), top_k).first()
-    return [item["item"] for item in top or [] if item["count"] >= rows * share / 2]
+    texts = (StringType, CharType, VarcharType)
+    if isinstance(left, texts) or isinstance(right, texts):
+        return StringType()
+    if left == right:
+        return left
 
+    def binary(kind: DataType) -> bool:
+        return isinstance(kind, FractionalType) and not isinstance(kind, DecimalType)
 
-def _spread(df: DataFrame, salts: int) -> Column:
-    """A salt that depends on the row only: a retried task puts the row in the same place."""
-    plain = [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
-    return F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
+    if isinstance(left, NumericType) and isinstance(right, NumericType) and binary(left) != binary(right):
+        raise ValueError(f"keys of {left.simpleString()} and {right.simpleString()} can't be compared exactly")
+    widened = F.coalesce(F.lit(None).cast(left), F.lit(None).cast(right)).alias("k")
+    return df.sparkSession.range(0).select(widened).schema["k"].dataType
 
 
 def join_reference(
@@ -57,31 +72,25 @@ def join_reference(
     on: list[str],
     how: str = "left",
     max_bytes: int = BROADCAST_BYTES,
-    salts: int | None = None,
     known_bytes: int | None = None,
 ) -> DataFrame:
-    """Join on equal columns; broadcast the reference if it fits, else shuffle with hot keys salted.
+    """Join on equal columns; broadcast the reference if it fits, else shuffle.
 
-    Only for left, inner, left_semi and left_anti joins, where a reference row may exist once per
-    salt. `known_bytes` is an upper bound the caller can prove, such as rows per year times years;
-    it saves the measuring. `salts` defaults to the number of shuffle partitions. Measuring runs the
-    reference's plan once more, and finding hot keys the key columns of the large side: write either
-    to a table first if it is expensive to compute.
+    Only for left, inner, left_semi and left_anti joins, the ones in which the large side alone decides where a hot key
+    is split. The key columns keep the types of the large side. `known_bytes` is the size of the reference where the
+    caller has it already; otherwise its plan is run once more to measure it, so write it to a table first if it is
+    expensive to compute.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"not a reference join: {how}")
-    if (measured_bytes(reference) if known_bytes is None else known_bytes) <= max_bytes:
-        return large.join(F.broadcast(reference), on, how)
-    # Equal values must hash alike; a value that does not fit the type on the other side has no match there.
-    reference = reference.withColumns({c: F.col(c).try_cast(large.schema[c].dataType) for c in on})
-    salts = salts or int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot_keys(large, on, max(1 / salts, HOT_SHARE))  # more than an average task gets
-    if not hot:
-        return large.join(reference, on, how)
-    is_hot = F.xxhash64(*on).isin(hot)
-    salted = large.withColumn("_salt", F.when(is_hot, _spread(large, salts)).otherwise(0))
-    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(reference.withColumn("_salt", F.explode(every)), [*on, "_salt"], how).drop("_salt")
+    kinds = {c: common_type(large, large.schema[c].dataType, reference.schema[c].dataType) for c in on}
+    wide = {c: f"_wide_{c}" for c, kind in kinds.items() if not large.schema[c].dataType == reference.schema[c].dataType == kind}
+    fits = (measured_bytes(reference) if known_bytes is None else known_bytes) <= max_bytes
+    left = large.withColumns({wide[c]: F.col(c).cast(kinds[c]) for c in wide})
+    right = reference.withColumns({wide[c]: F.col(c).cast(kinds[c]) for c in wide}).drop(*wide)
+    joined = left.join(F.broadcast(right) if fits else right, [wide.get(c, c) for c in on], how).drop(*wide.values())
+    others = [] if how in ("left_semi", "left_anti") else [c for c in reference.columns if c not in on]
+    return joined.select(*on, *[c for c in large.columns if c not in on], *others)
 
 
 def lookup(
@@ -100,8 +109,7 @@ def lookup(
     pairs = {on: on} if isinstance(on, str) else on
     alias = alias or key
     side = dim.select(*[F.col(d).alias(f"_lk_{f}") for f, d in pairs.items()], F.col(key).alias("_lk_key"))
-    for f, d in pairs.items():
-        side = side.withColumn(f"_lk_{f}", F.col(f"_lk_{f}").try_cast(fact.schema[f].dataType))
+    for f in pairs:
         side = side.filter(F.col(f"_lk_{f}").isNotNull())
     keyed = fact.select("*", *[F.col(f).alias(f"_lk_{f}") for f in pairs])
     joined = join_reference(keyed, side, [f"_lk_{f}" for f in pairs], "left", **join_options)
@@ -117,46 +125,48 @@ def build_fact(
     lookups: list[tuple[DataFrame, str | dict[str, str], str]],
     columns: list[Column | str],
     default: object = "-2",
+    sizes: dict[str, int] | None = None,
     **join_options: int,
 ) -> DataFrame:
     """A fact: its surrogate key over the grain, a key per looked-up dimension, and the other columns.
 
     `lookups` is a list of (dimension, business key, dimension key); see `lookup`. The fact itself is
-    hashed and projected in place, each small dimension is one broadcast.
+    hashed and projected in place, each small dimension is one broadcast. `sizes` gives the bytes of
+    dimensions, by dimension key, that were measured before.
     """
     business = [f for _, on, _ in lookups for f in ([on] if isinstance(on, str) else on)]
     others = df.select(*columns).columns
     fact = df.select(surrogate_key(*grain).alias(key), *[F.col(b).alias(f"_bk_{b}") for b in business], *columns)
     for dim, on, dim_key in lookups:
         pairs = {on: on} if isinstance(on, str) else on
-        fact = lookup(fact, dim, {f"_bk_{f}": d for f, d in pairs.items()}, dim_key, default, **join_options)
+        named = {f"_bk_{f}": d for f, d in pairs.items()}
+        fact = lookup(fact, dim, named, dim_key, default, known_bytes=(sizes or {}).get(dim_key), **join_options)
     return fact.select(key, *[dim_key for _, _, dim_key in lookups], *others)
 
 
-def flatten_star(fact: DataFrame, dims: list[tuple[DataFrame, str, list[str]]], **join_options: int) -> DataFrame:
+def flatten_star(
+    fact: DataFrame,
+    dims: list[tuple[DataFrame, str, list[str]]],
+    sizes: dict[str, int] | None = None,
+    **join_options: int,
+) -> DataFrame:
     """One flat row per fact row: each (dimension, key, attributes) replaces the key by the attributes."""
     flat = fact
     for dim, key, attributes in dims:
-        flat = join_reference(flat, dim.select(key, *attributes), [key], "inner", **join_options).drop(key)
+        side, known = dim.select(key, *attributes), (sizes or {}).get(key)
+        flat = join_reference(flat, side, [key], "inner", known_bytes=known, **join_options).drop(key)
     return flat
 
 
-def small_rows(table: DataFrame, max_rows: int = 1000) -> Column:
-    """The rows of a code table as one literal array of structs. Its bound is checked (action)."""
-    rows = table.take(max_rows + 1)
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows in a code table")
-    fields = [
-        [F.lit(value).cast(f.dataType).alias(f.name) for value, f in zip(row, table.schema.fields)] for row in rows
-    ]
-    if not rows:
-        return F.array().cast(f"array<{table.schema.simpleString()}>")
-    return F.array(*[F.struct(*row) for row in fields])
+def all_rows(table: DataFrame) -> Column:
+    """The rows of a code table as one array of structs: a scalar subquery, so nothing is joined or fetched."""
+    row = F.struct(*[F.col(c) for c in table.columns])
+    return table.agg(F.collect_list(row).alias("rows")).scalar()
 
 
-def with_codes(df: DataFrame, codes: DataFrame, max_codes: int = 1000) -> DataFrame:
-    """Every row with every code, expanded in place from a literal list: no join."""
-    return df.select("*", F.inline(small_rows(codes, max_codes)))
+def with_codes(df: DataFrame, codes: DataFrame) -> DataFrame:
+    """Every row with every code, expanded in place from the list of codes."""
+    return df.select("*", F.inline(all_rows(codes)))
 
 
 def reconcile_keys(produced: DataFrame, declared: DataFrame, keys: list[str]) -> DataFrame:

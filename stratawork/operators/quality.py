@@ -1,7 +1,7 @@
 """Data tests: a test returns the rows that violate it.
 
-The row-local tests of a table are counted together in one scan; a uniqueness test costs one
-shuffle of its key with counts combined before it; a relationship test compares distinct keys.
+The row-local tests of a table are counted together in one scan, its uniqueness tests in another one with one shuffle
+of counts; a relationship test compares distinct keys.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from .write import write_table
 class Check:
     """A data test. `condition` is true for a violating row; `rows` returns violating rows or groups.
 
-    `weight` names the column of `rows` that says how many failures a row stands for.
+    `weight` names the column of `rows` that says how many failures a row stands for. `keys` are the columns of a
+    uniqueness test; all of a table's are counted in one scan and one shuffle. `nulls` says whether a NULL is a value.
     """
 
     name: str
@@ -28,6 +29,8 @@ class Check:
     rows: Callable[[DataFrame], DataFrame] | None = None
     total: Callable[[Column], Column] | None = None
     weight: str | None = None
+    keys: tuple[str, ...] = ()
+    nulls: bool = True
     severity: str = "error"
     store: bool = True
 
@@ -77,7 +80,7 @@ def check_unique(column: str) -> Check:
             .filter("n_records > 1")
         )
 
-    return Check(f"{column}__unique", rows=repeated)
+    return Check(f"{column}__unique", rows=repeated, keys=(column,), nulls=False)
 
 
 def check_unique_combination(*columns: str) -> Check:
@@ -86,7 +89,7 @@ def check_unique_combination(*columns: str) -> Check:
     def repeated(df: DataFrame) -> DataFrame:
         return df.groupBy(*columns).agg(F.count("*").alias("n_records")).filter("n_records > 1").select(*columns)
 
-    return Check("__".join(columns) + "__unique", rows=repeated)
+    return Check("__".join(columns) + "__unique", rows=repeated, keys=columns)
 
 
 def check_relationships(column: str, parent: DataFrame, parent_column: str) -> Check:
@@ -152,15 +155,32 @@ def violations(df: DataFrame, check: Check) -> DataFrame:
 
 
 def orphan_rows(child: DataFrame, column: str, parent: DataFrame, parent_column: str, **join_options: int) -> DataFrame:
-    """The child rows whose key has no parent; NULL passes."""
-    keys = parent.select(F.col(parent_column).cast(child.schema[column].dataType).alias(column)).distinct()
+    """The child rows whose key has no parent; NULL passes. Keys of different types are widened, never cut."""
+    keys = parent.select(F.col(parent_column).alias(column)).distinct()
     return join_reference(child.filter(F.col(column).isNotNull()), keys, [column], "left_anti", **join_options)
 
 
+def _repeated_keys(df: DataFrame, checks: list[Check]) -> DataFrame:
+    """One row: a map from the number of a uniqueness test to how many keys are repeated.
+
+    Every row is expanded into (test, key) and all tests are grouped together. A key is two 64-bit hashes of its values.
+    """
+    keys = []
+    for i, check in enumerate(checks):
+        wanted = F.lit(True) if check.nulls else F.col(check.keys[0]).isNotNull()
+        key = F.struct(F.lit(i).alias("test"), F.xxhash64(*check.keys).alias("a"), F.xxhash64(F.lit("b"), *[
+            F.coalesce(F.xxhash64(c), F.lit(0)) for c in check.keys], *[F.col(c).isNull() for c in check.keys]).alias("b"))
+        keys.append(F.when(wanted, key))
+    expanded = df.select(F.explode(F.array_compact(F.array(*keys))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    counts = expanded.filter("n > 1").groupBy("key.test").agg(F.count("*").alias("repeated"))
+    return counts.agg(F.map_from_entries(F.collect_list(F.struct("test", "repeated"))).alias("repeated"))
+
+
 def _results(table: str, df: DataFrame, checks: list[Check]) -> DataFrame:
-    """(test, severity, failures) of one table: one scan for what a scan can count, one query per other test."""
+    """(test, severity, failures) of one table: one scan for what a scan can count, one for all keys, one query per other test."""
     together = [c for c in checks if c.condition is not None or c.total is not None]
-    alone = [c for c in checks if c not in together]
+    unique = [c for c in checks if c.keys]
+    alone = [c for c in checks if c not in together and not c.keys]
 
     def label(check: Check, failures: Column) -> list[Column]:
         return [F.lit(f"{table}__{check.name}").alias("test"), F.lit(check.severity).alias("severity"),
@@ -173,6 +193,10 @@ def _results(table: str, df: DataFrame, checks: list[Check]) -> DataFrame:
         one = df.agg(*[count.alias(f"c{i}") for i, count in enumerate(counts)])
         rows = [F.struct(*label(c, F.col(f"c{i}"))) for i, c in enumerate(together)]
         parts.append(one.select(F.inline(F.array(*rows))))
+    if unique:
+        parts.append(_repeated_keys(df, unique).select(F.inline(F.array(*[
+            F.struct(*label(c, F.coalesce(F.element_at("repeated", F.lit(i)), F.lit(0)))) for i, c in enumerate(unique)
+        ]))))
     for check in alone:
         failures = F.coalesce(F.sum(check.weight), F.lit(0)) if check.weight else F.count(F.lit(1))
         parts.append(check.rows(df).agg(failures.alias("c")).select(*label(check, F.col("c"))))
@@ -192,6 +216,13 @@ def run_suite(suite: dict[str, tuple[DataFrame, list[Check]]]) -> DataFrame:
     return result.withColumn("status", status)
 
 
+def require_passed(suite: dict[str, tuple[DataFrame, list[Check]]]) -> None:
+    """Run the suite and raise if a test of severity `error` fails: call it on staged tables before they are published."""
+    failed = run_suite(suite).filter("status = 'fail'").select("test", "failures").collect()
+    if failed:
+        raise ValueError("tests failed: " + ", ".join(f"{r['test']} ({r['failures']})" for r in sorted(failed)))
+
+
 def store_failures(suite: dict[str, tuple[DataFrame, list[Check]]], root: str) -> list[tuple[str, str, int]]:
     """Run the suite and write the violating rows of each failed test to `<root>/<test>` (write).
 

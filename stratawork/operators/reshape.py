@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,20 +19,19 @@ def unpivot_by_codes(
 ) -> DataFrame:
     """One row per input row and code that has a value.
 
-    `columns` maps a code to the column that holds its measure, `codes` is the code table's list.
-    A code without a column yields no rows, nor does a column whose code is not in the list. The
-    values are cast to one type; the rows are expanded in place: one scan, no shuffle, no join.
+    `columns` maps a code to the column that holds its measure, `codes` is the code table's list; a code that is listed
+    twice gives its rows twice, as a join with the code table would. A code without a column yields no rows, nor does a
+    column whose code is not in the list. The values are cast to one type; the rows are expanded in place: one scan, no
+    shuffle, no join.
     """
-    # Prefixed, so a code never collides with an id column.
-    used = {f"_u_{code}": columns[code] for code in codes if code in columns}
-    wide = df.select(*ids, *[F.col(column).cast(value_type).alias(name) for name, column in used.items()])
-    long = wide.unpivot([F.col(i) for i in ids], [F.col(f"`{name}`") for name in used], code_name, value_name)
-    return long.filter(F.col(value_name).isNotNull()).withColumn(code_name, F.expr(f"substring({code_name}, 4)"))
-
-
-def code_list(codes: DataFrame, column: str, max_codes: int = 1000) -> list[str]:
-    """The codes of a code table, which is small by contract; the contract is checked (action)."""
-    rows = codes.select(column).take(max_codes + 1)
-    if len(rows) > max_codes:
-        raise ValueError(f"more than {max_codes} codes in {column}")
+    named = [code for code in codes if code in columns]
+    pairs = [F.struct(F.lit(code).alias(code_name), F.col(columns[code]).cast(value_type).alias(value_name)) for code in named]
+    empty = F.array().cast(f"array<struct<`{code_name}`: string, `{value_name}`: {value_type}>>")
+    long = df.select(*ids, F.inline(F.array(*pairs) if pairs else empty))
+    return long.filter(F.col(value_name).isNotNull())
+
+
+def code_list(codes: DataFrame, column: str, known: Iterable[str]) -> list[str]:
+    """The codes of a code table that are among the `known` ones, in order (action); so its size is the caller's."""
+    rows = codes.filter(F.col(column).isin(list(known))).select(column).orderBy(column).collect()
     return [row[0] for row in rows]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .joins import join_reference
+from .joins import BROADCAST_BYTES, measured_bytes
 
 
 def dense_values(df: DataFrame, cols: list[str], start: int = 1, name: str = "sequence_nr") -> DataFrame:
@@ -33,16 +36,14 @@ def dense_values(df: DataFrame, cols: list[str], start: int = 1, name: str = "se
 
 
 def dense_sequence(
-    df: DataFrame, cols: list[str], start: int = 1, name: str = "sequence_nr", **join_options: int
+    df: DataFrame, cols: list[str], start: int = 1, name: str = "sequence_nr", max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Every row with the dense rank of its `cols` over the whole table, like DENSE_RANK without a partition."""
+    """Every row with the dense rank of its `cols` over the whole table, like DENSE_RANK without a partition.
+
+    Rows meet their rank by value: NULL equals NULL, and -0.0 equals 0.0 as it does in a sort.
+    """
     values = dense_values(df, cols, start, name)
-    # A NULL has a rank too: compare NULL flags and values, which an equi join can hash.
-    flags = [F.col(c).isNull().alias(f"_null_{c}") for c in cols]
-    filled = [f"_value_{c}" for c in cols]
-    kinds = {c: df.schema[c].dataType for c in cols}
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_value_{c}") for c in kinds]
-    on = [*[f"_null_{c}" for c in cols], *filled]
-    side = values.select(*flags, *texts, name)
-    joined = join_reference(df.select("*", *flags, *texts), side, on, "inner", **join_options)
-    return joined.select(*df.columns, name)
+    side = values.select(*[F.col(c).alias(f"_value_{c}") for c in cols], name)
+    same = reduce(and_, [df[c].eqNullSafe(F.col(f"_value_{c}")) for c in cols])
+    joined = df.join(F.broadcast(side) if measured_bytes(side) <= max_bytes else side, same, "inner")
+    return joined.select(*[df[c] for c in df.columns], name)

@@ -2,7 +2,6 @@
 
 from .calendar import (
     calendar,
-    calendar_bytes,
     calendar_dimension,
     date_spine,
     integer_series,

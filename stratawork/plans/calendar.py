@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,11 +27,6 @@ from ..functions import (
 EPOCH = date(1900, 1, 1)
 
 
-def calendar_bytes(start_year: int, end_year: int) -> int:
-    """An upper bound of a calendar's size: its days times a generous row."""
-    return (end_year - start_year + 1) * 366 * 1024
-
-
 def integer_series(spark: SparkSession, n: int) -> DataFrame:
     """0 .. n-1 in the column `n`."""
     return spark.range(n).withColumnRenamed("id", "n")
@@ -54,25 +50,32 @@ def date_spine(spark: SparkSession, start_year: int = 2000, end_year: int | None
 
 
 def year_span(df: DataFrame, date_col: str) -> tuple[int, int]:
-    """First and last year of a table's dates (action: one min/max, answered from Parquet statistics where possible)."""
-    lowest, highest = df.agg(F.year(F.min(date_col)), F.year(F.max(date_col))).first()
+    """First and last year of a table's real dates (action: one scan of the column). The sentinels are no dates.
+
+    For tables whose calendar is not shared; a calendar that several facts use starts in a fixed year.
+    """
+    real = df.filter(~F.col(date_col).cast("date").isin(FIRST_SENTINEL, LAST_SENTINEL))
+    lowest, highest = real.agg(F.year(F.min(date_col)), F.year(F.max(date_col))).first()
     if lowest is None:
         raise ValueError(f"{date_col} has no dates")
     return lowest, highest
 
 
 def with_sentinels(spine: DataFrame) -> DataFrame:
-    """The spine plus the two dates that mean 'no date'."""
+    """The spine plus the two dates that mean 'no date', each once, also where the spine reaches them."""
     ends = code_table(
         spine.sparkSession,
         [(0, FIRST_SENTINEL, f"{FIRST_SENTINEL} 00:00:00"), (99999999, LAST_SENTINEL, f"{LAST_SENTINEL} 23:59:59")],
         "day int, date date, date_time timestamp_ntz",
     )
-    return spine.unionByName(ends)
+    return spine.filter(~F.col("date").isin(FIRST_SENTINEL, LAST_SENTINEL)).unionByName(ends)
 
 
 def calendar(spine: DataFrame, months: DataFrame, weekdays: DataFrame, holidays: DataFrame) -> DataFrame:
-    """The full calendar. A spine has at most 366 rows per year, which bounds the windows and the label joins.
+    """The full calendar of a spine without gaps.
+
+    The sequences count periods from the first date of the spine, so they are plain arithmetic. Label tables are joined
+    without a hint: Spark broadcasts what is small.
 
     `base_year` starts in April. `year_week_nr` combines the calendar year with the ISO week, and the
     first ISO year counts its days from the first date of the spine.
@@ -98,20 +101,24 @@ def calendar(spine: DataFrame, months: DataFrame, weekdays: DataFrame, holidays:
         F.col("weekday_code").alias("week_day_abbr"),
         F.col("weekday_name").alias("week_day_name"),
     )
-    # Labels are code tables of 12 and 7 rows, holidays a subset of the spine.
     rows = (
-        base.join(F.broadcast(labels), "month_nr", "left")
-        .join(F.broadcast(names), "day_of_week_nr", "left")
-        .join(F.broadcast(holidays.select("date", "holiday_name")), "date", "left")
+        base.join(labels, "month_nr", "left")
+        .join(names, "day_of_week_nr", "left")
+        .join(holidays.select("date", "holiday_name"), "date", "left")
     )
+    real = spine.filter(~F.col("date").isin(FIRST_SENTINEL, LAST_SENTINEL))
+    rows = rows.withColumn("_first", real.agg(F.min("date").alias("first")).scalar())
 
     def text(column: str) -> Column:
         return F.col(column).cast("string")
 
-    def sequence(*columns: str) -> Column:
-        # The first sentinel has rank 0, so the first real period is 1; the sentinels themselves have none.
-        rank = F.dense_rank().over(Window.orderBy(*columns)) - 1
-        return F.when(~F.col("date").isin(FIRST_SENTINEL, LAST_SENTINEL), rank)
+    def sequence(period: Callable[[Column], Column]) -> Column:
+        """How many periods a date is after the first one, which is 1; the sentinels have no number."""
+        number = period(F.col("date")) - period(F.col("_first")) + 1
+        return F.when(~F.col("date").isin(FIRST_SENTINEL, LAST_SENTINEL), number.cast("int"))
+
+    def days_of(date: Column) -> Column:
+        return F.datediff(date, F.lit(FIRST_SENTINEL).cast("date"))
 
     units = ["year", "quarter", "month", "week"]
     weekend, workday = F.col("day_of_week_nr") >= 6, F.col("day_of_week_nr") <= 5
@@ -163,12 +170,12 @@ def calendar(spine: DataFrame, months: DataFrame, weekdays: DataFrame, holidays:
         yes_no(workday).alias("is_workday"),
         *[period_start("_known", u).alias(f"first_date_of_{u}") for u in units],
         *[period_end("_known", u).alias(f"last_date_of_{u}") for u in units],
-        sequence("iso_year_nr").alias("iso_year_sort"),
-        sequence("year_nr").alias("year_sort"),
-        sequence("year_nr", "quarter_nr").alias("quarter_sort"),
-        sequence("year_nr", "month_nr").alias("month_sort"),
-        sequence("date").alias("day_sort"),
-        sequence("iso_year_nr", "iso_week_nr").alias("week_sort"),
+        sequence(iso_year).alias("iso_year_sort"),
+        sequence(F.year).alias("year_sort"),
+        sequence(lambda d: F.year(d) * 4 + F.quarter(d)).alias("quarter_sort"),
+        sequence(lambda d: F.year(d) * 12 + F.month(d)).alias("month_sort"),
+        sequence(days_of).alias("day_sort"),
+        sequence(lambda d: F.floor(days_of(d) / 7)).alias("week_sort"),
         F.col("holiday_name").isNotNull().alias("is_holiday"),
         "holiday_name",
         (F.col("month_nr").isin(5, 6, 7, 8) & weekend).alias("is_high_generation_day"),

@@ -1,6 +1,7 @@
 """Public holidays from a table of rules.
 
-A rule is a fixed `month`/`day` or an `easter_offset` in days. It may hold only from `first_year` to
+A rule is a fixed `month`/`day`, an `easter_offset` in days, or the `nth` `weekday_nr` (1 = Monday) of a `month`, counted
+from its end if negative; columns that no rule needs may be left out. It may hold only from `first_year` to
 `last_year`, only in years divisible by `every_years`, and move by `sunday_shift` days when it
 falls on a Sunday. Rules are input data: pass another country's table for another country.
 """
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import easter_sunday, weekday_nr
-from ..operators.joins import small_rows
+from ..operators.joins import all_rows
 
 
 def holidays(spine: DataFrame, rules: DataFrame, date: str = "date") -> DataFrame:
@@ -30,11 +31,20 @@ def holidays(spine: DataFrame, rules: DataFrame, date: str = "date") -> DataFram
     fixed = F.make_date("year", "month", "day")
     movable = F.date_add("easter", F.coalesce("easter_offset", F.lit(0)))
     nominal = F.when(F.col("easter_offset").isNull(), fixed).otherwise(movable)
+    if "nth" in rules.columns:
+        first = F.make_date("year", "month", F.lit(1))
+        ahead = F.date_add(first, F.pmod(F.col("weekday_nr") - weekday_nr(first), F.lit(7)) + 7 * (F.col("nth") - 1))
+        last = F.last_day(first)
+        back = F.date_sub(last, F.pmod(weekday_nr(last) - F.col("weekday_nr"), F.lit(7)) - 7 * (F.col("nth") + 1))
+        counted = F.when(F.col("nth") > 0, ahead).otherwise(back)
+        counted = F.when(F.month(counted) == F.col("month"), counted)  # not every month has a fifth one
+        nominal = F.when(F.col("nth").isNotNull(), counted).otherwise(nominal)
     shift = F.when(weekday_nr("nominal") == 7, F.coalesce("sunday_shift", F.lit(0))).otherwise(0)
     named = (
-        years.select("*", F.inline(small_rows(rules)))  # a few dozen rules
+        years.select("*", F.inline(all_rows(rules)))
         .filter(holds)
         .withColumn("nominal", nominal)
+        .filter("nominal is not null")
         .select(F.date_add("nominal", shift).alias(date), "holiday_name")
         .groupBy(date)
         .agg(F.concat_ws("; ", F.array_sort(F.collect_set("holiday_name"))).alias("holiday_name"))

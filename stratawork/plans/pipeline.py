@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import fixed_values
-from ..operators.quality import Check, declare
+from ..operators.quality import Check, declare, require_passed
 from ..operators.write import materialise
 from . import weather
 from .calendar import calendar, calendar_dimension, date_spine
@@ -21,11 +21,13 @@ def build_weather(
     types: DataFrame,
     start_year: int = 2000,
     end_year: int | None = None,
+    checked: bool = True,
 ) -> dict[str, DataFrame]:
     """Build all models below `source`, a merged table of landed hours (write).
 
     Each layer reads only the one below it. Tables that grow with the source are written once and
-    read by the layers above; the exposed product is a view. Returns the models by name.
+    read by the layers above; the exposed product is a view. It is exposed only if the tests of the
+    models below it pass, unless `checked` is off. Returns the models by name.
     """
     unknown = fixed_values.unknown_members(spark)
     built: dict[str, DataFrame] = {}
@@ -58,12 +60,14 @@ def build_weather(
     model("mrt", "dim__common__time", time_dimension(times))
     fact = model("mrt", "fct__weather__knmi_measurement", weather.measurement_fact(long, station_dim, type_dim))
 
+    if checked:
+        require_passed(weather_suite(built))
     model("exp", "exp__weather__station_weather", weather.station_weather(fact, station_dim, type_dim))
     return built
 
 
 def weather_suite(built: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, list[Check]]]:
-    """The tests of the weather models, ready for `run_suite` or `store_failures`."""
+    """The tests of the weather models that are built, ready for `run_suite` or `store_failures`."""
     grain = ["station_code", "observed_at", "measurement_type_code"]
     station, kind = "id_dim__weather__knmi_station", "id_dim__weather__knmi_measurement_type"
     day, time = "id_dim__common__calendar", "id_dim__common__time"
@@ -125,4 +129,4 @@ def weather_suite(built: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, lis
         ),
         "exp__weather__station_weather": declare(combination=grain),
     }
-    return {name: (built[name], declared) for name, declared in checks.items()}
+    return {name: (built[name], declared) for name, declared in checks.items() if name in built}

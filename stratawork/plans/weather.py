@@ -82,7 +82,7 @@ def measurements(staged: DataFrame, types: DataFrame) -> DataFrame:
         staged,
         ["station_code", "observed_at"],
         MEASURES,
-        code_list(types, "measurement_type_code"),
+        code_list(types, "measurement_type_code", MEASURES),
         "measurement_type_code",
         "measurement_value",
     )
@@ -130,7 +130,7 @@ def environment_dimension(environments: DataFrame, unknown: DataFrame) -> DataFr
     )
 
 
-def measurement_fact(long: DataFrame, stations: DataFrame, types: DataFrame, **join_options: int) -> DataFrame:
+def measurement_fact(long: DataFrame, stations: DataFrame, types: DataFrame, **join_options) -> DataFrame:
     """One row per measurement. The calendar and time keys point at the start of the hour that ended."""
     start = shift_hours("observed_at", -1)
     return build_fact(
@@ -151,7 +151,7 @@ def measurement_fact(long: DataFrame, stations: DataFrame, types: DataFrame, **j
     )
 
 
-def station_weather(fact: DataFrame, stations: DataFrame, types: DataFrame, **join_options: int) -> DataFrame:
+def station_weather(fact: DataFrame, stations: DataFrame, types: DataFrame, **join_options) -> DataFrame:
     """The exposed product: one flat row per measurement with station and type attributes."""
     flat = flatten_star(
         fact,

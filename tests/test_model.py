@@ -17,17 +17,17 @@ from stratawork.operators import (
     dense_sequence,
     describe_columns,
     flatten_star,
-    hot_keys,
     join_reference,
     lookup,
     measured_bytes,
     merge_upsert,
+    orphan_rows,
     reconcile_keys,
     typed,
     unpivot_by_codes,
     with_codes,
 )
-from stratawork.plans import calendar, calendar_dimension, date_spine, holidays, time_dimension, time_of_day
+from stratawork.plans import calendar, calendar_dimension, date_spine, holidays, time_dimension, time_of_day, year_span
 from stratawork.plans import weather
 
 
@@ -127,59 +127,99 @@ def test_descriptions_survive_a_write(spark, tmp_path):
 def test_unpivot_drops_missing_values_and_unknown_codes(spark):
     wide = spark.createDataFrame([(1, 10, None), (2, 20, 2.5)], "t int, a int, b double")
     codes = spark.createDataFrame([("T",), ("B",), ("X",)], "code string")
-    long = unpivot_by_codes(wide, ["t"], {"T": "a", "B": "b", "Z": "a"}, code_list(codes, "code"))
+    columns = {"T": "a", "B": "b", "Z": "a"}
+    long = unpivot_by_codes(wide, ["t"], columns, code_list(codes, "code", columns))
     assert sorted(map(tuple, long.collect())) == [(1, "T", Decimal(10)), (2, "B", Decimal("2.50")), (2, "T", Decimal(20))]
-    with pytest.raises(ValueError, match="more than 2 codes"):
-        code_list(codes, "code", max_codes=2)
+
+
+def test_unpivot_without_a_matching_code_and_with_a_repeated_one(spark):
+    wide = spark.createDataFrame([(1, 10)], "t int, a int")
+    none = unpivot_by_codes(wide, ["t"], {"T": "a"}, ["X"], "the code")
+    assert none.collect() == [] and dict(none.dtypes) == {"t": "int", "the code": "string", "value": "decimal(10,2)"}
+    assert unpivot_by_codes(wide, ["t"], {"T": "a"}, ["T", "T"]).count() == 2
+
+
+def test_many_codes(spark):
+    codes = spark.range(1001).selectExpr("concat('c', id) as code")
+    assert with_codes(spark.range(2), codes).count() == 2002
+    wide = spark.createDataFrame([(1, 10)], "t int, a int")
+    names = {f"c{k}": "a" for k in range(1001)}
+    assert unpivot_by_codes(wide, ["t"], names, code_list(codes, "code", names)).count() == 1001
+    rules = spark.range(1001).selectExpr(
+        "concat('h', id) as holiday_name", "1 as month", "1 as day", "cast(null as int) as easter_offset",
+        "cast(null as int) as first_year", "cast(null as int) as last_year", "cast(null as int) as every_years",
+        "cast(null as int) as sunday_shift",
+    )
+    named = holidays(date_spine(spark, 2024, 2024), rules).first()
+    assert named.holiday_name.count(";") == 1000
+
+
+def test_nth_weekday_rules(spark):
+    rules = spark.createDataFrame(
+        [("third Monday", 1, 3, 1), ("last Monday", 5, -1, 1), ("fifth Friday", 2, 5, 5), ("fourth Thursday", 11, 4, 4)],
+        "holiday_name string, month int, nth int, weekday_nr int",
+    ).selectExpr("*", *[f"cast(null as int) as {c}" for c in ("day", "easter_offset", "first_year", "last_year", "every_years", "sunday_shift")])
+    found = {r.holiday_name: r.date.isoformat() for r in holidays(date_spine(spark, 2024, 2024), rules).collect()}
+    assert found == {"third Monday": "2024-01-15", "last Monday": "2024-05-27", "fourth Thursday": "2024-11-28"}
 
 
 @pytest.mark.parametrize("max_bytes", [0, 1 << 26])
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_salted_and_broadcast_joins_agree_with_a_plain_join(spark, how, max_bytes):
+def test_broadcast_and_shuffled_joins_agree_with_a_plain_join(spark, how, max_bytes):
     # A third of the rows share one key, some have none, some have a key without a partner.
     large = spark.range(3000).select(
         "id", F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 50).alias("k")
     )
     small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = sorted(map(str, large.join(small, ["k"], how).collect()))
-    joined = join_reference(large, small, ["k"], how, max_bytes=max_bytes, salts=4)
-    assert sorted(map(str, joined.collect())) == plain
-    physical = joined._jdf.queryExecution().sparkPlan().toString()
-    assert ("_salt" in physical) == (max_bytes == 0)
-
-
-def test_salting_spreads_a_hot_key(spark):
-    large = spark.range(9000).select("id", F.when(F.col("id") < 3000, -1).otherwise(F.col("id")).alias("k"))
-    small = large.select("k").distinct().withColumn("v", F.lit(1))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert sorted(map(str, join_reference(large, small, ["k"], how, max_bytes=max_bytes).collect())) == plain
+
+
+def test_a_hot_key_is_split_at_run_time(spark):
+    large = spark.range(400_000).select(F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id")).alias("k"), F.uuid().alias("v"))
+    small = spark.range(400_000).select(F.col("id").alias("k"), F.uuid().alias("w"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128k",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
-        joined = join_reference(large, small, ["k"], max_bytes=0, salts=16)
-        hot = joined.filter("k = -1").groupBy(F.spark_partition_id()).count().collect()
-        assert joined.count() == 9000
+        joined = join_reference(large.repartition(8), small, ["k"], "inner", max_bytes=0)
+        assert joined.count() >= 360_000
+        query = joined.select("k", "v", "w")
+        query.write.format("noop").mode("overwrite").save()
+        query.collect()
+        assert "skew=true" in query._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert len(hot) > 1 and max(r["count"] for r in hot) < 3000
-
-
-def test_hot_keys_are_found_and_only_they_are_salted(spark):
-    keys = spark.range(30_000).select(
-        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id")).alias("k")
-    )
-    expected = spark.range(1).select(F.xxhash64(F.lit(7).cast("bigint")), F.xxhash64(F.lit(None).cast("bigint"))).first()
-    assert set(hot_keys(keys, ["k"])) == set(expected)
-    assert hot_keys(spark.range(10_000), ["id"]) == []
-    assert hot_keys(spark.range(0), ["id"]) == []
-    even = join_reference(spark.range(10_000), spark.range(5_000), ["id"], "left_semi", max_bytes=0)
-    assert even.count() == 5_000 and "_salt" not in even._jdf.queryExecution().sparkPlan().toString()
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
-def test_key_types_may_differ(spark):
-    large = spark.range(3000).select((F.col("id") % 2).cast("int").alias("k"))
-    reference = spark.createDataFrame([(1, "one"), (1 << 40, "big")], "k bigint, name string")
-    joined = join_reference(large, reference, ["k"], "inner", max_bytes=0)
-    assert joined.count() == 1500
+@pytest.mark.parametrize("max_bytes", [0, 1 << 26])
+def test_keys_are_widened_the_same_way_on_both_paths(spark, max_bytes):
+    decimals = spark.createDataFrame([(Decimal("1.5"), "x"), (Decimal("2.0"), "y")], "k decimal(3,1), name string")
+    numbers = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    texts = spark.createDataFrame([("01", "zero-one"), ("2", "two")], "k string, name string")
+    longs = spark.createDataFrame([(1, "one"), (1 << 40, "big")], "k bigint, name string")
+
+    def names(reference):
+        rows = join_reference(numbers, reference, ["k"], max_bytes=max_bytes)
+        assert dict(rows.dtypes)["k"] == "int"
+        return sorted((r.k, r.name) for r in rows.collect() if r.name)
+
+    assert (names(decimals), names(texts), names(longs)) == ([(2, "y")], [(2, "two")], [(1, "one")])
+    dim = decimals.withColumn("dim_key", F.concat(F.lit("d"), "name"))
+    keyed = lookup(numbers, dim, "k", "dim_key", max_bytes=max_bytes)
+    assert sorted(map(tuple, keyed.collect())) == [(1, "-2"), (2, "dy"), (3, "-2")]
+    flat = flatten_star(numbers, [(texts, "k", ["name"])], max_bytes=max_bytes)
+    assert [r.name for r in flat.collect()] == ["two"]
+    orphans = orphan_rows(numbers, "k", spark.createDataFrame([(Decimal("1.2"),), (Decimal("3.0"),)], "p decimal(3,1)"), "p", max_bytes=max_bytes)
+    assert sorted(r.k for r in orphans.collect()) == [1, 2]
+    with pytest.raises(ValueError, match="exactly"):
+        join_reference(numbers, spark.createDataFrame([(1.0,)], "k double"), ["k"])
 
 
 def test_only_reference_joins(spark):
@@ -202,13 +242,6 @@ def test_lookup_and_flatten(spark, max_bytes):
     assert sorted(map(tuple, flat.collect())) == [("a", "one"), ("b", "unknown"), ("c", "three"), ("d", "unknown")]
 
 
-def test_code_cross_is_bounded(spark):
-    codes = spark.createDataFrame([("A",), ("B",)], "code string")
-    assert with_codes(spark.range(5), codes).count() == 10
-    with pytest.raises(ValueError):
-        with_codes(spark.range(5), codes, max_codes=1)
-
-
 def test_reconcile(spark):
     produced = spark.createDataFrame([("a",), ("b",), ("b",)], "key string")
     declared = spark.createDataFrame([("b",), ("c",), ("c",)], "key string")
@@ -228,6 +261,38 @@ def test_dense_sequence_is_dense_rank(spark, max_bytes):
     assert ranked.count() == 2000
 
 
+@pytest.mark.parametrize("max_bytes", [0, 1 << 26])
+def test_dense_sequence_compares_values(spark, max_bytes):
+    df = spark.createDataFrame([(0, -0.0), (1, 0.0), (2, None), (3, 1.5), (4, float("nan")), (5, None)], "id int, x double")
+    ranked = {r.id: r.sequence_nr for r in dense_sequence(df, ["x"], max_bytes=max_bytes).collect()}
+    assert ranked == {2: 1, 5: 1, 0: 2, 1: 2, 3: 3, 4: 4}
+
+
+def test_dense_sequence_across_a_clock_change(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Amsterdam")
+    try:
+        hours = spark.range(8).select("id", F.timestamp_seconds(F.col("id") * 1800 + 1729983600).alias("at"))
+        ranked = dense_sequence(hours, ["at"], start=0).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted((r.id, r.sequence_nr) for r in ranked) == [(k, k) for k in range(8)]
+
+
+def test_sentinels_occur_once(spark):
+    facts = spark.createDataFrame(
+        [("1900-01-01", 1), ("9999-12-31", 2), ("1901-03-01", 3), ("2024-02-29", 4)], "day string, v int"
+    ).select(F.col("day").cast("date").alias("date"), "v")
+    assert year_span(facts, "date") == (1901, 2024)
+    spine = date_spine(spark, 1900, 1902)
+    full = calendar(spine, fixed_values.months(spark), fixed_values.weekdays(spark), holidays(spine, fixed_values.nl_holidays(spark)))
+    assert full.count() == spine.count() + 1 and full.groupBy("date").count().filter("count > 1").count() == 0
+    assert join_reference(facts, full.select("date", "year_sort", "day_sort"), ["date"]).count() == 4
+    assert full.filter("date = date'1900-01-01' and year_sort is null").count() == 1
+    second = full.filter("date = date'1900-01-02'").first()
+    assert (second.day_sort, second.year_sort, second.month_sort, second.week_sort) == (1, 1, 1, 1)
+
+
 def test_daily_rollup_moves_hour_24_back(spark):
     rows = spark.createDataFrame(
         [(1, "2024-01-01 01:00:00", 2), (1, "2024-01-02 00:00:00", 4), (1, "2024-01-02 01:00:00", 8)], "s int, ts string, v int"

@@ -75,7 +75,7 @@ def test_pipeline(spark, tmp_path):
     rain = flat.filter("measurement_type_code = 'RH'").select("measurement_value").distinct().collect()
     assert [r[0] for r in rain] == [Decimal("0.05")]
     assert flat.filter("station_code = -2").count() == 4 * (2 * 4 + 1)
-    assert spark.table("exp__weather__station_weather").count() == flat.count()
+    assert spark.table("_EXP__exp__weather__station_weather").count() == flat.count()
     assert (tmp_path / "warehouse" / "_MRT" / "dim__common__calendar").exists()
 
     results = {r.test: r for r in run_suite(weather_suite(built)).collect()}

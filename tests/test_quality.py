@@ -17,6 +17,7 @@ from stratawork.operators import (
     check_unique,
     check_unique_combination,
     orphan_rows,
+    require_passed,
     run_suite,
     store_failures,
     violations,
@@ -117,3 +118,23 @@ def test_failures_are_stored_for_failed_tests_only(spark, table, tmp_path):
     ]
     assert sorted(p.name for p in tmp_path.iterdir()) == ["t__id__not_null", "t__rows_expected"]
     assert spark.read.parquet(str(tmp_path / "t__id__not_null")).filter(F.col("id").isNull()).count() == 2
+
+
+def test_uniqueness_tests_share_one_scan(spark):
+    rows = spark.createDataFrame(
+        [(1, None, 0.0), (1, None, -0.0), (2, "a", 1.0), (3, "a", None), (3, "a", None)], "k int, t string, x double"
+    )
+    checks = [check_unique("k"), check_unique("t"), check_unique_combination("k", "t"), check_unique_combination("t", "k", "x")]
+    found = {r.test: r.failures for r in run_suite({"rows": (rows, checks)}).collect()}
+    alone = {f"rows__{c.name}": violations(rows, c).count() for c in checks}
+    assert found == alone and set(found.values()) == {2, 1}
+    plan = run_suite({"rows": (rows, checks)})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert [r.failures for r in run_suite({"none": (rows.limit(0), checks[:2])}).collect()] == [0, 0]
+
+
+def test_require_passed(spark):
+    rows = spark.createDataFrame([(1,), (1,)], "k int")
+    require_passed({"rows": (rows, [check_not_null("k"), check_unique("k").warn()])})
+    with pytest.raises(ValueError, match="rows__k__unique"):
+        require_passed({"rows": (rows, [check_unique("k")])})
