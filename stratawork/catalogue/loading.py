@@ -101,7 +101,7 @@ def landing_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "landing")
     for load_id, rows in zip((FIRST_LOAD, SECOND_LOAD), _loads(spark, sf_dir)):
         land(rows, root, "events", load_id)
-    files = landing_files(read_landing(spark, f"{root}/events__*", EVENT))
+    files = landing_files(spark, root, read_landing(spark, f"{root}/events__*", EVENT))
     return files.groupBy("load_id").agg(F.sum("rows").alias("rows"))
 
 
@@ -200,6 +200,43 @@ def merge_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_latest(second, first, KEYS, ORDER)
 
 
+@query(f"""
+{TWO_LOADS}, merged AS (
+  SELECT event_id, day, user_id, NULL AS event_type, value, _load_id, 'second' AS origin FROM second_load
+  UNION ALL
+  SELECT f.event_id, f.day, f.user_id, f.event_type, f.value, f._load_id, NULL FROM first_load f WHERE NOT EXISTS
+    (SELECT 1 FROM second_load s WHERE s.event_id = f.event_id AND s.day = f.day)
+)
+SELECT event_id, day, user_id, CAST(event_type AS VARCHAR) AS event_type, value, _load_id, origin FROM merged
+""")
+def merge_other_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load that lacks a stored column and brings a new one: the table keeps the one and takes on the other."""
+    path = new_folder(spark, "grown")
+    first, second = _loads(spark, sf_dir)
+    merge_into(spark, path, first, KEYS, ORDER, ["day"])
+    merge_into(spark, path, second.drop("event_type").withColumn("origin", F.lit("second")), KEYS, ORDER, ["day"])
+    schema = "event_id bigint, user_id bigint, event_type string, value decimal(12,2), _load_id string, origin string, day date"
+    return spark.read.schema(schema).parquet(path)
+
+
+@query("""
+SELECT o_orderkey, CAST(o_custkey % 40 AS INTEGER) AS part, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS month,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'second' ELSE 'first' END AS origin
+FROM orders
+""")
+def merge_two_partition_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load that touches every one of more than a thousand partitions over two columns."""
+    path = new_folder(spark, "two-columns")
+    orders = read(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_custkey") % 40).cast("int").alias("part"),
+        (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("month"), F.lit("first").alias("origin"),
+    )
+    keys = ["o_orderkey", "part", "month"]
+    merge_into(spark, path, orders, keys, ["origin"], ["part", "month"])
+    merge_into(spark, path, orders.filter("o_orderkey % 2 = 0").withColumn("origin", F.lit("second")), keys, ["origin"], ["part", "month"])
+    return spark.read.schema("o_orderkey bigint, origin string, part int, month int").parquet(path)
+
+
 @query(MERGED)
 def merge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both loads merged into a Parquet table partitioned by day; only touched partitions are rewritten."""

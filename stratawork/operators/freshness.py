@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .write import write_table
+from .write import partition_path, remove_path, write_table
 
 WARN_AFTER = timedelta(hours=48)
 ERROR_AFTER = timedelta(days=7)
@@ -97,13 +99,11 @@ def changed_sources(log: DataFrame, runs: DataFrame, job: str, tiebreak: list[st
     return compared.filter(changed).drop("_built")
 
 
-def change_set_key(changed: DataFrame, max_sources: int = 10_000) -> DataFrame:
+def change_set_key(changed: DataFrame) -> DataFrame:
     """The change set as one text, `source@value` parts sorted and joined by a pipe.
 
-    The text is the caller's run key, so it is meant for a handful of names; the bound is checked (action).
+    The text is the caller's run key and names every changed source, so it is as long as there are sources.
     """
-    if changed.count() > max_sources:
-        raise ValueError(f"more than {max_sources} sources changed")
     part = F.concat_ws("@", F.col("source"), F.col("max_loaded_at").cast("string"))
     return changed.agg(F.concat_ws("|", F.array_sort(F.collect_list(part))).alias("change_set_key"))
 
@@ -121,20 +121,27 @@ def recompute_partitions(
     partition_by: list[str],
     model: Callable[[DataFrame], DataFrame],
     path: str,
-    max_partitions: int = 100_000,
 ) -> int:
     """Rebuild only the partitions of `path` whose source rows got newer (write).
 
-    `model` must keep the partition columns and compute each partition from its own rows. Returns
-    the number of partitions that were rebuilt.
+    `model` must keep the partition columns and compute each partition from its own rows. A partition of which nothing
+    is left is removed; NULL is a partition like any other. Returns the number of partitions that got newer rows.
     """
-    values = affected_partitions(df, loaded, since, partition_by).take(max_partitions + 1)
-    if len(values) > max_partitions:
-        raise ValueError(f"more than {max_partitions} partitions got newer; rebuild the whole table")
-    if not values:
-        return 0
-    touched = F.struct(*partition_by).isin(*[F.struct(*[F.lit(v) for v in row]) for row in values])
-    if len(partition_by) == 1:
-        touched = F.col(partition_by[0]).isin([row[0] for row in values])
-    write_table(model(df.filter(touched)), path, "overwrite", partition_by)
-    return len(values)
+    affected = affected_partitions(df, loaded, since, partition_by)
+    named = affected.select(*[F.col(c).alias(f"_part_{c}") for c in partition_by])
+    same = reduce(and_, [df[c].eqNullSafe(F.col(f"_part_{c}")) for c in partition_by])
+    built = model(df.join(named, same, "left_semi"))
+    write_table(built, f"{path}__staging", "replace", partition_by)
+    staged = spark.read.schema(built.schema).parquet(f"{path}__staging")
+    write_table(staged, path, "overwrite", partition_by)
+    held = spark.read.schema(built.schema).parquet(path).select(*partition_by).distinct()
+    stale = held.join(affected, _same(held, affected, partition_by), "left_semi")
+    made = staged.select(*partition_by).distinct()
+    for row in stale.join(made, _same(stale, made, partition_by), "left_anti").toLocalIterator():
+        remove_path(spark, partition_path(spark, path, row.asDict()))
+    remove_path(spark, f"{path}__staging")
+    return affected.count()
+
+
+def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
+    return reduce(and_, [left[c].eqNullSafe(right[c]) for c in cols])

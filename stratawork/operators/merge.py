@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StructType, VariantType
+from pyspark.sql.types import MapType, NullType, StringType, StructType, VariantType
 
 from .write import path_exists, write_table
 
-MAX_PARTITIONS = 100_000
-
-
 def _descending(df: DataFrame, keys: list[str], order: list[str | Column]) -> list[Column]:
     """The wanted order, newest first, then every other column, so equal loads always pick the same row."""
     wanted = [F.col(o).desc() if isinstance(o, str) else o for o in order]
@@ -60,25 +57,38 @@ def _stored_schema(df: DataFrame, partition_by: list[str]) -> StructType:
     return StructType([f for f in df.schema if f.name not in partition_by] + [df.schema[c] for c in partition_by])
 
 
-def _with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows, failing the job on the first one whose key is NULL: such a row could never be merged again."""
-    return df.withColumns({k: F.coalesce(k, F.raise_error(F.lit(f"merge key {k} is NULL"))) for k in keys})
+def _with_keys(df: DataFrame, keys: list[str], partition_by: list[str]) -> DataFrame:
+    """The rows, failing the job on the first one whose key is NULL or whose partition is blank.
+
+    Such a row could never be merged again: a blank text is stored as the NULL partition.
+    """
+    checked = df.withColumns({k: F.coalesce(k, F.raise_error(F.lit(f"merge key {k} is NULL"))) for k in keys})
+    texts = [c for c in partition_by if isinstance(df.schema[c].dataType, StringType)]
+    blank = {c: F.when(F.col(c) == "", F.raise_error(F.lit(f"partition key {c} is blank"))).otherwise(F.col(c)) for c in texts}
+    return checked.withColumns(blank)
+
+
+def _grown(spark: SparkSession, path: str, batch: StructType, partition_by: list[str]) -> StructType:
+    """The table's columns, then those that only the batch has; partition columns last.
+
+    A column that is stored with another type is refused before anything is written.
+    """
+    stored = spark.read.option("mergeSchema", "true").parquet(path).schema
+    kept = [f for f in stored if f.name not in partition_by]
+    for field in kept:
+        if field.name in batch.names and batch[field.name].dataType not in (field.dataType, NullType()):
+            kinds = f"{field.dataType.simpleString()}, not {batch[field.name].dataType.simpleString()}"
+            raise ValueError(f"column {field.name} is stored as {kinds}")
+    new = [f for f in batch if f.name not in stored.names and f.name not in partition_by]
+    return StructType([*kept, *new, *[batch[c] for c in partition_by]])
 
 
-def _touched(batch: DataFrame, partition_by: list[str]) -> Column:
-    """A literal filter on the partitions the batch writes to, so the scan of the table is pruned by it."""
-    values = batch.select(*partition_by).distinct().take(MAX_PARTITIONS + 1)
-    if len(values) > MAX_PARTITIONS:
-        raise ValueError(f"the batch touches more than {MAX_PARTITIONS} partitions; use coarser partitions")
-    if len(partition_by) == 1:
-        return F.col(partition_by[0]).isin([v[0] for v in values])
-    condition = F.lit(False)
-    for value in values:
-        match = F.lit(True)
-        for name in partition_by:
-            match = match & (F.col(name) == F.lit(value[name]))
-        condition = condition | match
-    return condition
+def _touched(existing: DataFrame, batch: DataFrame, partition_by: list[str]) -> DataFrame:
+    """The rows in partitions that the batch writes to: a literal range prunes the scan, a semi-join does the rest."""
+    ends = batch.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in partition_by for f in (F.min, F.max)]).first()
+    for c in partition_by:
+        existing = existing.filter(F.col(c).between(F.lit(ends[f"min_{c}"]), F.lit(ends[f"max_{c}"])))
+    return existing.join(batch.select(*partition_by).distinct(), partition_by, "left_semi")
 
 
 def _empty(spark: SparkSession, path: str, schema: StructType) -> None:
@@ -86,21 +96,26 @@ def _empty(spark: SparkSession, path: str, schema: StructType) -> None:
     nothing.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
-def _swap_in(
-    spark: SparkSession, path: str, schema: StructType, partition_by: list[str], whole: bool = False
-) -> None:
-    """Replace the staged partitions in the table, or the whole table. Running it twice gives the same table."""
-    staged = _table(spark, f"{path}__staging", schema)
+def _swap_in(spark: SparkSession, path: str, schema: StructType, partition_by: list[str], whole: bool = False) -> None:
+    """Replace the staged partitions in the table, or the whole table. Running it twice gives the same table.
+
+    A whole table is staged in a folder of its own, so a swap that was cut off is repeated as what it was.
+    """
+    folder = f"{path}__refresh" if whole else f"{path}__staging"
+    staged = _table(spark, folder, schema)
     dynamic = partition_by and not whole
     write = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if dynamic else "static")
     (write.partitionBy(*partition_by) if partition_by else write).parquet(path)
-    _empty(spark, f"{path}__staging", schema)
+    _empty(spark, folder, schema)
 
 
-def _finish_pending(spark: SparkSession, path: str, schema: StructType, partition_by: list[str]) -> None:
+def _finish_pending(spark: SparkSession, path: str, partition_by: list[str]) -> None:
     """Repeat a swap that was cut off: its staged rows are complete but were not emptied."""
-    if path_exists(spark, f"{path}__staging/_SUCCESS") and not _table(spark, f"{path}__staging", schema).isEmpty():
-        _swap_in(spark, path, schema, partition_by)
+    for folder, whole in ((f"{path}__staging", False), (f"{path}__refresh", True)):
+        if path_exists(spark, f"{folder}/_SUCCESS"):
+            staged = spark.read.option("mergeSchema", "true").parquet(folder)
+            if not staged.isEmpty():
+                _swap_in(spark, path, staged.schema, partition_by, whole)
 
 
 def merge_into(
@@ -119,31 +134,38 @@ def merge_into(
     job that dies on the way never loses rows: before the swap the table is untouched, and a cut-off
     swap is repeated by the next merge. Both staging folders are emptied afterwards.
     The partition columns must be part of the key, or a moved row would leave its old copy behind. A
-    key must not be NULL.
+    key must not be NULL, a partition column not blank. The table keeps columns that the batch lacks
+    (NULL in the batch's own rows) and takes on columns that are new; read it with `mergeSchema` or a
+    declared schema.
     `newest_wins` compares both sides by `order` instead of letting the batch win.
     """
     partition_by = list(partition_by)
     if not set(partition_by) <= set(keys):
         raise ValueError("the partition columns must be part of the key")
     schema = _stored_schema(batch, partition_by)
-    latest = latest_per_key(_with_keys(batch.select(*schema.names), keys), keys, order)
-    _finish_pending(spark, path, schema, partition_by)
+    latest = latest_per_key(_with_keys(batch.select(*schema.names), keys, partition_by), keys, order)
+    _finish_pending(spark, path, partition_by)
     if not path_exists(spark, path):
         write_table(latest, f"{path}__staging", "replace", partition_by)
         _swap_in(spark, path, schema, partition_by)
         return
+    whole = _grown(spark, path, schema, partition_by)
+    untyped = [f.name for f in schema if f.dataType == NullType()]
+    latest = latest.withColumns({c: F.col(c).cast(whole[c].dataType) for c in untyped})
+    schema = latest.schema
     write_table(latest, f"{path}__batch", "replace", partition_by)
     staged = _table(spark, f"{path}__batch", schema)
-    existing = _table(spark, path, schema)
+    existing = _table(spark, path, whole)
     if partition_by:
-        existing = existing.filter(_touched(staged, partition_by))
+        existing = _touched(existing, staged, partition_by)
+    staged = staged.select(*[F.col(f.name) if f.name in schema.names else F.lit(None).cast(f.dataType).alias(f.name) for f in whole])
     if newest_wins:
         merged = merge_latest(existing, staged, keys, order)
     else:
         # One row per key already. Spark knows the size of the staged keys and broadcasts them if they are few.
         merged = existing.join(staged.select(*keys), keys, "left_anti").unionByName(staged)
     write_table(merged, f"{path}__staging", "replace", partition_by)
-    _swap_in(spark, path, schema, partition_by)
+    _swap_in(spark, path, whole, partition_by)
     _empty(spark, f"{path}__batch", schema)
 
 
@@ -159,12 +181,13 @@ def full_refresh(
     """Drop what the table holds and load it again (write).
 
     Rows older than the batch's window are gone, unless `replay_from` brings the whole archive back.
-    The new rows are complete in `<path>__staging` before the old ones are dropped, so a load that
+    The new rows are complete in `<path>__refresh` before the old ones are dropped, so a load that
     fails leaves the table as it was.
     """
     partition_by = list(partition_by)
     rows = batch if replay_from is None else replay_from.unionByName(batch)
     schema = _stored_schema(rows, partition_by)
-    latest = latest_per_key(_with_keys(rows.select(*schema.names), keys), keys, order)
-    write_table(latest, f"{path}__staging", "replace", partition_by)
+    latest = latest_per_key(_with_keys(rows.select(*schema.names), keys, partition_by), keys, order)
+    _finish_pending(spark, path, partition_by)
+    write_table(latest, f"{path}__refresh", "replace", partition_by)
     _swap_in(spark, path, schema, partition_by, whole=True)

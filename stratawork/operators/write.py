@@ -15,37 +15,74 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    if not old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, new):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def partition_path(spark: SparkSession, path: str, values: dict[str, object]) -> str:
+    """The folder of one partition, named as Spark names it."""
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    return "/".join([path, *[named(c, None if v is None else str(v)) for c, v in values.items()]])
+
+
 def write_table(
     df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] = (), cluster_by: list[str] = ()
 ) -> None:
     """Write Parquet (write).
 
-    `append` adds rows, `overwrite` replaces the partitions that occur in `df` (the whole table when
-    it is not partitioned), `replace` replaces the whole table. Rows of one partition are brought
-    together, and a partition that holds too much is split again at run time. With `cluster_by` the
-    rows are range-partitioned and sorted; a hash as the last sort column lets one value span files.
+    `append` adds rows, `overwrite` replaces the partitions that occur in `df`, `replace` replaces the whole table (as
+    does `overwrite` where it is not partitioned). The whole table is replaced only once the new one is complete: it is
+    written beside the old one and moved into its place, so a plan that fails leaves the old rows. Rows of one partition
+    are brought together, and a partition that holds too much is split again at run time. With `cluster_by` the rows are
+    range-partitioned and sorted; a hash as the last sort column lets one value span files.
     """
-    partition_by, cluster_by = list(partition_by), list(cluster_by)
+    spark, partition_by, cluster_by = df.sparkSession, list(partition_by), list(cluster_by)
     if cluster_by:
         spread = F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))])
         df = df.repartitionByRange(*partition_by, *cluster_by, spread).sortWithinPartitions(*partition_by, *cluster_by)
     elif partition_by:
         df = df.hint("rebalance", *partition_by)
-    save = {"append": "append", "overwrite": "overwrite", "replace": "overwrite"}[mode]
-    dynamic = mode == "overwrite" and partition_by
-    write = df.write.mode(save).option("partitionOverwriteMode", "dynamic" if dynamic else "static")
-    if partition_by:
-        write = write.partitionBy(*partition_by)
-    write.parquet(path)
+
+    def save(kind: str, target: str, dynamic: bool) -> None:
+        write = df.write.mode(kind).option("partitionOverwriteMode", "dynamic" if dynamic else "static")
+        (write.partitionBy(*partition_by) if partition_by else write).parquet(target)
+
+    if mode == "append":
+        return save("append", path, False)
+    if mode == "overwrite" and partition_by:
+        return save("overwrite", path, True)
+    if mode not in ("overwrite", "replace"):
+        raise ValueError(f"not a write mode: {mode}")
+    new, old = f"{path}__new", f"{path}__old"
+    if not path_exists(spark, path):
+        if not path_exists(spark, old):
+            return save("overwrite", path, False)
+        move_path(spark, old, path)  # a replace was cut off between its two moves
+    save("overwrite", new, False)
+    remove_path(spark, old)
+    move_path(spark, path, old)
+    move_path(spark, new, path)
+    spark.catalog.refreshByPath(path)
+    remove_path(spark, old)
 
 
-def layer_schema(layer: str | None, target: str, base: str = "") -> str:
-    """The schema a layer lives in: `_<LAYER>` when shared, `<BASE>_<LAYER>` in dev and local."""
-    personal = target.strip().lower() in ("dev", "local")
-    base = base.strip().upper() or ("DBT" if personal else "_TMP")
-    if layer is None:
-        return base
-    return f"{base}_{layer.strip().upper()}" if personal else f"_{layer.strip().upper()}"
+def layer_schema(layer: str | None, owner: str | None = None, shared: str = "_{layer}", own: str = "{owner}_{layer}") -> str:
+    """The schema of a layer: a shared one, or an owner's copy of it where an owner is given.
+
+    Names are upper case and come from the two patterns, which are the caller's convention. Without a layer it is the
+    owner's schema, or the shared one for temporary models.
+    """
+    names = {"layer": (layer or "").strip().upper(), "owner": (owner or "").strip().upper()}
+    if not names["layer"]:
+        return names["owner"] or shared.format(layer="TMP")
+    return (own if names["owner"] else shared).format(**names)
 
 
 def materialise(
@@ -53,29 +90,38 @@ def materialise(
     root: str,
     layer: str,
     name: str,
-    target: str = "prd",
-    base: str = "",
+    owner: str | None = None,
     as_view: bool | None = None,
     partition_by: list[str] = (),
     catalog: bool = False,
+    view_sql: str | None = None,
 ) -> DataFrame:
-    """Write a model to its layer and return the written table, or register it as a view (write).
+    """Write a model to its layer and return the written table, or expose it as a view (write).
 
-    Exposed products are views, everything else is a table; `as_view` overrides that. With `catalog`
-    the layer is a database under `root` and the table is registered in it, column comments included.
+    Exposed products are views, everything else is a table; `as_view` overrides that. With `catalog` the layer is a
+    database under `root` that other sessions see: a table is registered in it, column comments included, and a view is
+    stored there. Its text is `view_sql`; without one it selects from the rows as they are now, kept as a table of the
+    view's name plus `__rows`. Without `catalog` a view is known to this session only, by layer and name.
     """
     if layer not in LAYERS:
         raise ValueError(f"not a layer: {layer}")
-    spark, schema = df.sparkSession, layer_schema(layer, target, base)
-    if as_view if as_view is not None else layer in VIEW_LAYERS:
-        df.createOrReplaceTempView(name)
-        return spark.table(name)
-    path = f"{root}/{schema}/{name}"
+    spark, schema = df.sparkSession, layer_schema(layer, owner)
+    view = as_view if as_view is not None else layer in VIEW_LAYERS
+    if view and not catalog:
+        df.createOrReplaceTempView(f"{schema}__{name}")
+        return spark.table(f"{schema}__{name}")
+    if catalog:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema}` LOCATION '{root}/{schema}'")
+    if view and view_sql:
+        spark.sql(f"CREATE OR REPLACE VIEW `{schema}`.`{name}` AS {view_sql}")
+        return spark.table(f"`{schema}`.`{name}`")
+    stored = f"{name}__rows" if view else name
+    path = f"{root}/{schema}/{stored}"
     write_table(df, path, "replace", partition_by)
-    table = spark.read.schema(df.schema).parquet(path)
     if not catalog:
-        return table
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema}` LOCATION '{root}/{schema}'")
-    spark.sql(f"DROP TABLE IF EXISTS `{schema}`.`{name}`")
-    spark.catalog.createTable(f"`{schema}`.`{name}`", path=path, source="parquet", schema=df.schema)
+        return spark.read.schema(df.schema).parquet(path)
+    spark.sql(f"DROP TABLE IF EXISTS `{schema}`.`{stored}`")
+    spark.catalog.createTable(f"`{schema}`.`{stored}`", path=path, source="parquet", schema=df.schema)
+    if view:
+        spark.sql(f"CREATE OR REPLACE VIEW `{schema}`.`{name}` AS SELECT * FROM `{schema}`.`{stored}`")
     return spark.table(f"`{schema}`.`{name}`")

@@ -18,7 +18,7 @@ def stream_merge(
     order: list[str],
     checkpoint: str,
     partition_by: list[str] = (),
-    max_files: int | None = None,
+    max_files: int | None = 1000,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Upsert every landed row into `target`; the newest row of a key by `order` wins (write).

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import os
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from stratawork.operators import (
 )
 from stratawork.streaming import stream_merge
 
+merge_module = sys.modules["stratawork.operators.merge"]
+
 SCHEMA = "id bigint, value string, load string, day date"
 KEYS, ORDER = ["id", "day"], ["load"]
 
@@ -203,21 +207,62 @@ def test_a_hot_partition_is_split_over_files(spark, tmp_path):
     assert spark.read.parquet(path).count() == 60_000
 
 
-@pytest.mark.parametrize(
-    "layer,target,base,schema",
-    [
-        ("stg", "dev", "DBT_USERNAME", "DBT_USERNAME_STG"),
-        (None, "dev", "DBT_USERNAME", "DBT_USERNAME"),
-        ("stg", "dev", "", "DBT_STG"),
-        (None, "dev", " ", "DBT"),
-        ("stg", "local", "me", "ME_STG"),
-        ("stg", "prd", "_TMP", "_STG"),
-        (None, "prd", "_TMP", "_TMP"),
-        (None, "prd", "", "_TMP"),
-    ],
-)
-def test_layer_schema(layer, target, base, schema):
-    assert layer_schema(layer, target, base) == schema
+def test_layers_are_shared_or_an_owners(spark):
+    assert [layer_schema("stg"), layer_schema(None), layer_schema("stg", "ann"), layer_schema(None, " ann ")] == ["_STG", "_TMP", "ANN_STG", "ANN"]
+    assert layer_schema("int", shared="wh_{layer}") == "wh_INT"
+
+
+def test_a_batch_keeps_and_adds_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merge_into(spark, path, spark.createDataFrame([(1, "a", "x", 1), (2, "b", "y", 1)], "id int, v string, extra string, day int"), ["id", "day"], ["v"], ["day"])
+    merge_into(spark, path, spark.createDataFrame([(2, "c", 5.0, 1), (3, "d", 6.0, 2)], "id int, v string, more double, day int"), ["id", "day"], ["v"], ["day"])
+    rows = spark.read.option("mergeSchema", "true").parquet(path).select("id", "v", "extra", "more", "day").collect()
+    assert sorted(map(tuple, rows)) == [(1, "a", "x", None, 1), (2, "c", None, 5.0, 1), (3, "d", None, 6.0, 2)]
+    with pytest.raises(ValueError, match="stored as"):
+        merge_into(spark, path, spark.createDataFrame([(1, 9, 1)], "id int, v int, day int"), ["id", "day"], ["v"], ["day"])
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_a_blank_partition_is_refused(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a"), (2, "")], "id int, part string")
+    with pytest.raises(Exception, match="blank"):
+        merge_into(spark, path, rows, ["id", "part"], ["id"], ["part"])
+    assert not os.path.exists(path)
+
+
+def test_a_cut_off_refresh_is_repeated_as_a_whole(spark, tmp_path, monkeypatch):
+    path, keys = str(tmp_path / "t"), ["id", "day"]
+    merge_into(spark, path, spark.createDataFrame([(1, 1), (2, 2)], "id int, day int"), keys, ["id"], ["day"])
+    with monkeypatch.context() as patch:
+        patch.setattr(merge_module, "_swap_in", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("cut off")))
+        with pytest.raises(RuntimeError):
+            full_refresh(spark, path, spark.createDataFrame([(3, 3)], "id int, day int"), keys, ["id"], ["day"])
+    merge_into(spark, path, spark.createDataFrame([(4, 3)], "id int, day int"), keys, ["id"], ["day"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(3, 3), (4, 3)]
+
+
+@pytest.mark.parametrize("partition_by", [[], ["day"]])
+def test_a_failing_replace_leaves_the_table(spark, tmp_path, partition_by):
+    path = str(tmp_path / "t")
+    write_table(spark.createDataFrame([(1, 1), (2, 2)], "id int, day int"), path, "replace", partition_by)
+    failing = spark.range(3).selectExpr("cast(id as int) as id", "if(id = 2, cast(raise_error('no') as int), 1) as day")
+    with pytest.raises(Exception, match="no"):
+        write_table(failing, path, "replace", partition_by)
+    assert spark.read.parquet(path).count() == 2
+    write_table(spark.createDataFrame([(5, 5)], "id int, day int"), path, "replace", partition_by)
+    assert spark.read.parquet(path).select("id").collect()[0].id == 5 and sorted(os.listdir(tmp_path)) == ["t"]
+
+
+def test_an_exposed_view_is_seen_by_other_sessions(spark, tmp_path):
+    view = materialise(spark.range(3), str(tmp_path), "exp", "exp__shop__seen", "viewer", catalog=True)
+    other = spark.newSession()
+    assert view.count() == other.table("viewer_exp.exp__shop__seen").count() == 3
+    kinds = {r.name: r.tableType for r in other.catalog.listTables("viewer_exp")}
+    assert kinds["exp__shop__seen"] == "VIEW"
+    again = materialise(spark.range(0), str(tmp_path), "exp", "exp__shop__seen", "viewer", catalog=True,
+                        view_sql="SELECT id * 2 AS double_id FROM viewer_exp.exp__shop__seen__rows")
+    assert sorted(r.double_id for r in again.collect()) == [0, 2, 4]
 
 
 def test_materialise_by_layer(spark, tmp_path):
@@ -225,7 +270,7 @@ def test_materialise_by_layer(spark, tmp_path):
     assert table.count() == 3
     assert (tmp_path / "_MRT" / "dim__shop__three" / "_SUCCESS").exists()
     view = materialise(table, str(tmp_path), "exp", "exp__shop__three")
-    assert spark.table("exp__shop__three").count() == view.count() == 3
+    assert spark.table("_exp__exp__shop__three").count() == view.count() == 3
     with pytest.raises(ValueError):
         materialise(table, str(tmp_path), "gold", "x")
 
@@ -233,10 +278,10 @@ def test_materialise_by_layer(spark, tmp_path):
 def test_materialise_in_the_catalog(spark, tmp_path):
     described = describe_columns(spark.range(3), {"id": "Number."})
     for _ in range(2):  # a rebuild replaces the table
-        table = materialise(described, str(tmp_path), "stg", "stg__shop__three", "dev", "tester", catalog=True)
+        table = materialise(described, str(tmp_path), "stg", "stg__shop__three", "tester", catalog=True)
     assert table.count() == spark.table("tester_stg.stg__shop__three").count() == 3
     parts = spark.range(6).selectExpr("id", "id % 2 as part")
-    split = materialise(parts, str(tmp_path), "stg", "stg__shop__split", "dev", "tester", partition_by=["part"], catalog=True)
+    split = materialise(parts, str(tmp_path), "stg", "stg__shop__split", "tester", partition_by=["part"], catalog=True)
     assert split.filter("part = 1").count() == 3
     assert (tmp_path / "TESTER_STG" / "stg__shop__split" / "part=1").exists()
     comments = {r.col_name: r.comment for r in spark.sql("DESCRIBE tester_stg.stg__shop__three").collect()}
