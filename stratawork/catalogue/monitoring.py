@@ -288,6 +288,12 @@ def failed_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_outcome(_executions(spark, sf_dir), "test", "failed")
 
 
+@query(f"WITH {EXECUTIONS} SELECT * FROM executions WHERE resource_type = 'model' AND status = 'error'")
+def failed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models that failed."""
+    return with_outcome(_executions(spark, sf_dir), "model", "failed")
+
+
 @query(f"WITH {EXECUTIONS} SELECT * FROM executions WHERE resource_type = 'test' AND status = 'warn'")
 def warned_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tests that warned."""

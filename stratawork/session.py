@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -43,13 +46,28 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.stratawork.local.folder", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="stratawork-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.stratawork.local.folder", folder)
     return folder
 
 
+_FOLDERS: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path for one write under the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one write under the shared folder. Results may read from it until `remove_folders` is called."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    return folder
+
+
+def remove_folders(spark: SparkSession) -> int:
+    """Delete what was written to the folders this process made: call it once their results have been read."""
+    done = 0
+    while _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -34,20 +34,27 @@ def read_landing(spark: SparkSession, path: str, schema: StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def landing_files(df: DataFrame) -> DataFrame:
-    """One row per landed file: path, load id, size in bytes, modification time and rows.
+def landing_files(spark: SparkSession, root: str, rows: DataFrame | None = None) -> DataFrame:
+    """One row per landed file: path, load id, size in bytes, modification time, and rows if they are given to count.
 
-    The listing comes from the read itself, so it is never stale. A file without rows is not listed.
+    The folders are listed, no file is read; empty files and those of a load that has not ended are listed too. What the
+    driver holds is the listing. `rows` is the archive as `read_landing` returns it; it costs a read of every file.
     """
-    files = df.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_modification_time").alias("modified_at"),
-    )
-    return files.groupBy("path", "size", "modified_at").agg(F.count("*").alias("rows")).select(
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    listed = []
+    while found.hasNext():
+        file = found.next()
+        if not file.getPath().getName().startswith(("_", ".")):
+            listed.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    files = spark.createDataFrame(listed, "path string, size bigint, millis bigint").select(
         "path",
         F.regexp_extract("path", "__([^/]+)/[^/]*$", 1).alias("load_id"),
         "size",
-        "modified_at",
-        "rows",
+        F.timestamp_millis("millis").alias("modified_at"),
     )
+    if rows is None:
+        return files
+    plain = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    counts = rows.select(F.url_decode(plain).alias("path")).groupBy("path").agg(F.count("*").alias("rows"))
+    return files.join(counts, "path", "left").na.fill(0, ["rows"])

@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from stratawork import get_spark
+from stratawork import get_spark, remove_folders
 
 
 @pytest.fixture(scope="session")
@@ -23,6 +23,13 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def _folders(spark):
+    """Each module's written tables go when it ends."""
+    yield
+    remove_folders(spark)
+
+
 @pytest.fixture
 def one(spark):
     """Evaluate column expressions on one row."""

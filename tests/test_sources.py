@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+from pathlib import Path
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -91,9 +93,15 @@ def test_landing_archive(spark, tmp_path):
     assert dict(read.dtypes)["ww"] == "bigint"
     first = read.filter("_load_id = '1758700000.123456'").first()
     assert (first.station_code, first.t, first.ww, first.q) == (260, 57, None, None)
-    files = landing_files(read).orderBy("load_id").collect()
-    assert [(f.load_id, f.rows) for f in files] == [("1758700000.123456", 1), ("1758786400.5", 1)]
-    assert all(f.size > 0 and f.modified_at for f in files)
+    empty = tmp_path / "landing" / "weather__1758700000.123456" / "empty.json"
+    empty.touch()
+    files = {Path(f.path).name: f for f in landing_files(spark, root, read).collect()}
+    assert files["empty.json"].rows == files["empty.json"].size == 0
+    full = sorted((f.load_id, f.rows) for f in files.values() if f.rows)
+    assert full == [("1758700000.123456", 1), ("1758786400.5", 1)]
+    for file in landing_files(spark, root).collect():
+        facts = os.stat(file.path.removeprefix("file:"))
+        assert (file.size, int(file.modified_at.timestamp())) == (facts.st_size, int(facts.st_mtime))
 
 
 def test_a_line_that_does_not_parse_fails(spark, tmp_path):
