@@ -323,3 +323,34 @@ def trading_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     buyers = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey"))
     sellers = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey"))
     return buyers.union(sellers).distinct()
+
+
+@query(f"""
+WITH dated AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN DATE '1900-01-01' WHEN o_orderkey % 11 = 0 THEN DATE '9999-12-31'
+                          ELSE CAST(o_orderdate AS DATE) END AS date
+  FROM orders
+)
+SELECT o_orderkey, date, CAST(year(date) AS INTEGER) AS year_nr,
+       CASE WHEN date NOT IN (DATE '1900-01-01', DATE '9999-12-31')
+            THEN CAST(date - DATE '{START_YEAR}-01-01' + 1 AS INTEGER) END AS day_sort
+FROM dated
+""")
+def sentinel_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of which some carry a date that means 'no date': each meets the calendar once."""
+    key = F.col("o_orderkey")
+    date = F.when(key % 7 == 0, F.lit("1900-01-01")).when(key % 11 == 0, F.lit("9999-12-31"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(date.cast("date"), F.col("o_orderdate").cast("date")).alias("date"))
+    return join_reference(orders, calendar_of(spark).select("date", "year_nr", "day_sort"), ["date"])
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, value, CAST(dense_rank() OVER (ORDER BY value NULLS FIRST) AS BIGINT) AS sequence_nr
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, nullif(l_discount, 0.05) + 0.0 AS value FROM lineitem)
+""")
+def dense_sequence_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines numbered by a fraction that is NULL or a negative zero for some: rows meet their number by value."""
+    discount = F.nullif("l_discount", F.lit(0.05))
+    negative = F.when((discount == 0) & (F.col("l_partkey") % 2 == 0), F.lit(-0.0)).otherwise(discount)
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", negative.alias("value"))
+    return dense_sequence(lines, ["value"]).withColumn("value", F.col("value") + 0.0)

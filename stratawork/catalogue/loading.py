@@ -220,15 +220,15 @@ def merge_other_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CAST(o_custkey % 40 AS INTEGER) AS part, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS month,
+SELECT o_orderkey, CAST(o_custkey % 8 AS INTEGER) AS part, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS month,
        CASE WHEN o_orderkey % 2 = 0 THEN 'second' ELSE 'first' END AS origin
 FROM orders
 """)
 def merge_two_partition_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A load that touches every one of more than a thousand partitions over two columns."""
+    """A load that touches every one of several hundred partitions over two columns."""
     path = new_folder(spark, "two-columns")
     orders = read(spark, sf_dir, "orders").select(
-        "o_orderkey", (F.col("o_custkey") % 40).cast("int").alias("part"),
+        "o_orderkey", (F.col("o_custkey") % 8).cast("int").alias("part"),
         (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("month"), F.lit("first").alias("origin"),
     )
     keys = ["o_orderkey", "part", "month"]

@@ -211,6 +211,28 @@ def recomputed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_type string, events bigint, day date").parquet(path)
 
 
+@query("""
+SELECT day, event_type, CASE WHEN day IS NULL OR day >= DATE '2024-01-27' THEN CAST(count(*) AS BIGINT) ELSE 0 END AS events
+FROM (SELECT CASE WHEN user_id % 5 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS day, event_type FROM events)
+WHERE day IS NULL OR day != DATE '2024-01-28'
+GROUP BY 1, 2
+""")
+def recomputed_odd_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days built again, of which one is NULL and another one has nothing left."""
+    path = new_folder(spark, "recomputed")
+    day = F.when(F.col("user_id") % 5 != 0, F.col("ts").cast("date"))
+    events = read(spark, sf_dir, "events").withColumn("day", day)
+
+    def model(rows: DataFrame) -> DataFrame:
+        kept = rows.filter("day is null or day != date'2024-01-28'")
+        return kept.groupBy("event_type", "day").agg(F.count("*").alias("events"))
+
+    old = events.groupBy("event_type", "day").agg(F.lit(0).cast("bigint").alias("events"))
+    write_table(old, path, "replace", ["day"])
+    recompute_partitions(spark, events, "ts", datetime(2024, 1, 27, 18), ["day"], model, path)
+    return spark.read.schema("event_type string, events bigint, day date").parquet(path)
+
+
 def _status_of(kind: Column) -> Column:
     value = F.col("value")
     test = (

@@ -13,9 +13,11 @@ from ..operators import (
     daily_rollup,
     dimension,
     flatten_star,
+    join_reference,
     measured_bytes,
     orphan_rows,
     reconcile_keys,
+    with_codes,
     with_unknown_members,
 )
 from ..plans import calendar_dimension
@@ -264,3 +266,34 @@ def orphan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines whose supplier is not in good standing: rows of a relationship test."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate")
     return orphan_rows(lines, "l_suppkey", read(spark, sf_dir, "supplier").filter("s_acctbal >= 0"), "s_suppkey")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, s_name
+FROM lineitem LEFT JOIN supplier ON CAST(l_suppkey AS DECIMAL(20,1)) = CAST(s_suppkey / 2.0 AS DECIMAL(12,1))
+""")
+def lines_by_decimal_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines looked up by a key of another type: 1 is 1.0, not 1.5, however large the reference is."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    halves = read(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") / 2).cast("decimal(12,1)").alias("l_suppkey"), "s_name"
+    )
+    return join_reference(lines, halves, ["l_suppkey"], max_bytes=0)
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem
+WHERE CAST(l_suppkey AS DECIMAL(20,1)) NOT IN (SELECT CAST(s_suppkey / 2.0 AS DECIMAL(12,1)) FROM supplier)
+""")
+def orphans_by_decimal_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without a parent whose keys are decimals: a fraction is never cut off."""
+    halves = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") / 2).cast("decimal(12,1)").alias("half"))
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return orphan_rows(lines, "l_suppkey", halves, "half")
+
+
+@query("SELECT n_nationkey, p_partkey AS code, p_name AS code_name FROM nation CROSS JOIN part")
+def nations_with_many_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation with every one of a long list of codes."""
+    codes = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("code_name"))
+    return with_codes(read(spark, sf_dir, "nation").select("n_nationkey"), codes)
