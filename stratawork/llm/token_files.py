@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +23,23 @@ from pyspark.sql import functions as F
 from stratawork.llm.text import steps
 
 #: Words whose ids a worker keeps; the table is emptied when it is full.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 #: Documents in a batch that is read back.
 BATCH_DOCS = 4096
 
+#: Signs that may stand behind a run of letters; not the apostrophe, with which contractions start.
+_SIGNS = '!"#$%&()*+,./:;<=>?@[\\]^_`{|}~-'
+
 _MANIFEST = "part int, docs long, tokens long, null_ids long, width int"
 
 
-def _encoder(tokenizer: str, end_id: int, kind: str):
+def _encoder(tokenizer: str, end_id: int, kind: str, by_core: bool = True):
     """Texts to the bytes of their ids.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its words put
-    together; each worker asks the tokenizers library once for a word and keeps the answer.
+    together; each worker asks the tokenizers library once for a word and keeps the answer. With `by_core` a word of
+    letters and signs behind them is looked up in these two parts, and new letter runs are encoded in one text, in which
+    tokens that end a word tell them apart.
     """
     import os
 
@@ -41,25 +47,67 @@ def _encoder(tokenizer: str, end_id: int, kind: str):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_str(tokenizer)
-    code = {1: "B", 2: "H", 4: "I"}[np.dtype(kind).itemsize]
+    code, wide = {2: "H", 4: "I"}[np.dtype(kind).itemsize], np.dtype(kind).itemsize
     known: dict[str, bytes] = {}
     end = array(code, [end_id]).tobytes()
+    ends_word = np.zeros(model.get_vocab_size(with_added_tokens=True), bool)
+    ends_word[[i for token, i in model.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def each(words: list[str]) -> dict[str, bytes]:
+        coded = model.encode_batch_fast(words, add_special_tokens=False)
+        return {word: array(code, one.ids).tobytes() for word, one in zip(words, coded)}
+
+    def together(words: list[str]) -> dict[str, bytes]:
+        ids = np.array(model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, kind)
+        last = np.flatnonzero(ends_word[ids]) + 1
+        if len(last) != len(words):
+            return each(words)
+        raw, to = ids.tobytes(), (last * wide).tolist()
+        return {word: raw[x:y] for word, x, y in zip(words, [0, *to[:-1]], to)}
+
+    def plain(text: str) -> bool:
+        """Whether lower-casing first changes nothing: no special token, no sigma, no signs to be put together."""
+        return "<" not in text and (text.isascii() or ("\u03a3" not in text and is_normalized("NFC", text)))
+
+    def learn(new: set[str]) -> None:
+        whole, signed = [], []
+        runs: set[str] = set()
+        for word in new:
+            core = word.rstrip(_SIGNS) if by_core else ""
+            if core.isalpha() and core.islower() and (core.isascii() or is_normalized("NFC", core)):
+                runs.add(core)
+                if core != word:
+                    signed.append((word, core, word[len(core) :]))
+            else:
+                whole.append(word)
+        if runs := runs.difference(known):
+            known.update(together(list(runs)))
+        if whole := list({signs for _, _, signs in signed}.union(whole).difference(known)):
+            known.update(each(whole))
+        known.update([(word, known[core] + known[signs]) for word, core, signs in signed])
 
     def encode(texts: list[str]) -> list[bytes]:
-        pieces = [text.replace("\n", " ").split(" ") for text in texts]
         if len(known) > CACHED_WORDS:
             known.clear()
-        new = list(set().union(*pieces).difference(known))
+        pieces = [(text.lower() if by_core and plain(text) else text).replace("\n", " ").split(" ") for text in texts]
+        coded = [list(map(known.get, words)) for words in pieces]
+        new = {word for words, found in zip(pieces, coded) if None in found for word, ids in zip(words, found) if ids is None}
         if new:
-            coded = model.encode_batch_fast(new, add_special_tokens=False)
-            known.update((word, array(code, one.ids).tobytes()) for word, one in zip(new, coded))
-        get = known.__getitem__
-        return [b"".join(map(get, words)) + end for words in pieces]
+            learn(new)
+            get = known.__getitem__
+            coded = [list(map(get, words)) if None in found else found for words, found in zip(pieces, coded)]
+        return [b"".join(found) + end for found in coded]
 
     return encode
 
 
-def _writer(folder: str, tokenizer, end_id: int, kind: str):
+def _cuts_at_cores(tokenizer: str) -> bool:
+    """Whether the two ways to encode agree on texts in which they could differ."""
+    probe = ["Words, words and WORDS!! x.y a-b it's don't'' 12a a12 [x] (y) a_b ein größer, Été été. naïve%%% a'' 's", "a" * 40 + ",,, ," * 3]
+    return _encoder(tokenizer, 1, "<u4")(probe) == _encoder(tokenizer, 1, "<u4", False)(probe)
+
+
+def _writer(folder: str, tokenizer, end_id: int, kind: str, by_core: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
@@ -69,7 +117,7 @@ def _writer(folder: str, tokenizer, end_id: int, kind: str):
         docs = 0
         for batch in steps(batches):
             if encode is None:
-                encode = _encoder(tokenizer.value, end_id, kind)
+                encode = _encoder(tokenizer.value, end_id, kind, by_core)
                 files = [store.open_output_stream(f"{name}.{attempt}") for name in names]
             coded = encode(batch.column("text").to_pylist())
             files[0].write(b"".join(coded))
@@ -116,7 +164,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
     text = F.coalesce("text", F.lit("")).alias("text")
     ordered = docs.select(F.col("doc_id").cast("long"), text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shared = spark.sparkContext.broadcast(tokenizer)
-    ordered.mapInArrow(_writer(folder, shared, end_id, kind), _MANIFEST).write.parquet(f"{folder}/parts")
+    ordered.mapInArrow(_writer(folder, shared, end_id, kind, _cuts_at_cores(tokenizer)), _MANIFEST).write.parquet(f"{folder}/parts")
     parts = spark.read.schema(_MANIFEST).parquet(f"{folder}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     base = F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")
