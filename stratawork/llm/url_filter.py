@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratawork.llm.text import stored
+from stratawork.llm.text import constants, mixed, stored
 
 #: Bits of one filter at most, 32 MB; a longer list is split by a hash into parts with a cascade each.
 MOST_BITS = 2**28
@@ -46,9 +46,9 @@ def candidate_keys(lengths: list[int]) -> Column:
 
 
 def _bits_of(first: np.ndarray, second: np.ndarray, level: int, bits: int, probes: int) -> np.ndarray:
-    """Probes of every key, one row each: double hashing, shifted by the level."""
-    start = first.view(np.uint64) + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)
-    stride = second.view(np.uint64) | np.uint64(1)
+    """Probes of every key, one row each, by double hashing; each level mixes the hashes anew."""
+    salt = constants(2, 1000 + level)
+    start, stride = mixed(first.view(np.uint64) ^ salt[0]), mixed(second.view(np.uint64) ^ salt[1]) | np.uint64(1)
     return np.stack([((start + np.uint64(k) * stride) >> np.uint64(17)) % np.uint64(bits) for k in range(probes)])
 
 
