@@ -220,21 +220,21 @@ def merge_other_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CAST(o_custkey % 8 AS INTEGER) AS part, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS month,
+SELECT o_orderkey, CAST(o_custkey % 2 AS INTEGER) AS part, CAST(year(o_orderdate) * 10 + quarter(o_orderdate) AS INTEGER) AS quarter,
        CASE WHEN o_orderkey % 2 = 0 THEN 'second' ELSE 'first' END AS origin
 FROM orders
 """)
 def merge_two_partition_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A load that touches every one of several hundred partitions over two columns."""
+    """A load that touches every partition over two columns."""
     path = new_folder(spark, "two-columns")
     orders = read(spark, sf_dir, "orders").select(
-        "o_orderkey", (F.col("o_custkey") % 8).cast("int").alias("part"),
-        (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("month"), F.lit("first").alias("origin"),
+        "o_orderkey", (F.col("o_custkey") % 2).cast("int").alias("part"),
+        (F.year("o_orderdate") * 10 + F.quarter("o_orderdate")).alias("quarter"), F.lit("first").alias("origin"),
     )
-    keys = ["o_orderkey", "part", "month"]
-    merge_into(spark, path, orders, keys, ["origin"], ["part", "month"])
-    merge_into(spark, path, orders.filter("o_orderkey % 2 = 0").withColumn("origin", F.lit("second")), keys, ["origin"], ["part", "month"])
-    return spark.read.schema("o_orderkey bigint, origin string, part int, month int").parquet(path)
+    keys = ["o_orderkey", "part", "quarter"]
+    merge_into(spark, path, orders, keys, ["origin"], ["part", "quarter"])
+    merge_into(spark, path, orders.filter("o_orderkey % 2 = 0").withColumn("origin", F.lit("second")), keys, ["origin"], ["part", "quarter"])
+    return spark.read.schema("o_orderkey bigint, origin string, part int, quarter int").parquet(path)
 
 
 @query(MERGED)
