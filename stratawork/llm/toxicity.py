@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ SAMPLE = {1: 2500, 0: 5000}
 MOST_CHARS = 10_000
 #: Sentences in the fit: all that hold a toxic token, and others up to this number.
 SENTENCES = 40_000
+#: Every so many-th document of the sample is kept from the field and calibrates the scores.
+ASIDE = 4
 #: Longer sentences are cut for the fit, not for the scores.
 PIECE = 64
 #: Words whose potentials a worker keeps; the table is emptied when it is full.
@@ -115,7 +118,13 @@ def _cues(texts: list[list[str]], labels: np.ndarray) -> set[str]:
     """Features that tell toxic documents from others: nearly all documents that hold them are toxic, and not by chance."""
     of_word: dict[str, tuple[str, ...]] = {}
     seen = (Counter(), Counter())
+    copies = set()
     for tokens, label in zip(texts, labels.tolist()):
+        # Near copies mostly share the smallest hash of four words; what they hold counts once.
+        least = min((crc32(" ".join(tokens[k : k + 4]).encode()) for k in range(max(1, len(tokens) - 3))), default=0)
+        if (label, least) in copies:
+            continue
+        copies.add((label, least))
         found = set()
         for word in set(tokens):
             if word[0] not in _ENDS:
@@ -143,6 +152,12 @@ def fit_field(texts: list[str], labels: list[int], prior: float) -> Field | None
     texts, labels = list(once), np.array(list(once.values()))
     if not len(labels) or labels.min() == labels.max():
         return None
+    aside = np.arange(len(labels)) % ASIDE == ASIDE - 1
+    if labels[aside].min(initial=1) == labels[aside].max(initial=0) or labels[~aside].min() == labels[~aside].max():
+        aside = np.zeros(len(labels), bool)
+    judged = [text for text, a in zip(texts, aside) if a] or texts
+    judged_labels = labels[aside] if aside.any() else labels
+    texts, labels = [text for text, a in zip(texts, aside) if not a], labels[~aside]
     tokens = [_TOKEN.findall(text.lower()) for text in texts]
     cues = _cues(tokens, labels)
     index: dict[str, int] = {}
@@ -191,7 +206,8 @@ def fit_field(texts: list[str], labels: list[int], prior: float) -> Field | None
         moves += 0.6 * slope_m / np.sqrt(steps_m)
     field = Field({f: float(weights[i]) for f, i in ids.items()}, moves, np.zeros(3))
     evidence = _evidence(field)
-    facts = np.concatenate([evidence(texts[k : k + 500])[0] for k in range(0, len(texts), 500)])
+    facts = np.concatenate([evidence(judged[k : k + 500])[0] for k in range(0, len(judged), 500)])
+    labels = judged_labels
     share = labels.mean()
     importance = np.where(labels == 1, prior / share, (1 - prior) / (1 - share))
     calibration = np.array([math.log(prior / (1 - prior)), 0.0, 0.0])
