@@ -10,7 +10,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from stratawork import catalogue
 from oracle import compare, connect
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
@@ -27,7 +27,10 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, name, SF_DIR) == ""
+    difference = compare(spark, con, name, SF_DIR)
+    if difference == "no rows on either side":  # the smallest tables may hold no case; the next ones must
+        difference = compare(spark, connect(LARGER), name, LARGER)
+    assert difference == ""
 
 
 def test_entry(spark):
