@@ -121,6 +121,7 @@ def calendar(spine: DataFrame, months: DataFrame, weekdays: DataFrame, holidays:
         return F.datediff(date, F.lit(FIRST_SENTINEL).cast("date"))
 
     units = ["year", "quarter", "month", "week"]
+    # The column names and codes below are fixed values: results are compared on them.
     weekend, workday = F.col("day_of_week_nr") >= 6, F.col("day_of_week_nr") <= 5
     return rows.select(
         "date",
