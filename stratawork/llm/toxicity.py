@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from stratawork.llm.text import held_out, steps
 
 #: The field is fitted on about so many toxic and other documents, drawn by a hash of their ids, each up to MOST_CHARS long.
-SAMPLE = {1: 2500, 0: 5000}
+SAMPLE = {1: 1500, 0: 3500}
 MOST_CHARS = 10_000
 #: Sentences in the fit: all that hold a toxic token, and others up to this number.
 SENTENCES = 40_000
@@ -114,34 +114,32 @@ def _marginals(score: np.ndarray, first: np.ndarray, length: np.ndarray, moves:
     return marginal, (joint / joint.sum((0, 1))).sum(2)
 
 
-def _cues(texts: list[list[str]], labels: np.ndarray) -> set[str]:
-    """Features that tell toxic documents from others: nearly all documents that hold them are toxic, and not by chance."""
-    of_word: dict[str, tuple[str, ...]] = {}
-    seen = (Counter(), Counter())
-    copies = set()
-    for tokens, label in zip(texts, labels.tolist()):
-        # Near copies mostly share the smallest hash of four words; what they hold counts once.
-        least = min((crc32(" ".join(tokens[k : k + 4]).encode()) for k in range(max(1, len(tokens) - 3))), default=0)
-        if (label, least) in copies:
-            continue
-        copies.add((label, least))
-        found = set()
-        for word in set(tokens):
-            if word[0] not in _ENDS:
-                found.update(of_word.setdefault(word, _features(word)[1:5]))
-        seen[label].update(found)
-    toxic = max(1, int(labels.sum()))
-    base = toxic / len(labels)
+def _cues(docs: list[np.ndarray], labels: np.ndarray, vocabulary: list[str]) -> set[str]:
+    """Features that tell toxic documents from others: nearly all documents that hold them are toxic, and not by chance.
+
+    Near copies mostly share the smallest hash of four words; what they hold counts once. Features of toxic documents are
+    counted first, and only those that are frequent enough in the others, so no table of all features is kept.
+    """
+    once: dict[tuple[int, int], int] = {}
+    for k, (words, label) in enumerate(zip(docs, labels.tolist())):
+        four = (words[i : i + 4].tobytes() for i in range(max(1, len(words) - 3)))
+        once.setdefault((label, min(map(crc32, four))), k)
+    kept = sorted(once.values())
+    toxic = max(1, int(labels[kept].sum()))
+    base = toxic / len(kept)
+
+    def held(k: int) -> set[str]:
+        words = (vocabulary[w] for w in np.unique(docs[k]).tolist())
+        return {f for word in words if word[0] not in _ENDS for f in _features(word)[1:5]}
+
+    in_toxic = Counter(f for k in kept if labels[k] for f in held(k))
+    cues: set[str] = set()
     for bar in (14, 9):
-        cues = {
-            f for f, n in seen[1].items()
-            if n >= 2 and n * math.log(1 / base) >= bar and n >= 0.95 * (n + seen[0][f])
-        }
-        hit = sum(
-            any(not cues.isdisjoint(of_word[w]) for w in tokens if w in of_word)
-            for tokens, label in zip(texts, labels.tolist()) if label
-        )
-        if hit >= 0.4 * toxic:
+        least = max(2, bar / math.log(1 / base))
+        often = {f for f, n in in_toxic.items() if n >= least}
+        in_clean = Counter(f for k in kept if not labels[k] for f in held(k) & often)
+        cues = {f for f in often if in_toxic[f] >= 0.95 * (in_toxic[f] + in_clean[f])}
+        if sum(not cues.isdisjoint(held(k)) for k in kept if labels[k]) >= 0.4 * toxic:
             break
     return cues
 
@@ -158,14 +156,16 @@ def fit_field(texts: list[str], labels: list[int], prior: float) -> Field | None
     judged = [text for text, a in zip(texts, aside) if a] or texts
     judged_labels = labels[aside] if aside.any() else labels
     texts, labels = [text for text, a in zip(texts, aside) if not a], labels[~aside]
-    tokens = [_TOKEN.findall(text.lower()) for text in texts]
-    cues = _cues(tokens, labels)
     index: dict[str, int] = {}
-    word_of = np.fromiter((index.setdefault(w, len(index)) for t in tokens for w in t), np.int64)
+    docs = [
+        np.fromiter((index.setdefault(w, len(index)) for w in _TOKEN.findall(text.lower())), np.int32) for text in texts
+    ]
     vocabulary = list(index)
+    index.clear()
+    cues = _cues(docs, labels, vocabulary)
     ends_word = np.array([w[0] in _ENDS for w in vocabulary], bool)
     cue_word = np.array([not e and not cues.isdisjoint(_features(w)) for w, e in zip(vocabulary, ends_word)], bool)
-    doc = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    word_of, doc = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     ends = ends_word[word_of]
     first, length = _pieces(*_chains(ends, doc))
     words, owner = word_of[~ends], doc[~ends]
