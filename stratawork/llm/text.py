@@ -6,7 +6,9 @@ same on every machine and in every run.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -97,11 +99,55 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _MULTIPLIERS = constants(256, 7)
 
 
-def words(texts: pa.Array, classes: np.ndarray = BY_SPACE) -> Words:
-    """Every word of a text column: its hash, the row it is in, and its bytes within the column."""
+#: Signs of scripts that set no space between words: Thai to Tibetan, Myanmar, Khmer, kana, Han and their extensions.
+_UNSPACED = (
+    (0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3008), (0x3040, 0x3130), (0x31A0, 0x31C0),
+    (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x1AFF0, 0x1B170),
+    (0x20000, 0x40000),
+)
+
+
+@cache
+def _sign_kinds() -> np.ndarray:
+    """For each code point below 0x40000: 0 part of a word, 1 a word of its own, 2 a separator."""
+    kinds = np.zeros(0x40000, np.uint8)
+    for a, b in _UNSPACED:
+        kinds[a:b] = 1
+    kinds[[c for c in range(0x80, 0x20000) if unicodedata.category(chr(c))[0] in "PZ"]] = 2
+    kinds[[0x200B, 0xFEFF]] = 2
+    return kinds
+
+
+def _other_signs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and kind of the non-ASCII signs of UTF-8 bytes that are not just part of a word."""
+    lead = np.flatnonzero(data >= 0xC2)
+    first = data[lead]
+    more = 1 + (first >= 0xE0).astype(np.int64) + (first >= 0xF0)
+    code = (first & (0x3F >> more)).astype(np.int64)
+    for k in (1, 2, 3):
+        there = more >= k
+        code[there] = code[there] << 6 | data[np.minimum(lead[there] + k, len(data) - 1)] & 0x3F
+    kind = np.where(code < 0x40000, _sign_kinds()[np.minimum(code, 0x3FFFF)], 0)
+    special = kind > 0
+    return lead[special], np.minimum(lead + more + 1, len(data))[special], kind[special]
+
+
+def words(texts: pa.Array, classes: np.ndarray = BY_SPACE, by_script: bool = False) -> Words:
+    """Every word of a text column: its hash, the row it is in, and its bytes within the column.
+
+    With `by_script` non-ASCII punctuation and spaces separate words too, and each sign of a script that sets no space
+    between words is a word.
+    """
     global _MULTIPLIERS
     offsets, data = text_bytes(texts)
     folded = classes[data]
+    cuts = np.empty(0, np.int64)
+    if by_script and len(data):
+        at, to, kind = _other_signs(data)
+        cuts = np.concatenate([at[kind == 1], to[kind == 1]])
+        at, to = at[kind == 2], to[kind == 2]
+        for k in range(4):
+            folded[(at + k)[at + k < to]] = 0
     inside = folded != 0
     n = len(inside)
     if not inside.any():
@@ -109,6 +155,7 @@ def words(texts: pa.Array, classes: np.ndarray = BY_SPACE) -> Words:
         return Words(none.astype(np.uint64), none, none, none)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    edge[cuts] = True
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     after = np.zeros(n, bool)

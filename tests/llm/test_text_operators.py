@@ -148,6 +148,46 @@ def test_overlaps_find_whole_partial_and_edited_passages(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(range(40)) | {200, 201}
 
 
+def test_overlaps_allow_replaced_words_in_items_of_any_length(spark):
+    """One or two replaced words of an item, at every place that the share allows; short items word for word."""
+    draw = random.Random(21)
+    bench, docs, truth = [], [], set()
+    for n in (1, 2, 5, 7, 8, 9, 10, 11, 12, 13, 15, 30):
+        item = [f"w{n}x{k}" for k in range(n)]
+        bench.append((n, " ".join(item)))
+        most = min(n, 13)
+        spare = most - -(-4 * most // 5) if n >= 8 else 0
+        for gone in itertools.chain([()], *(itertools.combinations(range(n), k) for k in range(1, min(spare, 2) + 2))):
+            part = ["zzz" if k in gone else w for k, w in enumerate(item)]
+            equal = [w != "zzz" for w in part]
+            if n >= 13 and len(gone) == 3:
+                continue
+            docs.append((len(docs), f"{some_text(draw, 12)} {' '.join(part)}, {some_text(draw, 12)}"))
+            if any(sum(equal[k : k + most]) >= most - spare for k in range(n - most + 1)):
+                truth.add((docs[-1][0], n))
+    docs.append((len(docs), "begins later: " + " ".join(f"w12x{k}" for k in range(2, 12))))
+    truth.add((docs[-1][0], 12))
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], SCHEMA)
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    found = decontaminate.overlaps(frame, bench)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == truth
+    assert decontaminate.decontaminated(frame, bench).count() == len(docs) - len(truth)
+
+
+def test_overlaps_without_spaces_between_words(spark):
+    draw = random.Random(22)
+    han = lambda n: "".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    one, two = han(14), han(30)
+    items = [(1, one), (2, two[:15] + "\u3002" + two[15:]), (3, "\u00abuno dos tres\u00bb\u2014\u201ccuatro cinco seis siete ocho\u201d")]
+    docs = [
+        (1, han(40) + one + han(40)), (2, han(9) + two[:5] + "\u4e00" + two[6:] + "\uff01" + han(9)), (3, han(200)),
+        (4, "x\u2026uno dos tres\u00a0cuatro cinco seis siete\u2019ocho\u3001y"), (5, one[:7]), (6, "\U00020000\U0001f600\u00e9"),
+    ]
+    frame = spark.createDataFrame([(i, t, "zh", "s", 0) for i, t in docs], SCHEMA)
+    found = decontaminate.overlaps(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.matched) for r in found} == {(1, 1, 14), (2, 2, 29), (4, 3, 8)}
+
+
 def test_overlaps_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (1, "a b c d e f g h i j k l")], "item_id long, text string")
     empty = spark.createDataFrame([], "item_id long, text string")
