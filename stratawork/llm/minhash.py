@@ -21,7 +21,7 @@ from stratawork.llm.text import BY_SPACE, constants, long_lists, mixed, shingles
 PERMUTATIONS = 64
 #: Permutations in a band. Two make four values: a pair at similarity 0.75 is missed by all 32 bands once in 190 000.
 PER_BAND = 2
-#: Candidate ids are broadcast up to this number (8 MB); beyond it the texts are joined with them.
+#: Candidate ids are broadcast up to this number (24 MB); beyond it the texts are joined with them.
 BROADCAST_IDS = 1_000_000
 #: Shingles that are known to be frequent where the rest is compared; the others count as rare. This only orders them.
 FREQUENT, LEAST_COUNT = 200_000, 8
@@ -70,8 +70,8 @@ def _sets(width: int):
         for batch in steps(batches):
             values, bounds = shingles(words(batch.column("text"), BY_SPACE), batch.num_rows, width)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("text_hash"), batch.column("doc_id"), long_lists(values, bounds)],
-                ["text_hash", "rep", "shingles"],
+                [batch.column("rep"), long_lists(values, bounds)],
+                ["rep", "shingles"],
             )
 
     return run
@@ -106,7 +106,9 @@ def near_duplicates(
     sets: no link between different parts is lost, and no bucket is expanded into its pairs.
 
     Null or wordless texts have no shingle, are linked with nothing and kept. Rows without doc_id are kept, with a null
-    component. Rows that repeat a doc_id are one document as far as their texts are alike. Extra columns are ignored.
+    component. Links are between sets, so rows that repeat a doc_id are one document as far as their texts are alike:
+    texts unlike each other are in classes of their own, also if these have the same component_id. Of each class the
+    rows with its smallest (doc_id, text_hash) are kept. Extra columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     signed = stored(source.mapInArrow(_signatures(width, permutations, per_band), _SIGNATURE), "signatures")
@@ -114,9 +116,11 @@ def near_duplicates(
         signed.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("set_a", "set_b")
         .agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "bands")).alias("first"))
-        .select("set_a", "set_b", F.col("first.doc_id").alias("rep"), "first.text_hash", "first.n_shingles", "first.bands"),
+        .select(
+            F.monotonically_increasing_id().alias("rep"), "set_a", "set_b", "first.doc_id", "first.text_hash", "first.bands"
+        ),
         "representatives",
-    )
+    )
     banded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("members")).filter("members > 1")
     met = stored(banded.join(stored(shared, "buckets"), ["band", "bucket"]).select("band", "bucket", "rep", "members"), "met")
@@ -126,27 +130,28 @@ def near_duplicates(
     pivots = stored(pivots.select("band", "bucket", F.col("top.rep").alias("pivot")), "pivots")
     members = stored(met.select("band", "bucket", "rep").join(pivots, ["band", "bucket"]), "members")
     linked = _linked(source, reps, members, width, threshold)
-    moved = reps.join(linked, reps.rep == linked.id, "left").select(
-        "set_a", "set_b", F.coalesce("component", "rep").alias("class")
+    named = stored(linked.join(reps.select("rep", "doc_id", "text_hash"), F.col("id") == F.col("rep")), "linked")
+    heads = named.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
+    heads = named.select("rep", "component").join(heads, "component").select("rep", "head")
+    classes = reps.join(heads, "rep", "left").select(
+        "set_a", "set_b", F.coalesce("head.doc_id", "doc_id").alias("class"), F.coalesce("head.text_hash", "text_hash").alias("first")
     )
-    classes = stored(moved, "classes")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("class"))).otherwise(F.col("doc_id"))
+    classes = stored(classes, "classes")
+    member = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    is_first = (F.col("doc_id") == F.col("class")) & (F.col("text_hash") == F.col("first"))
     return signed.drop("bands").join(classes, ["set_a", "set_b"], "left").select(
-        "doc_id", "text_hash", "n_shingles", component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "doc_id", "text_hash", "n_shingles", F.when(member, F.col("class")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(member, is_first).otherwise(True).alias("kept"),
     )
 
 
 def _linked(source: DataFrame, reps: DataFrame, members: DataFrame, width: int, threshold: int) -> DataFrame:
     """Components (id, component) of the representatives that have a confirmed link."""
-    wanted = stored(
-        members.select("rep").distinct().join(reps.select("rep", "text_hash"), "rep"), "wanted"
-    ).select(F.col("rep").alias("doc_id"), "text_hash")
+    wanted = stored(members.select("rep").distinct().join(reps.select("rep", "doc_id", "text_hash"), "rep"), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = source.join(wanted, ["doc_id", "text_hash"], "left_semi")
-    sets = texts.mapInArrow(_sets(width), "text_hash long, rep long, shingles array<long>")
-    sets = stored(sets.dropDuplicates(["rep", "text_hash"]).select("rep", "shingles"), "sets")
+    texts = source.join(wanted, ["doc_id", "text_hash"]).select("rep", "text")
+    sets = stored(texts.mapInArrow(_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
 
     def tested(pairs: DataFrame) -> DataFrame:
         """Confirmed links among candidate pairs (rep, other), each compared once."""

@@ -121,6 +121,24 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert minhash.near_duplicates(none).count() == 0 and minhash.deduplicated(none).count() == 0
 
 
+def test_a_repeated_id_stands_for_each_of_its_texts(spark):
+    """A class takes only the like one of two texts with one id; of like texts with one id one is kept."""
+    draw = random.Random(23)
+    x, z = some_text(draw, 80), some_text(draw, 80)
+    like_x, like_z = edited(draw, x, 1), edited(draw, z, 1)
+    rows = [(1, x), (5, like_x), (5, z), (7, like_z), (3, some_text(draw, 40)), (3, z + " more"), (8, x), (8, like_x)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows[:3]], SCHEMA)
+    assert {(r.doc_id, r.text) for r in minhash.deduplicated(frame).collect()} == {(1, x), (5, z)}
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame).collect()) == [
+        (1, 1, True), (5, 1, False), (5, 5, True)
+    ]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    assert {(r.doc_id, r.text) for r in minhash.deduplicated(frame).collect()} == {(1, x), rows[4], rows[5]}
+    alike = spark.createDataFrame([(1, t, "en", "s", 0) for t in (x, x, like_x)], SCHEMA)
+    kept = [r.text for r in minhash.deduplicated(alike).collect()]
+    assert kept in ([x, x], [like_x])
+
+
 def test_overlaps_find_whole_partial_and_edited_passages(spark):
     draw = random.Random(2)
     items = [(k, some_text(draw, 30)) for k in range(8)] + [(8, "too short"), (9, None), (10, "")]
