@@ -28,12 +28,16 @@ SAMPLE, MOST_CHARS = 150, 30_000
 LAYOUTS = 450
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 
-_RAW = "script|style|noscript|template|title|textarea|select|button|iframe|object|svg|canvas|audio|video"
+#: Attributes of a tag; a quote stands for itself unless it follows an equals sign.
+_ATTRIBUTES = r"""(?:[^=>]|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]{0,4000}"|'[^']{0,4000}')*)>|</?[a-zA-Z!?][^>]*>""",
+    rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(title|textarea|iframe)(?=[\s/>]){_ATTRIBUTES}>[^<]*+(?:<(?!/?\2[\s/>])[^<]*+)*+</\2\s*+>"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|</?[a-zA-Z!?][^>]*>",
     re.S | re.I,
 )
+#: Elements whose text is left out. One without an end tag ends with its parent, or where a block begins or ends.
+_RAW = frozenset("noscript template title textarea select button iframe object svg canvas audio video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike"
@@ -82,6 +86,24 @@ def _attribute_flags(attributes: str) -> int:
     return flags | (_MARK if "data-main" in attributes else 0)
 
 
+def _empty(tag: str, attributes: str) -> bool:
+    return tag == "svg" and attributes.endswith("/")
+
+
+def _closed(tokens: list[re.Match]) -> set[int]:
+    """Places of the start tags of _RAW elements that have an end tag of their own."""
+    open_at: dict[str, list[int]] = {}
+    found: set[int] = set()
+    for k, token in enumerate(tokens):
+        if token[4] and (tag := token[4].lower()) in _RAW:
+            if not token[3]:
+                if not _empty(tag, token[5]):
+                    open_at.setdefault(tag, []).append(k)
+            elif open_at.get(tag):
+                found.add(open_at[tag].pop())
+    return found
+
+
 class Nodes(NamedTuple):
     """Nodes of many pages in document order, parents first, and their pieces of text."""
 
@@ -99,6 +121,10 @@ def parse(pages: list[str]) -> Nodes:
     for page, source in enumerate(pages):
         stack: list[tuple[str, int]] = []  # tag, node; inline elements without a role of their own have their parent's node
         links = 0
+        skipped = 0  # place in the stack of the element whose text is left out, if any
+        tokens = list(_TOKEN.finditer(source))
+        closed = _closed(tokens)
+        ends = True  # whether that element has an end tag
 
         def opened(tag: str, attributes: str) -> None:
             parent = stack[-1][1] if stack else -1
@@ -117,8 +143,10 @@ def parse(pages: list[str]) -> Nodes:
 
         opened("body", "")
         at = 0
-        for token in _TOKEN.finditer(source):
-            if (a := token.start()) > at and not (text := source[at:a]).isspace():
+        for place, token in enumerate(tokens):
+            if skipped:
+                pass
+            elif (a := token.start()) > at and not (text := source[at:a]).isspace():
                 if "&" in text:
                     text = html.unescape(text)
                 pieces.append((stack[-1][1], block, text))
@@ -130,14 +158,40 @@ def parse(pages: list[str]) -> Nodes:
             elif a > at:
                 pieces.append((stack[-1][1], block, " "))
             at = token.end()
-            tag = token[3]
+            tag = token[4]
             if tag is None:
                 continue
             tag = tag.lower()
             inline = tag in _INLINE
+            if skipped and not ends and (tag in _TAGS or tag in ("html", "head", "body")) and tag != "input":
+                links -= sum(t == "a" for t, _ in stack[skipped:])
+                del stack[skipped:]
+                skipped = 0
+            if skipped:
+                # Only what ends the element, or one around it, counts here.
+                if token[3]:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k][0] == tag:
+                            if k < skipped and not inline:
+                                block += 1
+                            links -= sum(t == "a" for t, _ in stack[k:])
+                            del stack[k:]
+                            skipped = skipped if k > skipped else 0
+                            break
+                        if inline and k != skipped and stack[k][0] not in _INLINE:
+                            break
+                elif tag not in _VOID and not token[5].endswith("/"):
+                    stack.append((tag, stack[-1][1]))
+                    links += tag == "a"
+                continue
+            if tag in _RAW:
+                if not token[3] and not _empty(tag, token[5]):
+                    skipped, ends = len(stack), place in closed
+                    stack.append((tag, stack[-1][1]))
+                continue
             if not inline and tag not in _VOID:
                 block += 1
-            if token[2]:
+            if token[3]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         links -= sum(t == "a" for t, _ in stack[k:])
@@ -159,9 +213,9 @@ def parse(pages: list[str]) -> Nodes:
                             break
                         if above in _CONTAINER:
                             break
-                opened(tag, token[4] or "")
+                opened(tag, token[5] or "")
                 links += tag == "a"
-        if at < len(source):
+        if at < len(source) and not skipped:
             text = html.unescape(source[at:])
             pieces.append((stack[-1][1], block, text))
             rows[stack[-1][1]][6] += text.count(" ") + 1

@@ -179,6 +179,29 @@ def test_main_text(trees, tag, before, after):
     assert extracted(trees, page) == f"{title}\n\n{a} {b}&\n\n{c}"
 
 
+@pytest.mark.parametrize(
+    "piece",
+    [
+        "<video-player src=x>KEPT</video-player>", "<button-group><b>KEPT</b></button-group>", "<svg-icon></svg-icon>KEPT", "<title-bar>KEPT",
+        '<svg class="i" viewBox="0 0 1 1"/>KEPT', "<div><button>GONE</div>KEPT<button>GONE</button>", "<div><select><option>GONE</div>KEPT",
+        "<a href=x><button>GONE</a>KEPT", "<button>GONE<p>KEPT</p>", "<svg><title>GONE</title><path/></svg>KEPT<p>a <svg>",
+        "<svg><svg/><text>GONE</text></svg>KEPT",
+        "<button type=x><div>GONE</div><p>GONE</p></button>KEPT", "<select><option>GONE<option>GONE</select>KEPT",
+        '<div data-state="' + "{&quot;a&quot;: 1} > " * 900 + '" class="main">KEPT</div>', "<img src='" + "x>" * 9000 + "'>KEPT",
+        '<p class="a" b">KEPT</p><p class="c">', "<script>var GONE = '<p>'</script >KEPT", "<title>GONE</title>KEPT", "<textarea></div>GONE</textarea>KEPT",
+    ],
+)
+def test_text_beside_raw_elements_and_long_attributes_is_read(piece):
+    nodes = html_extract.parse([f"<body><article><p>before</p>{piece}<p>after</p></article><p>last</p></body>"])
+    text = [t.strip() for _, _, t in nodes.pieces if t.strip()]
+    assert [t for t in text if t not in ("a", ">")] == ["before", "KEPT", "after", "last"]
+
+
+def test_a_long_attribute_does_not_lose_its_element():
+    long = '<div data-state="' + "x" * 9000 + '" class="sidebar">text</div>'
+    assert html_extract.parse([long]).rows[1][3:5] == html_extract.parse([long.replace("x" * 9000, "")]).rows[1][3:5]
+
+
 def test_decoding_equals_the_best_allowed_choice():
     rng = np.random.default_rng(2)
     for _ in range(20):
