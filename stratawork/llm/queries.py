@@ -8,7 +8,10 @@ from textwrap import dedent
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratawork.llm import decontaminate, html_extract, language_id, minhash, mixing, sharding, token_files, topk, toxicity, url_filter
+from stratawork.llm import (
+    decontaminate, html_extract, language_id, license_scan, minhash, mixing, prefix_trie, sharding, spelling, token_files, topk, toxicity,
+    url_filter,
+)
 from stratawork.llm.text import read
 from stratawork.session import new_folder
 
@@ -170,3 +173,99 @@ def op10_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_pivot_table_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def _crc32_sql(text: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII or UTF-8 text, bit by bit."""
+    bits = f"bin({text})"
+    register = "CASE WHEN xor(r, b) & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END"
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [substr({bits}, 8 * (i // 8) + 8 - i % 8, 1)::BIGINT"
+        f" FOR i IN range(length({bits}))]), lambda r, b: {register}))"
+    )
+
+
+@query(
+    f"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                 'abcdefghijklmnopqrstuvwxyz') AS run
+        FROM documents
+    ), counted AS (
+        SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL HAVING length(run) >= 6
+    ), hashed AS (
+        SELECT run, n, {_crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM counted
+    ), damaged AS (
+        SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                    ELSE run END AS word, n
+        FROM hashed
+    ), words AS MATERIALIZED (
+        SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+    ), cut AS MATERIALIZED (
+        SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), pairs AS (
+        SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word != b.word
+        UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+    ), best AS (
+        SELECT word, count(*) AS n_near, max(near_n) AS form_n FROM pairs GROUP BY word
+    ), formed AS MATERIALIZED (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n,
+               CASE WHEN form_n >= 5 * w.n
+                    THEN (SELECT min(near) FROM pairs p WHERE p.word = w.word AND p.near_n = best.form_n) END AS form
+        FROM words w LEFT JOIN best USING (word)
+    ), ways AS (
+        SELECT word, word AS root, form AS next FROM formed
+        UNION ALL SELECT ways.word, ways.next, f.form FROM ways JOIN formed f ON f.word = ways.next
+    )
+    SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM formed JOIN (
+        SELECT word, root FROM ways WHERE next IS NULL
+    ) USING (word)
+    """
+)
+def op11_chunk_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.word_counts(read(spark, sf_dir, "documents")))
+
+
+@query()
+def op12_diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(read(spark, sf_dir, "documents"), license_scan.default_templates(spark))
+
+
+@query(
+    f"""
+    WITH RECURSIVE own AS (
+        SELECT conv_id, list((coalesce(role, ''), coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, ''))
+               AS turns, {_crc32_sql("conv_id::VARCHAR")} % 9 AS h
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+    ), paths AS MATERIALIZED (
+        SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS path
+        FROM own c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+    ), prefixes AS MATERIALIZED (
+        SELECT conv_id, d AS depth, len(path) = d AS ends, md5(path[1:d]::VARCHAR) AS node,
+               CASE WHEN d > 0 THEN md5(path[1:d - 1]::VARCHAR) END AS parent,
+               CASE WHEN d > 0 THEN strlen(path[d][2]) ELSE 0 END AS bytes
+        FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM paths)
+    ), nodes AS MATERIALIZED (
+        SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+               (count(*) - 1) * any_value(bytes) AS saved,
+               sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+        FROM prefixes GROUP BY depth, node
+    ), children AS (
+        SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY ALL
+    ), full_nodes AS MATERIALIZED (
+        SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (depth, node)
+    ), sums AS (
+        SELECT a.depth, a.node, sum(n.saved) AS saved_tokens, count(*) FILTER (n.n_children = 0) AS n_leaves
+        FROM full_nodes n JOIN prefixes own ON own.conv_id = n.conv_id AND own.depth = n.depth
+             JOIN prefixes a ON a.conv_id = n.conv_id AND a.depth <= n.depth
+        GROUP BY ALL
+    )
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves,
+           s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM full_nodes n JOIN sums s USING (depth, node) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.parent
+    """
+)
+def op13_parenthesis_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(prefix_trie.rebuilt(read(spark, sf_dir, "conversations")))

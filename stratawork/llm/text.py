@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def ascii_lower(text: Column) -> Column:
+    """Only A-Z lower-cased."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
 def held_out() -> Column:
     """Rows whose crc32 of the id as text leaves 2 when divided by 4 are never learned from; a null id is held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
@@ -107,14 +112,24 @@ _UNSPACED = (
 )
 
 
-@cache
+_SIGN_KINDS: np.ndarray | None = None
+
+
 def _sign_kinds() -> np.ndarray:
-    """For each code point below 0x40000: 0 part of a word, 1 a word of its own, 2 a separator."""
+    """For each code point below 0x40000: 0 part of a word, 1 a word of its own, 2 a separator.
+
+    Made once in each process. A plain global travels with the functions that read it; a decorated function would be
+    looked up by name in workers that need not have the package.
+    """
+    global _SIGN_KINDS
+    if _SIGN_KINDS is not None:
+        return _SIGN_KINDS
     kinds = np.zeros(0x40000, np.uint8)
     for a, b in _UNSPACED:
         kinds[a:b] = 1
     kinds[[c for c in range(0x80, 0x20000) if unicodedata.category(chr(c))[0] in "PZ"]] = 2
     kinds[[0x200B, 0xFEFF]] = 2
+    _SIGN_KINDS = kinds
     return kinds
 
 

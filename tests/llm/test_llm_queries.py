@@ -29,6 +29,9 @@ COLUMNS = {
     "op8_": ["doc_id", "size", "source_size", "target"],
     "op9_": ["query_id", "rank", "vec_id", "score"],
     "op10_": ["doc_id", "item_id"],
+    "op11_": ["word", "form", "root", "n", "n_near", "form_n"],
+    "op12_": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+    "op13_": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
 }
 
 
