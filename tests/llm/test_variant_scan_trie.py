@@ -251,7 +251,7 @@ def test_trie_equals_a_plain_one(spark, kind):
         rows = [(c, t, "u", f"text {t}") for c in range(0, 3000) for t in range(3)]
         rows += [(c, t, "u", f"text {t}") for c in range(3000, 3040) for t in range(9 + c % 3)]
     elif kind == "chain":
-        rows = [(c, t, "u", "same") for c in range(60) for t in range(1 + 7 * (c // 5))] + [(900, t, "u", "same") for t in range(3000)]
+        rows = [(c, t, "u", "same") for c in range(60) for t in range(1 + 7 * (c // 5))] + [(900, t, "u", "same") for t in range(150)]
     else:
         rows = [(4, 0, "u", "own")]  # the group's first conversation is not there
     assert nodes(spark, rows) == plain_nodes(rows)
