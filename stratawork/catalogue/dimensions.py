@@ -12,6 +12,7 @@ from ..plans import calendar as full_calendar
 from ..plans import (
     calendar_dimension,
     date_spine,
+    end_year,
     holidays,
     time_dimension,
     time_of_day,
@@ -22,12 +23,17 @@ from .registry import query, read
 
 
 #: The calendars start in a fixed year, so an older row renumbers nothing.
-START_YEAR, END_YEAR = 1990, 2030
+START_YEAR = 1990
 
 
-def calendar_of(spark: SparkSession) -> DataFrame:
+def order_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days up to ten years from now, or up to the year of the last order if that is later."""
+    return date_spine(spark, START_YEAR, end_year([(read(spark, sf_dir, "orders"), "o_orderdate")]))
+
+
+def calendar_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The calendar that all facts share."""
-    spine = date_spine(spark, START_YEAR, END_YEAR)
+    spine = order_spine(spark, sf_dir)
     named = holidays(spine, fixed_values.nl_holidays(spark))
     return full_calendar(spine, fixed_values.months(spark), fixed_values.weekdays(spark), named)
 
@@ -35,7 +41,9 @@ def calendar_of(spark: SparkSession) -> DataFrame:
 SPINE = f"""
 spine AS (
   SELECT CAST(d AS DATE) AS date FROM
-    (SELECT DATE '{START_YEAR}-01-01' AS a, DATE '{END_YEAR}-12-31' AS b),
+    (SELECT DATE '{START_YEAR}-01-01' AS a,
+            make_date(greatest(year(current_date) + 10, max(year(o_orderdate)) FILTER (CAST(o_orderdate AS DATE) <> DATE '9999-12-31')),
+                      12, 31) AS b FROM orders),
     generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY) AS g(d)
 ),
 dated AS (
@@ -150,7 +158,7 @@ FROM dated s LEFT JOIN per_day o ON o.date = s.date
 """)
 def date_spine_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day of the shared calendar plus the sentinels, with its number of orders."""
-    spine = with_sentinels(date_spine(spark, START_YEAR, END_YEAR))
+    spine = with_sentinels(order_spine(spark, sf_dir))
     return spine.join(_orders_per_day(spark, sf_dir), "date", "left").na.fill(0, ["orders"])
 
 
@@ -161,7 +169,7 @@ FROM parts p LEFT JOIN holiday h ON h.date = p.date LEFT JOIN per_day o ON o.dat
 """)
 def calendar_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full calendar of the shared calendar, with the number of orders per day."""
-    days = calendar_of(spark)
+    days = calendar_of(spark, sf_dir)
     return days.join(_orders_per_day(spark, sf_dir), "date", "left").na.fill(0, ["orders"])
 
 
@@ -175,7 +183,7 @@ FROM c JOIN per_day o ON o.date = c.date
 """)
 def calendar_dimension_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The calendar dimension on the days that have orders."""
-    days = calendar_dimension(calendar_of(spark))
+    days = calendar_dimension(calendar_of(spark, sf_dir))
     return days.join(_orders_per_day(spark, sf_dir), "date")
 
 
@@ -186,7 +194,7 @@ FROM holiday h JOIN spine s ON s.date = h.date LEFT JOIN per_day o ON o.date = h
 """)
 def holiday_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holidays of the shared calendar from the rules, with the orders placed on them."""
-    spine = date_spine(spark, START_YEAR, END_YEAR)
+    spine = order_spine(spark, sf_dir)
     named = holidays(spine, fixed_values.nl_holidays(spark))
     return named.join(_orders_per_day(spark, sf_dir), "date", "left").na.fill(0, ["orders"])
 
@@ -198,7 +206,7 @@ FROM orders LEFT JOIN holiday h ON h.date = CAST(o_orderdate AS DATE)
 """)
 def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with month, weekday and holiday labels from three reference tables."""
-    days = calendar_of(spark)
+    days = calendar_of(spark, sf_dir)
     labels = days.select("date", "month_name", F.col("week_day_name").alias("weekday_name"), "holiday_name")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
     return join_reference(orders, labels, ["date"]).drop("date")
@@ -341,7 +349,7 @@ def sentinel_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     date = F.when(key % 7 == 0, F.lit("1900-01-01")).when(key % 11 == 0, F.lit("9999-12-31"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(date.cast("date"), F.col("o_orderdate").cast("date")).alias("date"))
-    return join_reference(orders, calendar_of(spark).select("date", "year_nr", "day_sort"), ["date"])
+    return join_reference(orders, calendar_of(spark, sf_dir).select("date", "year_nr", "day_sort"), ["date"])
 
 
 @query("""

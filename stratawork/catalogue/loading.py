@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +11,15 @@ from pyspark.sql import functions as F
 from ..operators import (
     describe_columns,
     full_refresh,
+    keep_rollup,
     latest_per_key,
     materialise,
     merge_into,
     merge_latest,
     merge_upsert,
+    read_stored,
+    rollup_states,
+    rollup_values,
     row_count_latest,
     typed,
     write_table,
@@ -27,6 +32,7 @@ from ..sources import (
     land,
     landing_files,
     load_window,
+    quarantine,
     read_landing,
     read_seed,
     read_source,
@@ -220,21 +226,78 @@ def merge_other_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CAST(o_custkey % 2 AS INTEGER) AS part, CAST(year(o_orderdate) * 10 + quarter(o_orderdate) AS INTEGER) AS quarter,
+SELECT o_orderkey, CAST(o_custkey % 3 AS INTEGER) AS part, CAST(o_orderdate AS DATE) AS day,
        CASE WHEN o_orderkey % 2 = 0 THEN 'second' ELSE 'first' END AS origin
 FROM orders
 """)
 def merge_two_partition_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A load that touches every partition over two columns."""
+    """A load that touches nearly every one of thousands of partitions over two columns."""
     path = new_folder(spark, "two-columns")
     orders = read(spark, sf_dir, "orders").select(
-        "o_orderkey", (F.col("o_custkey") % 2).cast("int").alias("part"),
-        (F.year("o_orderdate") * 10 + F.quarter("o_orderdate")).alias("quarter"), F.lit("first").alias("origin"),
+        "o_orderkey", (F.col("o_custkey") % 3).cast("int").alias("part"), F.col("o_orderdate").cast("date").alias("day"),
+        F.lit("first").alias("origin"),
     )
-    keys = ["o_orderkey", "part", "quarter"]
-    merge_into(spark, path, orders, keys, ["origin"], ["part", "quarter"])
-    merge_into(spark, path, orders.filter("o_orderkey % 2 = 0").withColumn("origin", F.lit("second")), keys, ["origin"], ["part", "quarter"])
-    return spark.read.schema("o_orderkey bigint, origin string, part int, quarter int").parquet(path)
+    keys = ["o_orderkey", "part", "day"]
+    merge_into(spark, path, orders, keys, ["origin"], ["part", "day"])
+    merge_into(spark, path, orders.filter("o_orderkey % 2 = 0").withColumn("origin", F.lit("second")), keys, ["origin"], ["part", "day"])
+    return spark.read.schema("o_orderkey bigint, origin string, part int, day date").parquet(path)
+
+
+@query(f"""
+{TWO_LOADS}
+SELECT event_id, day, CAST(user_id AS DECIMAL(22,2)) AS user_id, event_type, CAST(value AS DECIMAL(14,4)) AS value, _load_id
+FROM first_load f WHERE NOT EXISTS (SELECT 1 FROM second_load s WHERE s.event_id = f.event_id AND s.day = f.day)
+UNION ALL
+SELECT event_id, day, CAST(user_id + 0.25 AS DECIMAL(22,2)), CAST(length(event_type) AS VARCHAR), CAST(value + 0.0125 AS DECIMAL(14,4)),
+       _load_id
+FROM second_load
+""")
+def merge_promoted_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load whose numbers need more digits, and whose text comes as numbers; older files are read in the wider types."""
+    path = new_folder(spark, "promoted")
+    first, second = _loads(spark, sf_dir)
+    merge_into(spark, path, first, KEYS, ORDER, ["day"])
+    changed = second.withColumns({
+        "user_id": (F.col("user_id") + F.lit(Decimal("0.25"))).cast("decimal(18,2)"), "event_type": F.length("event_type"),
+        "value": (F.col("value") + F.lit(Decimal("0.0125"))).cast("decimal(10,4)"),
+    })
+    merge_into(spark, path, changed, KEYS, ORDER, ["day"])
+    return read_stored(spark, path)
+
+
+@query(f"""
+{TWO_LOADS}, loads AS (
+  SELECT event_id, day, user_id, NULL AS user_id__v_string, event_type, value, _load_id FROM first_load f
+  WHERE NOT EXISTS (SELECT 1 FROM second_load s WHERE s.event_id = f.event_id AND s.day = f.day)
+  UNION ALL
+  SELECT event_id, day, CASE WHEN user_id % 3 > 0 THEN user_id END, CASE WHEN user_id % 3 = 0 THEN 'u' || user_id END, event_type,
+         value, _load_id
+  FROM second_load
+)
+SELECT * FROM loads
+""")
+def merge_side_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load whose numbers come as text: those that are numbers stay, the others go to a column of their own."""
+    path = new_folder(spark, "sides")
+    first, second = _loads(spark, sf_dir)
+    merge_into(spark, path, first, KEYS, ORDER, ["day"])
+    text = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("u"), F.col("user_id"))).otherwise(F.col("user_id").cast("string"))
+    merge_into(spark, path, second.withColumn("user_id", text), KEYS, ORDER, ["day"])
+    return read_stored(spark, path)
+
+
+@query(MERGED)
+def merge_after_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first load without rows, a load, a refresh to no rows, and both loads again."""
+    path = new_folder(spark, "emptied")
+    first, second = _loads(spark, sf_dir)
+    nothing = first.filter("event_id < 0")
+    merge_into(spark, path, nothing, KEYS, ORDER, ["day"])
+    merge_into(spark, path, second, KEYS, ORDER, ["day"])
+    full_refresh(spark, path, nothing, KEYS, ORDER, ["day"])
+    for load in (first, second):
+        merge_into(spark, path, load, KEYS, ORDER, ["day"])
+    return read_stored(spark, path)
 
 
 @query(MERGED)
@@ -314,6 +377,24 @@ def incremental_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("day date, event_type string, events bigint, value_sum decimal(22,2)").parquet(path)
 
 
+@query("""
+SELECT CAST(ts AS DATE) AS day, event_type, CAST(count(*) AS BIGINT) AS rows, CAST(count(value) AS BIGINT) AS value_count,
+       CAST(sum(CAST(value AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS value_sum, CAST(min(value) AS DECIMAL(12,2)) AS value_min,
+       CAST(max(value) AS DECIMAL(12,2)) AS value_max
+FROM events GROUP BY 1, 2
+""")
+def rollup_after_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily roll-up to which each of three loads adds its states; the second load comes twice."""
+    path, rows = new_folder(spark, "rollup"), _event_rows(spark, sf_dir)
+    for number in (0, 1, 1, 2):
+        load = stamp_load(rows.filter(F.col("event_id") % 3 == number), f"170570880{number}.25")
+        states = rollup_states(load, {"day": F.col("day"), "event_type": F.col("event_type")}, {"value": F.col("value")}, {"user": F.col("user_id")})
+        keep_rollup(spark, path, states, ["day", "event_type"], ["day"])
+    return rollup_values(read_stored(spark, path)).drop("value_avg", "user_distinct").select(
+        "day", "event_type", "rows", "value_count", "value_sum", "value_min", "value_max"
+    )
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders")
 def clustered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written in clusters of customer and date."""
@@ -331,6 +412,46 @@ def clustered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(orders.schema).parquet(path)
 
 
+@query("""
+SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(12,2)) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders
+WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-31' OR o_custkey < 100
+""")
+def clustered_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written along a curve over customer and date, and read by a range of either."""
+    path = new_folder(spark, "curve")
+    orders = read(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"),
+        F.col("o_orderdate").cast("date").alias("o_orderdate"),
+    )
+    write_table(orders, path, "replace", cluster_by=["o_custkey", "o_orderdate"], curve=True)
+    stored = spark.read.schema(orders.schema).parquet(path)
+    spring = stored.filter("o_orderdate between date'1996-01-01' and date'1996-03-31'")
+    return spring.unionByName(stored.filter("o_custkey < 100 and o_orderdate not between date'1996-01-01' and date'1996-03-31'"))
+
+
+@query("""
+SELECT 'good' AS kind, event_id, NULL AS line FROM events WHERE event_id % 7 > 0
+UNION ALL
+SELECT 'bad', NULL, CASE WHEN event_id % 2 = 0 THEN '{"event_id":"' || event_type || event_id || '"}' ELSE '{"event_id":' || event_id END
+FROM events WHERE event_id % 7 = 0
+""")
+def landing_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed lines of which some are cut off and some hold text for a number: good rows and quarantined lines."""
+    root = new_folder(spark, "landing")
+    key = F.col("event_id").cast("string")
+    bad = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"event_id":"'), "event_type", key, F.lit('"}')))
+    line = F.when(F.col("event_id") % 7 == 0, F.coalesce(bad, F.concat(F.lit('{"event_id":'), key))).otherwise(
+        F.to_json(F.struct("event_id", "event_type"))
+    )
+    read(spark, sf_dir, "events").select(line.alias("value")).write.text(f"{root}/events__{FIRST_LOAD}")
+    kept = new_folder(spark, "quarantine")
+    good = quarantine(spark, f"{root}/events__*", "event_id bigint, event_type string", kept)
+    lines = spark.read.schema("line string").parquet(kept)
+    return good.select(F.lit("good").alias("kind"), "event_id", F.lit(None).cast("string").alias("line")).unionByName(
+        lines.select(F.lit("bad").alias("kind"), F.lit(None).cast("bigint").alias("event_id"), "line")
+    )
+
+
 @query("""
 SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS customers,
        CAST(sum(CAST(c_acctbal AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS balance

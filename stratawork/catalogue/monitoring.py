@@ -19,11 +19,17 @@ from ..operators import (
     invocation_rows,
     last_success_start,
     latest_observation,
+    manifest_node_rows,
     node_rows,
     observations,
+    read_manifests,
+    Step,
+    read_stored,
+    recompute_chain,
     recompute_partitions,
     run_summary,
     slowest,
+    stored_freshness,
     total_runtime,
     with_outcome,
     write_table,
@@ -77,6 +83,17 @@ def source_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sources(spark, sf_dir)
 
 
+@query(f"""
+WITH latest AS (SELECT 'shop.events' AS source, max(ts) AS max_loaded_at FROM events
+  UNION ALL SELECT 'shop.orders', max(o_orderdate) FROM orders UNION ALL SELECT 'shop.lines', max(l_shipdate) FROM lineitem)
+SELECT source, max_loaded_at, {FRESHNESS} FROM latest
+""")
+def source_freshness_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Freshness of tables as written, from the footers of their files."""
+    tables = {"shop.events": ("events", "ts"), "shop.orders": ("orders", "o_orderdate"), "shop.lines": ("lineitem", "l_shipdate")}
+    return stored_freshness(spark, {source: (f"{sf_dir}/{table}.parquet", column) for source, (table, column) in tables.items()}, NOW)
+
+
 @query(f"""
 WITH latest AS (SELECT 'user ' || user_id AS source, max(ts) AS max_loaded_at FROM events GROUP BY 1)
 SELECT source, max_loaded_at, {FRESHNESS} FROM latest
@@ -590,3 +607,49 @@ FROM checked
 def freshness_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The freshness check as metadata rows."""
     return freshness_rows(_sources(spark, sf_dir), "inv-1", STARTED)
+
+
+@query("""
+WITH days AS (
+  SELECT CAST(o_orderdate AS DATE) AS day, CAST(count(*) AS BIGINT) AS orders,
+         CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS total
+  FROM orders GROUP BY 1
+)
+SELECT CAST(date_trunc('month', day) AS DATE) AS month, CAST(count(*) AS BIGINT) AS days, CAST(sum(orders) AS BIGINT) AS orders,
+       CAST(sum(total) AS DECIMAL(32,2)) AS total
+FROM days GROUP BY 1
+""")
+def recomputed_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late orders: the days of their months are rebuilt from orders, and then only the years of those months from days."""
+    late = (F.col("o_orderkey") % 50 == 0) & (F.month("o_orderdate") == 3)
+    orders = read(spark, sf_dir, "orders").select(
+        F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("decimal(12,2)").alias("price"),
+        F.when(late, F.lit("2024-02-01 09:00:00")).otherwise("2024-01-01 00:00:00").cast("timestamp_ntz").alias("loaded_at"),
+    )
+
+    month, year = F.trunc("day", "month"), F.year("month")
+
+    def of_days(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("day").agg(F.count("*").alias("orders"), F.sum("price").alias("total")).withColumn("month", month)
+
+    def of_months(days: DataFrame) -> DataFrame:
+        sums = [F.count("*").alias("days"), F.sum("orders").alias("orders"), F.sum("total").cast("decimal(32,2)").alias("total")]
+        return days.groupBy("month").agg(*sums).withColumn("year", year)
+
+    steps = [Step(of_days, new_folder(spark, "days"), {"month": month}), Step(of_months, new_folder(spark, "months"), {"year": year})]
+    recompute_chain(spark, orders.filter(~late), "loaded_at", datetime(2000, 1, 1), steps)
+    recompute_chain(spark, orders, "loaded_at", STARTED.replace(day=1, hour=0), steps)
+    return read_stored(spark, steps[-1].path).drop("year")
+
+
+@query(_node_sql("model", "database schema name depends_on_nodes package_name path checksum materialization tags meta alias").replace(
+    " FROM nodes WHERE", ", CAST(NULL AS VARCHAR) AS all_results FROM nodes WHERE"
+))
+def manifest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models of one landed manifest that holds the nodes of all parts in one document."""
+    folder = new_folder(spark, "manifest")
+    nodes = _manifests(spark, sf_dir).select(F.explode("nodes").alias("id", "node"))
+    member = F.concat(F.lit('"'), "id", F.lit('":'), "node")
+    document = F.concat(F.lit('{"metadata":{"project":"shop"},"nodes":{'), F.listagg(member, F.lit(",")), F.lit("}}"))
+    nodes.agg(document.alias("value")).write.text(folder)
+    return manifest_node_rows(read_manifests(spark, folder), "model", "inv-1", STARTED, with_all_results=False)

@@ -33,7 +33,7 @@ from ..functions import (
     yes_no,
 )
 from ..operators import code_list, join_reference, typed, unpivot_by_codes, with_codes
-from ..plans import calendar, date_spine, holidays
+from ..plans import calendar, date_spine, end_year, holidays
 from ..plans.weather import measurements, stage_measurement_types, stage_observations
 from .inputs import LANDED_HOURS, MERGED_LINES, hours, landed_hours, merged_lines, number_of
 from .registry import query, read
@@ -230,7 +230,7 @@ FROM events WHERE value > 25
 def warm_hours_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """High values first filtered, then enriched with calendar attributes."""
     events = read(spark, sf_dir, "events")
-    spine = date_spine(spark, 2000, 2036)  # a fixed start
+    spine = date_spine(spark, 2000, end_year([(events, "ts")]))  # a fixed start
     days = calendar(
         spine,
         fixed_values.months(spark),

@@ -216,7 +216,7 @@ FROM orders GROUP BY 1, 2, 3
 def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders per priority and month through the calendar dimension."""
     orders = read(spark, sf_dir, "orders")
-    days = calendar_of(spark)
+    days = calendar_of(spark, sf_dir)
     fact = orders.select(
         "o_orderkey",
         "o_orderpriority",
@@ -292,6 +292,31 @@ def orphans_by_decimal_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_rows(lines, "l_suppkey", halves, "half")
 
 
+@query("""
+SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, s_name
+FROM lineitem LEFT JOIN supplier ON 2 * l_suppkey = s_suppkey
+""")
+def lines_by_wide_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines looked up by keys that no decimal holds together: 38 digits before the point, and ten behind it."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").cast("decimal(38,0)"), "l_quantity")
+    halves = read(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") / 2).cast("decimal(38,10)").alias("l_suppkey"), "s_name"
+    )
+    paths = [join_reference(lines.filter(f"l_linenumber % 2 = {k}"), halves, ["l_suppkey"], max_bytes=n) for k, n in ((0, 0), (1, 2**26))]
+    joined = paths[0].unionByName(paths[1])
+    return joined.select("l_orderkey", "l_linenumber", F.col("l_suppkey").cast("bigint").alias("l_suppkey"), "l_quantity", "s_name")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE 2 * l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
+""")
+def orphans_by_wide_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without a parent whose keys have digits behind the point that the lines' keys have no room for."""
+    halves = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") / 2).cast("decimal(38,10)").alias("half"))
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").cast("decimal(38,0)"))
+    return orphan_rows(lines, "l_suppkey", halves, "half").withColumn("l_suppkey", F.col("l_suppkey").cast("bigint"))
+
+
 @query("SELECT n_nationkey, p_partkey AS code, p_name AS code_name FROM nation CROSS JOIN part")
 def nations_with_many_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every nation with every one of a long list of codes."""

@@ -1,15 +1,21 @@
 """DataFrame operators."""
 
+from .evolve import fitted, promoted, read_stored, side_name, stored_columns
 from .freshness import (
+    Step,
     affected_partitions,
     change_set_key,
     changed_sources,
+    footer_aggregates,
     freshness,
     freshness_status,
     last_success_start,
     latest_observation,
     observations,
+    recompute_chain,
     recompute_partitions,
+    stored_freshness,
+    stored_max,
 )
 from .joins import (
     build_fact,
@@ -45,14 +51,16 @@ from .quality import (
     violations,
 )
 from .reshape import code_list, unpivot_by_codes
-from .rollup import calendar_rollup, daily_rollup, row_count_latest
+from .rollup import calendar_rollup, daily_rollup, keep_rollup, rollup_states, rollup_values, row_count_latest
 from .runlog import (
     append_metadata,
     execution_rows,
     freshness_rows,
     invocation_rows,
+    manifest_node_rows,
     metadata_datasets,
     node_rows,
+    read_manifests,
     run_summary,
     slowest,
     total_runtime,
@@ -60,6 +68,6 @@ from .runlog import (
 )
 from .sequence import dense_sequence, dense_values
 from .staging import describe_columns, typed
-from .write import layer_schema, materialise, path_exists, write_table
+from .write import layer_schema, materialise, path_exists, with_curve, write_table
 
 __all__ = [name for name in dir() if not name.startswith("_")]

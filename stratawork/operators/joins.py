@@ -19,12 +19,14 @@ from pyspark.sql.types import (
     MapType,
     NumericType,
     StringType,
+    StructField,
     StructType,
     VarcharType,
     VariantType,
 )
 
 from ..functions import surrogate_key
+from .evolve import digits
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -49,7 +51,8 @@ def common_type(df: DataFrame, left: DataType, right: DataType) -> DataType:
     """The type in which keys of two types are compared without losing digits.
 
     Text against anything else is compared as text, so '01' is not 1. Binary fractions have no exact common type with
-    integers and decimals, and are refused.
+    integers and decimals, and are refused. Integers and decimals that no decimal of 38 digits holds together are compared
+    by their whole part and their fraction, a struct of two decimals.
     """
     texts = (StringType, CharType, VarcharType)
     if isinstance(left, texts) or isinstance(right, texts):
@@ -62,10 +65,28 @@ def common_type(df: DataFrame, left: DataType, right: DataType) -> DataType:
 
     if isinstance(left, NumericType) and isinstance(right, NumericType) and binary(left) != binary(right):
         raise ValueError(f"keys of {left.simpleString()} and {right.simpleString()} can't be compared exactly")
+    a, b = digits(left), digits(right)
+    if a and b and max(a[0], b[0]) + max(a[1], b[1]) > 38:
+        return _PARTS
     widened = F.coalesce(F.lit(None).cast(left), F.lit(None).cast(right)).alias("k")
     return df.sparkSession.range(0).select(widened).schema["k"].dataType
 
 
+#: A number as its whole part and its fraction.
+_PARTS = StructType([StructField("whole", DecimalType(38, 0)), StructField("fraction", DecimalType(38, 38))])
+
+
+def as_key(column: str, kind: DataType) -> Column:
+    """A key in the type of `common_type`."""
+    if kind != _PARTS:
+        return F.col(column).cast(kind)
+    fraction = F.col(column) % F.lit(1).cast("decimal(1,0)")
+    parts = F.struct(
+        (F.col(column) - fraction).cast("decimal(38,0)").alias("whole"), fraction.cast("decimal(38,38)").alias("fraction")
+    )
+    return F.when(F.col(column).isNotNull(), parts)
+
+
 def join_reference(
     large: DataFrame,
     reference: DataFrame,
@@ -86,8 +107,8 @@ def join_reference(
     kinds = {c: common_type(large, large.schema[c].dataType, reference.schema[c].dataType) for c in on}
     wide = {c: f"_wide_{c}" for c, kind in kinds.items() if not large.schema[c].dataType == reference.schema[c].dataType == kind}
     fits = (measured_bytes(reference) if known_bytes is None else known_bytes) <= max_bytes
-    left = large.withColumns({wide[c]: F.col(c).cast(kinds[c]) for c in wide})
-    right = reference.withColumns({wide[c]: F.col(c).cast(kinds[c]) for c in wide}).drop(*wide)
+    left = large.withColumns({wide[c]: as_key(c, kinds[c]) for c in wide})
+    right = reference.withColumns({wide[c]: as_key(c, kinds[c]) for c in wide}).drop(*wide)
     joined = left.join(F.broadcast(right) if fits else right, [wide.get(c, c) for c in on], how).drop(*wide.values())
     others = [] if how in ("left_semi", "left_anti") else [c for c in reference.columns if c not in on]
     return joined.select(*on, *[c for c in large.columns if c not in on], *others)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, NullType, StringType, StructType, VariantType
+from pyspark.sql.types import MapType, StringType, StructType, VariantType
+
+from .evolve import digits, fitted, has_files, record_columns, recorded_columns, stored_columns
+from .write import move_partitions, move_path, path_exists, remove_path, write_table
 
-from .write import path_exists, write_table
 
 def _descending(df: DataFrame, keys: list[str], order: list[str | Column]) -> list[Column]:
     """The wanted order, newest first, then every other column, so equal loads always pick the same row."""
@@ -52,9 +54,9 @@ def _table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def _stored_schema(df: DataFrame, partition_by: list[str]) -> StructType:
+def _stored_schema(schema: StructType, partition_by: list[str]) -> StructType:
     """The columns as a read of the table returns them: partition columns last."""
-    return StructType([f for f in df.schema if f.name not in partition_by] + [df.schema[c] for c in partition_by])
+    return StructType([f for f in schema if f.name not in partition_by] + [schema[c] for c in partition_by])
 
 
 def _with_keys(df: DataFrame, keys: list[str], partition_by: list[str]) -> DataFrame:
@@ -68,21 +70,6 @@ def _with_keys(df: DataFrame, keys: list[str], partition_by: list[str]) -> DataF
     return checked.withColumns(blank)
 
 
-def _grown(spark: SparkSession, path: str, batch: StructType, partition_by: list[str]) -> StructType:
-    """The table's columns, then those that only the batch has; partition columns last.
-
-    A column that is stored with another type is refused before anything is written.
-    """
-    stored = spark.read.option("mergeSchema", "true").parquet(path).schema
-    kept = [f for f in stored if f.name not in partition_by]
-    for field in kept:
-        if field.name in batch.names and batch[field.name].dataType not in (field.dataType, NullType()):
-            kinds = f"{field.dataType.simpleString()}, not {batch[field.name].dataType.simpleString()}"
-            raise ValueError(f"column {field.name} is stored as {kinds}")
-    new = [f for f in batch if f.name not in stored.names and f.name not in partition_by]
-    return StructType([*kept, *new, *[batch[c] for c in partition_by]])
-
-
 def _touched(existing: DataFrame, batch: DataFrame, partition_by: list[str]) -> DataFrame:
     """The rows in partitions that the batch writes to: a literal range prunes the scan, a semi-join does the rest."""
     ends = batch.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in partition_by for f in (F.min, F.max)]).first()
@@ -91,31 +78,26 @@ def _touched(existing: DataFrame, batch: DataFrame, partition_by: list[str]) ->
     return existing.join(batch.select(*partition_by).distinct(), partition_by, "left_semi")
 
 
-def _empty(spark: SparkSession, path: str, schema: StructType) -> None:
-    nothing = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
-    nothing.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+def _publish(spark: SparkSession, path: str, partition_by: list[str], whole: bool = False) -> None:
+    """Move what is staged into the table: partition by partition, or as a whole. Doing it twice gives the same table.
 
-
-def _swap_in(spark: SparkSession, path: str, schema: StructType, partition_by: list[str], whole: bool = False) -> None:
-    """Replace the staged partitions in the table, or the whole table. Running it twice gives the same table.
-
-    A whole table is staged in a folder of its own, so a swap that was cut off is repeated as what it was.
+    A whole table is staged in a folder of its own, so moves that were cut off are finished as what they were.
     """
     folder = f"{path}__refresh" if whole else f"{path}__staging"
-    staged = _table(spark, folder, schema)
-    dynamic = partition_by and not whole
-    write = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if dynamic else "static")
-    (write.partitionBy(*partition_by) if partition_by else write).parquet(path)
-    _empty(spark, folder, schema)
+    if partition_by and not whole:
+        move_partitions(spark, folder, path, len(partition_by))
+        remove_path(spark, folder)
+    else:
+        remove_path(spark, path)
+        move_path(spark, folder, path)
+    spark.catalog.refreshByPath(path)
 
 
 def _finish_pending(spark: SparkSession, path: str, partition_by: list[str]) -> None:
-    """Repeat a swap that was cut off: its staged rows are complete but were not emptied."""
+    """Finish moves that were cut off: what is still staged is complete."""
     for folder, whole in ((f"{path}__staging", False), (f"{path}__refresh", True)):
         if path_exists(spark, f"{folder}/_SUCCESS"):
-            staged = spark.read.option("mergeSchema", "true").parquet(folder)
-            if not staged.isEmpty():
-                _swap_in(spark, path, staged.schema, partition_by, whole)
+            _publish(spark, path, partition_by, whole)
 
 
 def merge_into(
@@ -129,44 +111,53 @@ def merge_into(
 ) -> None:
     """Upsert a batch into the Parquet table at `path` (write).
 
-    The batch is read and deduplicated once, into `<path>__batch`. Only the partitions it touches are
-    read from the table and rewritten: first to `<path>__staging`, then swapped in from there. So a
-    job that dies on the way never loses rows: before the swap the table is untouched, and a cut-off
-    swap is repeated by the next merge. Both staging folders are emptied afterwards.
-    The partition columns must be part of the key, or a moved row would leave its old copy behind. A
-    key must not be NULL, a partition column not blank. The table keeps columns that the batch lacks
-    (NULL in the batch's own rows) and takes on columns that are new; read it with `mergeSchema` or a
-    declared schema.
-    `newest_wins` compares both sides by `order` instead of letting the batch win.
+    The batch is read and deduplicated once, into `<path>__batch`. Only the partitions it touches are read from the table
+    and written anew, to `<path>__staging`, and moved into place from there. So a job that dies on the way never loses
+    rows: before the moves the table is untouched, and moves that were cut off are finished by the next merge.
+    The partition columns must be part of the key, or a moved row would leave its old copy behind. A key must not be NULL,
+    a partition column not blank. The table keeps columns that the batch lacks (NULL in the batch's own rows) and takes on
+    columns that are new. A column that comes in another type is promoted, or its misfits go to a side column (see
+    `fitted`); files of untouched partitions stay as they are. The table's columns are recorded beside it: `read_stored`
+    reads them, as does any read with that schema declared. A table without rows keeps its columns and can be merged into.
+    `newest_wins` compares both sides by `order` instead of letting the batch win; order columns may then only widen.
     """
     partition_by = list(partition_by)
     if not set(partition_by) <= set(keys):
         raise ValueError("the partition columns must be part of the key")
-    schema = _stored_schema(batch, partition_by)
-    latest = latest_per_key(_with_keys(batch.select(*schema.names), keys, partition_by), keys, order)
     _finish_pending(spark, path, partition_by)
-    if not path_exists(spark, path):
-        write_table(latest, f"{path}__staging", "replace", partition_by)
-        _swap_in(spark, path, schema, partition_by)
+    stored = stored_columns(spark, path)
+    named = [o for o in order if isinstance(o, str)] if newest_wins else []
+    kept = StructType() if stored is None else stored
+    if recorded_columns(spark, path) is None:  # a folder's name does not tell text from numbers
+        kept = StructType([batch.schema[f.name] if f.name in partition_by else f for f in kept])
+    batch, whole = fitted(batch, kept, [*keys, *partition_by, *named])
+    for c in partition_by:
+        if c in kept.names and whole[c].dataType != kept[c].dataType and digits(whole[c].dataType) is None:
+            raise ValueError(f"partition column {c} is stored as {kept[c].dataType.simpleString()}")
+    whole = _stored_schema(whole, partition_by)
+    latest = latest_per_key(_with_keys(batch, keys, partition_by), keys, order)
+    absent = {f.name: F.lit(None).cast(f.dataType) for f in whole if f.name not in batch.columns}
+    latest = latest.withColumns(absent).select(*whole.names)
+    if not has_files(spark, path):
+        write_table(latest, f"{path}__staging", "replace", partition_by, spread=True)
+        record_columns(spark, f"{path}__staging", whole)
+        _publish(spark, path, [])
         return
-    whole = _grown(spark, path, schema, partition_by)
-    untyped = [f.name for f in schema if f.dataType == NullType()]
-    latest = latest.withColumns({c: F.col(c).cast(whole[c].dataType) for c in untyped})
-    schema = latest.schema
-    write_table(latest, f"{path}__batch", "replace", partition_by)
-    staged = _table(spark, f"{path}__batch", schema)
+    write_table(latest, f"{path}__batch", "replace")
+    staged = _table(spark, f"{path}__batch", whole)
     existing = _table(spark, path, whole)
     if partition_by:
         existing = _touched(existing, staged, partition_by)
-    staged = staged.select(*[F.col(f.name) if f.name in schema.names else F.lit(None).cast(f.dataType).alias(f.name) for f in whole])
     if newest_wins:
         merged = merge_latest(existing, staged, keys, order)
     else:
         # One row per key already. Spark knows the size of the staged keys and broadcasts them if they are few.
         merged = existing.join(staged.select(*keys), keys, "left_anti").unionByName(staged)
-    write_table(merged, f"{path}__staging", "replace", partition_by)
-    _swap_in(spark, path, whole, partition_by)
-    _empty(spark, f"{path}__batch", schema)
+    write_table(merged, f"{path}__staging", "replace", partition_by, spread=True)
+    # Into the table before its files, as the wider columns read the older files too; with them where all are replaced.
+    record_columns(spark, path if partition_by else f"{path}__staging", whole)
+    _publish(spark, path, partition_by)
+    remove_path(spark, f"{path}__batch")
 
 
 def full_refresh(
@@ -186,8 +177,9 @@ def full_refresh(
     """
     partition_by = list(partition_by)
     rows = batch if replay_from is None else replay_from.unionByName(batch)
-    schema = _stored_schema(rows, partition_by)
+    schema = _stored_schema(rows.schema, partition_by)
     latest = latest_per_key(_with_keys(rows.select(*schema.names), keys, partition_by), keys, order)
     _finish_pending(spark, path, partition_by)
-    write_table(latest, f"{path}__refresh", "replace", partition_by)
-    _swap_in(spark, path, schema, partition_by, whole=True)
+    write_table(latest, f"{path}__refresh", "replace", partition_by, spread=True)
+    record_columns(spark, f"{path}__refresh", schema)
+    _publish(spark, path, partition_by, whole=True)

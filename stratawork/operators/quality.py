@@ -93,12 +93,16 @@ def check_unique_combination(*columns: str) -> Check:
 
 
 def check_relationships(column: str, parent: DataFrame, parent_column: str) -> Check:
-    """Child keys without a parent, with how many child rows carry them; NULL passes."""
+    """Child keys without a parent, with how many child rows carry them; NULL passes.
+
+    Keys of different types meet as in `join_reference`. Distinct keys of both sides are shuffled, nothing is broadcast.
+    """
 
     def orphans(df: DataFrame) -> DataFrame:
         children = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("from_field"))
         keys = parent.select(F.col(parent_column).alias("from_field")).filter("from_field is not null").distinct()
-        return children.agg(F.count("*").alias("n_records")).join(keys, "from_field", "left_anti")
+        counted = children.agg(F.count("*").alias("n_records"))
+        return join_reference(counted, keys, ["from_field"], "left_anti", max_bytes=0, known_bytes=1)
 
     return Check(f"{column}__relationships", rows=orphans, weight="n_records")
 

@@ -89,13 +89,52 @@ def node_rows(
     with_all_results: bool = True,
 ) -> DataFrame:
     """The nodes of one kind (model, seed, snapshot, test, source, exposure) of a project manifest as typed rows."""
-    group = {"source": "sources", "exposure": "exposures"}.get(kind, "nodes")
+    group = _GROUPS.get(kind, "nodes")
     nodes = manifest.select(
         _stamp(invocation_id).alias("command_invocation_id"),
         _stamp(run_started_at).alias("run_started_at"),
         F.explode(group).alias("node_id", "all_results"),
-    ).withColumn("node", F.from_json("all_results", NODE))
-    if group == "nodes":
+    )
+    return _typed_nodes(nodes, kind, with_all_results)
+
+
+_GROUPS = {"source": "sources", "exposure": "exposures"}
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Manifest documents, one for each file: file, document (a variant). A file that is no JSON fails."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("document"))
+
+
+def manifest_node_rows(
+    manifests: DataFrame,
+    kind: str,
+    invocation_id: str | Column,
+    run_started_at: datetime | Column,
+    with_all_results: bool = True,
+) -> DataFrame:
+    """Like `node_rows`, from whole documents as `read_manifests` gives them.
+
+    A document is parsed once, and its nodes become rows by a lateral explosion of the variant, so that they are dealt out
+    before they are typed. all_results is the node as compact JSON with its keys in order.
+    """
+    group = _GROUPS.get(kind, "nodes")
+    stamped = manifests.select(
+        _stamp(invocation_id).alias("command_invocation_id"), _stamp(run_started_at).alias("run_started_at"),
+        F.variant_get("document", f"$.{group}", "variant").alias("_group"),
+    )
+    each = stamped.lateralJoin(stamped.sparkSession.tvf.variant_explode_outer(F.col("_group").outer()))
+    nodes = each.filter("key is not null").select(
+        "command_invocation_id", "run_started_at", F.col("key").alias("node_id"), F.to_json("value").alias("all_results")
+    )
+    return _typed_nodes(nodes.hint("rebalance"), kind, with_all_results)
+
+
+def _typed_nodes(nodes: DataFrame, kind: str, with_all_results: bool) -> DataFrame:
+    """Nodes (command_invocation_id, run_started_at, node_id, all_results) in the columns of their table."""
+    nodes = nodes.withColumn("node", F.from_json("all_results", NODE))
+    if kind not in _GROUPS:
         nodes = nodes.filter(F.col("node.resource_type") == kind)
     plain = [
         "database", "schema", "name", "package_name", "tags", "alias", "source_name", "loader", "identifier",

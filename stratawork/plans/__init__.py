@@ -4,6 +4,7 @@ from .calendar import (
     calendar,
     calendar_dimension,
     date_spine,
+    end_year,
     integer_series,
     with_sentinels,
     year_span,

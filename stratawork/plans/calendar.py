@@ -61,6 +61,20 @@ def year_span(df: DataFrame, date_col: str) -> tuple[int, int]:
     return lowest, highest
 
 
+def end_year(dates: list[tuple[DataFrame, str]], horizon: int = 10) -> int:
+    """The last year of a shared calendar: this year plus the horizon, or that of a later real date (action).
+
+    `dates` are the tables that meet the calendar and their date columns; each column is scanned once. The sentinels are
+    no dates.
+    """
+    years = [date.today().year + horizon]
+    for df, column in dates:
+        day = F.col(column).cast("date")
+        latest = df.agg(F.year(F.max(F.when(~day.isin(FIRST_SENTINEL, LAST_SENTINEL), day)))).first()[0]
+        years.append(latest or years[0])
+    return max(years)
+
+
 def with_sentinels(spine: DataFrame) -> DataFrame:
     """The spine plus the two dates that mean 'no date', each once, also where the spine reaches them."""
     ends = code_table(

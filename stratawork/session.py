@@ -17,6 +17,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",  # folders of a table are listed by so many tasks
     "spark.ui.showConsoleProgress": "false",
 }
 
