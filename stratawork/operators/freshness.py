@@ -8,6 +8,8 @@ from functools import reduce
 from operator import and_
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType, TimestampNTZType
@@ -61,12 +63,11 @@ def footer_aggregates(spark: SparkSession, path: str, columns: list[str]) -> Dat
 
     The aggregates are pushed into the scan (`PushedAggregation` in the plan), which Spark does for numbers, dates and
     booleans of a table without partition columns; timestamps without zone are taken as the integers they are stored as.
-    For other types, and for partitioned tables, the same plan reads the columns.
+    For other types, and for partitioned tables, the same plan reads the columns. Spark finds a footer's columns by their
+    place, so this holds for files that all have the same columns in the same order; `stored_max` proves it.
     """
     kinds = spark.read.parquet(path).schema
-    read_as = StructType([
-        StructField(f.name, LongType() if isinstance(f.dataType, TimestampNTZType) else f.dataType) for f in kinds if f.name in columns
-    ])
+    read_as = StructType([StructField(f.name, LongType() if isinstance(f.dataType, TimestampNTZType) else f.dataType) for f in kinds])
     session = spark.newSession()  # the older reader of Parquet can't push aggregates; only this session uses the newer one
     session.conf.set("spark.sql.sources.useV1SourceList", "")
     session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
@@ -77,18 +78,22 @@ def footer_aggregates(spark: SparkSession, path: str, columns: list[str]) -> Dat
 def stored_max(spark: SparkSession, path: str, column: str) -> object:
     """The largest value of a column of a Parquet table, from its footers as far as they tell (action); None without one.
 
-    A timestamp's footer is an integer whose unit is taken to be microseconds, as Spark writes it. That is proved by the
-    rows: those not below it must be there, and their largest value is the answer. The filter is pushed down, so only
-    row groups that reach it are read. Where there are none the whole column is.
+    What the footers give is only a guess, as files may differ in their columns or in the unit of a timestamp (microseconds,
+    as Spark writes it, are taken). It is proved by the rows: those not below it must be there, and their largest value is
+    the answer. The filter is pushed down, so only row groups that reach it are read. Where there are none, or the footers
+    can't be put together, the whole column is read.
     """
-    kind = spark.read.parquet(path).schema[column].dataType
-    largest = footer_aggregates(spark, path, [column]).first()[f"max_{column}"]
-    if largest is None or not isinstance(kind, TimestampNTZType):
-        return largest
     rows = spark.read.parquet(path).select(column)
-    if abs(largest) < 2**57:  # within the years a Python datetime can hold
-        at = rows.filter(F.col(column) >= F.lit((datetime(1970, 1, 1) + timedelta(microseconds=largest)).isoformat(" ")).cast(kind))
-        if (proved := at.agg(F.max(column)).first()[0]) is not None:
+    kind = rows.schema[column].dataType
+    try:
+        guess = footer_aggregates(spark, path, [column]).first()[f"max_{column}"]
+        if isinstance(kind, TimestampNTZType) and guess is not None:
+            guess = (datetime(1970, 1, 1) + timedelta(microseconds=guess)).isoformat(" ")
+    except (PySparkException, Py4JJavaError, OverflowError):
+        guess = None
+    if guess is not None:
+        proved = rows.filter(F.col(column) >= F.lit(guess).cast(kind)).agg(F.max(column)).first()[0]
+        if proved is not None:
             return proved
     return rows.agg(F.max(column)).first()[0]
 

@@ -174,11 +174,11 @@ def write_table(
     """
     spark, partition_by, cluster_by = df.sparkSession, list(partition_by), list(cluster_by)
     if cluster_by:
-        spread = F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))])
+        row_hash = F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))])
         order = [*partition_by, *(["_curve"] if curve else []), *cluster_by]
         df = with_curve(df, cluster_by) if curve else df
         number = [files] if files else []
-        df = df.repartitionByRange(*number, *order, spread).sortWithinPartitions(*order).drop("_curve")
+        df = df.repartitionByRange(*number, *order, row_hash).sortWithinPartitions(*order).drop("_curve")
     elif partition_by:
         df = df.hint("rebalance", *partition_by)
 
