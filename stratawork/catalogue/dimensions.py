@@ -199,6 +199,32 @@ def holiday_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(_orders_per_day(spark, sf_dir), "date", "left").na.fill(0, ["orders"])
 
 
+#: Rules by the Julian Easter and by the tabular Islamic calendar: name, days after Easter, month, day.
+OTHER_CALENDARS = [
+    ("Orthodox Easter Monday", 1, None, None), ("Orthodox Whit Monday", 50, None, None), ("Islamic New Year", None, 1, 1),
+    ("End of Ramadan", None, 10, 1), ("Feast of Sacrifice", None, 12, 10),
+]
+
+
+@query(f"""
+WITH {SPINE}, years AS (SELECT DISTINCT CAST(year(date) AS INTEGER) AS y FROM spine), moon AS (
+  SELECT y, (19 * (y % 19) + 15) % 30 AS d FROM years
+), orthodox AS (
+  SELECT make_date(y, 3, 21) + CAST(d + (2 * (y % 4) + 4 * (y % 7) - d + 34) % 7 + 1 + y // 100 - y // 400 - 2 AS INTEGER) AS e FROM moon
+), lunar(n, m, d) AS (VALUES ('Islamic New Year', 1, 1), ('End of Ramadan', 10, 1), ('Feast of Sacrifice', 12, 10)), named AS (
+  SELECT e + 1 AS date, 'Orthodox Easter Monday' AS n FROM orthodox UNION ALL SELECT e + 50, 'Orthodox Whit Monday' FROM orthodox
+  UNION ALL
+  SELECT DATE '1970-01-01' + CAST(354 * (h - 1) + (11 * h + 3) // 30 + 29 * (m - 1) + m // 2 + d - 1 - 492148 AS INTEGER), n
+  FROM lunar, range(1, 3000) AS r(h)
+)
+SELECT date, string_agg(DISTINCT n, '; ' ORDER BY n) AS holiday_name FROM named SEMI JOIN spine USING (date) GROUP BY date
+""")
+def holiday_other_calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holidays of the orders' years that follow the Julian Easter or the Islamic calendar."""
+    rules = spark.createDataFrame(OTHER_CALENDARS, "holiday_name string, orthodox_offset int, islamic_month int, islamic_day int")
+    return holidays(order_spine(spark, sf_dir), rules)
+
+
 @query(f"""
 WITH {SPINE}, {HOLIDAYS}
 SELECT o_orderkey, strftime(o_orderdate, '%B') AS month_name, strftime(o_orderdate, '%A') AS weekday_name, holiday_name

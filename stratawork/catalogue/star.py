@@ -20,6 +20,7 @@ from ..operators import (
     with_codes,
     with_unknown_members,
 )
+from ..operators import reconcile_by_digest as digest_differences
 from ..plans import calendar_dimension
 from ..plans.weather import (
     measurement_fact,
@@ -292,6 +293,23 @@ def orphans_by_decimal_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_rows(lines, "l_suppkey", halves, "half")
 
 
+@query("""
+SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 1009 = 3 THEN 0 ELSE 1 END AS BIGINT) AS left_rows,
+       CAST(CASE WHEN o_orderkey % 1013 = 5 THEN 0 ELSE 1 END AS BIGINT) AS right_rows,
+       CASE WHEN o_orderkey % 1009 = 3 THEN 'missing' WHEN o_orderkey % 1013 = 5 THEN 'extra' ELSE 'changed' END AS status
+FROM orders
+WHERE (o_orderkey % 1009 = 3) <> (o_orderkey % 1013 = 5)
+   OR (o_orderkey % 997 = 7 AND NOT (o_orderkey % 1009 = 3 AND o_orderkey % 1013 = 5))
+""")
+def reconcile_by_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a copy that lost some, holds some that the other lost, and has other prices in places."""
+    orders = read(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderkey") % 997 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    left = orders.filter("o_orderkey % 1009 != 3")
+    right = orders.filter("o_orderkey % 1013 != 5").withColumn("o_totalprice", price)
+    return digest_differences(left, right, ["o_orderkey"], ranges=64)
+
+
 @query("""
 SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, s_name
 FROM lineitem LEFT JOIN supplier ON 2 * l_suppkey = s_suppkey

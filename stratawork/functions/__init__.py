@@ -8,10 +8,13 @@ from .dates import (
     format_duration,
     hour_ending,
     is_leap_year,
+    islamic_date,
+    islamic_year,
     iso_week,
     iso_year,
     known_date,
     loaded_at,
+    orthodox_easter,
     period_end,
     period_start,
     shift_hours,

@@ -130,3 +130,32 @@ def easter_sunday(year: ColumnOrName) -> Column:
     late = div(golden + epact * 11 + weekday * 22, 451)
     days_after_march_1 = epact + weekday - late * 7 + 21
     return F.date_add(F.make_date(y, F.lit(3), F.lit(1)), days_after_march_1.cast("int"))
+
+
+def orthodox_easter(year: ColumnOrName) -> Column:
+    """Easter of the Julian computus as a date of the Gregorian calendar."""
+    y = _col(year)
+    moon = (y % 19 * 19 + 15) % 30
+    days_after_march_21 = moon + (y % 4 * 2 + y % 7 * 4 - moon + 34) % 7 + 1
+    behind = F.floor(y / 100) - F.floor(y / 400) - 2  # days that the Julian calendar is behind in March
+    return F.date_add(F.make_date(y, F.lit(3), F.lit(21)), (days_after_march_21 + behind).cast("int"))
+
+
+#: The first day of the Islamic calendar (16 July 622, Julian) counted from 1970-01-01, and the days of 30 years.
+ISLAMIC_EPOCH, ISLAMIC_CYCLE = -492_148, 10_631
+
+
+def islamic_year(date: ColumnOrName) -> Column:
+    """Year of the tabular Islamic calendar in which a date falls."""
+    days = F.unix_date(_col(date)).cast("bigint") - ISLAMIC_EPOCH
+    return F.floor((days * 30 + ISLAMIC_CYCLE + 15) / ISLAMIC_CYCLE)
+
+
+def islamic_date(year: ColumnOrName, month: ColumnOrName, day: ColumnOrName) -> Column:
+    """A day of the tabular Islamic calendar as a date: months of 30 and 29 days by turns, 11 leap years in 30.
+
+    The tables run up to a day or two before or after a sighting of the moon.
+    """
+    y, m, d = _col(year), _col(month), _col(day)
+    days = (y - 1) * 354 + F.floor((y * 11 + 3) / 30) + (m - 1) * 29 + F.floor(m / 2) + d - 1
+    return F.date_from_unix_date((days + ISLAMIC_EPOCH).cast("int"))

@@ -24,6 +24,7 @@ from .joins import (
     join_reference,
     lookup,
     measured_bytes,
+    reconcile_by_digest,
     reconcile_keys,
     with_codes,
 )

@@ -26,7 +26,7 @@ from pyspark.sql.types import (
 )
 
 from ..functions import surrogate_key
-from .evolve import digits
+from .evolve import digits, relaxed
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -200,3 +200,63 @@ def reconcile_keys(produced: DataFrame, declared: DataFrame, keys: list[str]) ->
     known = [F.bool_or(side).alias(side) for side in ("_made", "_wanted")]
     one_sided = made.unionByName(wanted).groupBy(*keys).agg(*known).filter(F.col("_made") != F.col("_wanted"))
     return one_sided.select(*keys, F.when(F.col("_wanted"), "error").otherwise("warn").alias("severity"))
+
+
+#: Ranges that a level of digests cuts each range of the level above into, and the levels.
+DIGEST_RANGES, DIGEST_LEVELS = 1024, 2
+
+
+def reconcile_by_digest(
+    left: DataFrame, right: DataFrame, keys: list[str], columns: list[str] | None = None, ranges: int = DIGEST_RANGES, levels: int = DIGEST_LEVELS
+) -> DataFrame:
+    """Keys whose rows differ between two large tables: the keys, left_rows, right_rows, and status (action).
+
+    Status is `missing` (only right has the key), `extra` (only left has it) or `changed`. `columns` are compared, all
+    common ones if not given; of the same name and type on both sides. Each level cuts ranges of the key's hash into
+    digests of their rows, which do not depend on the rows' order: their number and the sums of two hashes. Only
+    ranges whose digests differ are cut again, and only rows of ranges that differ at last are shuffled by key, so what
+    is alike costs one pass for each level and no shuffle. Repeated rows count; NULL in a key or column is a value.
+    """
+    columns = [c for c in left.columns if c in right.columns] if columns is None else columns
+    for c in [*keys, *columns]:
+        if relaxed(left.schema[c].dataType) != relaxed(right.schema[c].dataType):
+            raise ValueError(f"{c} has two types")
+    rest = [c for c in columns if c not in keys]
+
+    def hashed(df: DataFrame, side: int) -> DataFrame:
+        values = [*keys, *rest]
+        absent = F.concat_ws("", *[F.col(c).isNull().cast("int").cast("string") for c in values])
+        row = [F.xxhash64(F.lit(seed), *values, absent) for seed in (1, 2)]
+        place = F.pmod(F.xxhash64(F.lit(3), *keys), F.lit(ranges**levels))
+        return df.select(*keys, F.lit(side).alias("_side"), place.alias("_place"), row[0].alias("_a"), row[1].alias("_b"))
+
+    def halves(name: str) -> list[Column]:
+        """Sums that can't overflow: of the upper and the lower half of a hash."""
+        return [F.sum(F.shiftright(name, 32)), F.sum(F.col(name).bitwiseAND(0xFFFFFFFF))]
+
+    rows = hashed(left, 0).unionByName(hashed(right, 1))
+    for level in range(1, levels + 1):
+        part = F.floor(F.col("_place") / ranges ** (levels - level)).alias("_part")
+        digest = rows.groupBy(part, "_side").agg(F.struct(F.count("*"), *halves("_a"), *halves("_b")).alias("digest"))
+        both = digest.groupBy("_part").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+        differing = sorted(r["_part"] for r in both.filter("n < 2 or low != high").select("_part").collect())  # ranges ** level at most
+        if not differing:
+            return _differences(rows.limit(0), keys)
+        listed = rows.sparkSession.createDataFrame([(x,) for x in differing], "_part long")
+        rows = rows.withColumn("_part", part).join(F.broadcast(listed), "_part", "left_semi").drop("_part")
+    return _differences(rows, keys)
+
+
+def _differences(rows: DataFrame, keys: list[str]) -> DataFrame:
+    def on(side: int, value: Column) -> Column:
+        return F.when(F.col("_side") == side, value)
+
+    def sums(side: int) -> Column:
+        parts = [F.sum(on(side, h)) for name in ("_a", "_b") for h in (F.shiftright(name, 32), F.col(name).bitwiseAND(0xFFFFFFFF))]
+        return F.array(*[F.coalesce(x, F.lit(0)) for x in parts])
+
+    counted = rows.groupBy(*keys).agg(
+        F.count(on(0, F.lit(1))).alias("left_rows"), F.count(on(1, F.lit(1))).alias("right_rows"), sums(0).alias("_l"), sums(1).alias("_r")
+    )
+    status = F.when(F.col("left_rows") == 0, "missing").when(F.col("right_rows") == 0, "extra").otherwise("changed")
+    return counted.filter("_l != _r or left_rows != right_rows").select(*keys, "left_rows", "right_rows", status.alias("status"))

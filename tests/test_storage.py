@@ -265,3 +265,62 @@ def test_an_order_far_ahead_keeps_its_total(spark):
     fact = orders.select("v", date_simple("d").alias("id_dim__common__calendar"))
     months = calendar_rollup(fact, calendar_dimension(days), "id_dim__common__calendar", ["year_nr", "month_nr"], {"v": "sum"})
     assert {(r.year_nr, r.month_nr, r.v_sum) for r in months.collect()} >= {(2140, 5, 7), (1995, 1, 1)}
+
+
+def test_holidays_of_other_calendars(spark):
+    schema = "holiday_name string, orthodox_offset int, islamic_month int, islamic_day int"
+    rules = spark.createDataFrame([("easter", 0, None, None), ("fitr", None, 10, 1), ("new year", None, 1, 1), ("last", None, 12, 30)], schema)
+    found = {}
+    for r in holidays(date_spine(spark, 2000, 2030), rules).collect():
+        for name in r.holiday_name.split("; "):
+            found.setdefault(name, []).append(r.date)
+    easter = {d.year: d for d in found["easter"]}
+    known = {2000: "04-30", 2005: "05-01", 2010: "04-04", 2016: "05-01", 2021: "05-02", 2024: "05-05", 2025: "04-20", 2030: "04-28"}
+    assert len(easter) == 31 and {y: easter[y].strftime("%m-%d") for y in known} == known
+    # the Islamic months by counting: 30 and 29 days by turns, a day more at the end of leap years
+    day, months = date(622, 7, 19), {}
+    for year in range(1, 1460):
+        for month in range(1, 13):
+            months[year, month] = day
+            leap = month == 12 and (year - 1) % 30 + 1 in (2, 5, 7, 10, 13, 16, 18, 21, 24, 26, 29)
+            months[year, month, "long"] = month % 2 == 1 or leap
+            day = date.fromordinal(day.toordinal() + (30 if months[year, month, "long"] else 29))
+    between = lambda d: 2000 <= d.year <= 2030
+    assert sorted(found["fitr"]) == sorted(d for k, d in months.items() if k[1:] == (10,) and between(d))
+    assert sorted(found["new year"]) == sorted(d for k, d in months.items() if k[1:] == (1,) and between(d))
+    assert date(2023, 7, 19) in found["new year"] and sum(d.year == 2000 for d in found["fitr"]) == 2
+    assert len([d for d in found["last"]]) in range(31, 34)  # every year has a thirtieth day here, or the next one's first
+
+
+# Reconciliation ------------------------------------------------------------------------------------------------------
+
+
+def test_two_tables_are_reconciled_by_digests(spark):
+    from stratawork.operators import reconcile_by_digest
+
+    rows = [(k, f"v{k}", None if k % 7 == 0 else k / 3) for k in range(2000)]
+    left = spark.createDataFrame([*rows, (5, "v5", 5 / 3), (None, "n", None)], "k int, v string, d double")
+    right = [r for r in rows if r[0] not in (3, 4)] + [(9001, "new", None), (None, None, None)]
+    right = [(k, None if k == 70 else v, 0.0 if k == 7 else d) for k, v, d in right]
+    right = spark.createDataFrame(right, "k int, v string, d double").select("d", "v", "k")
+    for ranges, levels in ((1024, 2), (4, 1), (2, 5)):
+        got = {r.k: (r.left_rows, r.right_rows, r.status) for r in reconcile_by_digest(left, right, ["k"], ranges=ranges, levels=levels).collect()}
+        assert got == {
+            3: (1, 0, "extra"), 4: (1, 0, "extra"), 9001: (0, 1, "missing"), 5: (2, 1, "changed"), 7: (1, 1, "changed"), 70: (1, 1, "changed"),
+            None: (1, 1, "changed"),
+        }
+    assert reconcile_by_digest(left, left.repartition(5), ["k"]).count() == 0
+    assert reconcile_by_digest(left.limit(0), right, ["k"]).filter("status = 'missing'").count() == right.select("k").distinct().count()
+    assert reconcile_by_digest(left, right, ["k"], ["k"]).count() == 4
+    with pytest.raises(ValueError, match="two types"):
+        reconcile_by_digest(left, right.withColumn("d", F.lit(1)), ["k"])
+
+
+def test_equal_ranges_are_not_shuffled_by_key(spark):
+    from stratawork.operators import reconcile_by_digest
+
+    left = spark.range(100_000).withColumn("v", F.col("id") * 2)
+    right = left.withColumn("v", F.when(F.col("id") == 77, 0).otherwise(F.col("v")))
+    differences = reconcile_by_digest(left, right, ["id"], ranges=256)
+    assert [tuple(r) for r in differences.collect()] == [(77, 1, 1, "changed")]
+    assert "BroadcastHashJoin" in differences._jdf.queryExecution().executedPlan().toString()
