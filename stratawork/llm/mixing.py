@@ -22,10 +22,14 @@ def letter_share() -> Column:
 
 
 def _keyed(docs: DataFrame, quality: Column) -> DataFrame:
-    """Add the size, the weight and the exponential key ln(u) / weight, with u drawn from a digest of the doc_id."""
+    """Each document packed as `row`, with its size, weight and exponential key ln(u) / weight, u drawn from a digest of the id.
+
+    What is packed first can't clash with the names added here, whatever a document's columns are called.
+    """
+    row = F.struct(*[docs[name] for name in docs.columns]).alias("row")
+    named = docs.select(row, "doc_id", "source", word_count().alias("mix_size"), quality.alias("mix_weight"))
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix")))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / float(2**52)
-    named = docs.withColumn("mix_size", word_count()).withColumn("mix_weight", quality)
     return named.withColumn("mix_key", F.log(uniform) / F.col("mix_weight"))
 
 
@@ -87,8 +91,7 @@ def _plan(slim: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
 def _mixture(docs: DataFrame, weights: tuple[int, ...], most: int, quality: Column | None) -> DataFrame:
     """row (all columns of a document), mix_size, source_size, target, mix_copies."""
     quality = letter_share() if quality is None else quality
-    row = F.struct(*[docs[name] for name in docs.columns]).alias("row")
-    keyed = _keyed(docs, quality).select(row, "doc_id", "source", "mix_size", "mix_weight", "mix_key")
+    keyed = _keyed(docs, quality)
     slim = stored(keyed.drop("row"), "mix-slim")
     plan = _plan(slim, weights, most)
     key_range = F.floor((1 - F.exp(F.col("mix_key") * F.col("mean_weight"))) * RANGES).cast("int")
