@@ -19,8 +19,11 @@ from stratawork.llm.text import BY_SPACE, constants, long_lists, mixed, shingles
 
 #: Hash permutations; each gives a minimum and a maximum.
 PERMUTATIONS = 64
-#: Permutations in a band. Two make four values: a pair at similarity 0.75 is missed by all 32 bands once in 190 000.
+#: Permutations in a band. Two make four values: a pair of large sets at similarity 0.75 is missed by all 32 bands once in
+#: 190 000. The minimum and maximum of a small set depend on each other, so there it would be far more often.
 PER_BAND = 2
+#: Sets of fewer shingles are joined by prefixes, which misses nothing, whether they share a bucket or not.
+SMALL_SET = 16
 #: Candidate ids are broadcast up to this number (24 MB); beyond it the texts are joined with them.
 BROADCAST_IDS = 1_000_000
 #: Shingles that are known to be frequent where the rest is compared; the others count as rare. This only orders them.
@@ -103,7 +106,8 @@ def near_duplicates(
     Documents with equal sets become one vertex first, so thousands of copies cost one row. The members of a bucket are
     held against its most central member, the one that meets most others in all bands. Where a bucket is still in
     several parts, those outside its largest part are joined with the members of all such buckets by prefixes of their
-    sets: no link between different parts is lost, and no bucket is expanded into its pairs.
+    sets: no link between different parts is lost, and no bucket is expanded into its pairs. Sets of fewer than SMALL_SET
+    shingles are joined by prefixes at once.
 
     Null or wordless texts have no shingle, are linked with nothing and kept. Rows without doc_id are kept, with a null
     component. Links are between sets, so rows that repeat a doc_id are one document as far as their texts are alike:
@@ -117,7 +121,8 @@ def near_duplicates(
         .groupBy("set_a", "set_b")
         .agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "bands")).alias("first"))
         .select(
-            F.monotonically_increasing_id().alias("rep"), "set_a", "set_b", "first.doc_id", "first.text_hash", "first.bands"
+            F.monotonically_increasing_id().alias("rep"), "set_a", "set_b", "first.doc_id", "first.text_hash", "first.bands",
+            "first.n_shingles",
         ),
         "representatives",
     )
@@ -147,7 +152,9 @@ def near_duplicates(
 
 def _linked(source: DataFrame, reps: DataFrame, members: DataFrame, width: int, threshold: int) -> DataFrame:
     """Components (id, component) of the representatives that have a confirmed link."""
-    wanted = stored(members.select("rep").distinct().join(reps.select("rep", "doc_id", "text_hash"), "rep"), "wanted")
+    small = reps.filter(F.col("n_shingles") * threshold <= 100 * (SMALL_SET - 1)).select("rep", "n_shingles")  # with partners
+    used = members.select("rep").union(small.select("rep")).distinct()
+    wanted = stored(used.join(reps.select("rep", "doc_id", "text_hash"), "rep"), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = source.join(wanted, ["doc_id", "text_hash"]).select("rep", "text")
@@ -169,6 +176,10 @@ def _linked(source: DataFrame, reps: DataFrame, members: DataFrame, width: int,
     split = sized.groupBy("band", "bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
     split = stored(split.filter("parts > 1").select("band", "bucket", "main"), "split")
     apart = parts.join(split, ["band", "bucket"]).groupBy("rep", "part").agg(F.max(F.expr("part != main")).alias("outside"))
+    short = small.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "rep", F.coalesce("component", "rep").alias("part"), (F.col("n_shingles") < SMALL_SET).alias("outside")
+    )
+    apart = apart.select("rep", "part", "outside").union(short).groupBy("rep", "part").agg(F.max("outside").alias("outside"))
     apart = stored(apart.join(sets, "rep"), "apart")
     found = tested(_prefix_pairs(apart, threshold))
     return components(links.unionByName(found)) if found.limit(1).count() else labels
