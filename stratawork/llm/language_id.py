@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratawork.llm.text import held_out, steps
+from stratawork.llm.text import held_out, pieces, steps
 
 #: Hashed n-grams of one to GRAMS letters; words are kept apart by one space.
 BUCKETS, GRAMS = 2**15, 3
-#: About so many documents of each language, drawn by a hash of their ids, each up to MOST_CHARS long, fit the weights.
-SAMPLE, MOST_CHARS = 1200, 10_000
+#: About so many documents of each language, drawn by a hash of their ids, fit the weights, MOST_SAMPLE in all. Of longer
+#: texts the fit sees MOST_CHARS, in pieces from all over them.
+SAMPLE, MOST_SAMPLE, MOST_CHARS = 1200, 12_000, 10_000
 #: Every fifth document of the sample is set aside for the temperature.
 ASIDE = 5
 #: Temperatures whose mean log loss differs by less than this are equally good; the highest is taken.
@@ -130,9 +131,10 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float] |
     languages = list(counts)
     bound = F.lit(0.0)
     for language, count in counts.items():
-        bound = F.when(F.col("lang") == language, min(1.0, SAMPLE / count)).otherwise(bound)
+        each = min(SAMPLE, MOST_SAMPLE / len(counts))
+        bound = F.when(F.col("lang") == language, min(1.0, each / count)).otherwise(bound)
     place = F.expr("shiftrightunsigned(xxhash64(doc_id, 5), 32)")
-    sample = learned.filter((place < bound * float(2**32)) & (F.length("text") <= MOST_CHARS)).toArrow()
+    sample = learned.filter(place < bound * float(2**32)).withColumn("text", pieces("text", MOST_CHARS)).toArrow()
     rows = sorted(zip(*(sample.column(name).to_pylist() for name in ("doc_id", "lang", "text"))))
     weights, temperature = _fit(
         [text for _, _, text in rows], [languages.index(lang) for _, lang, _ in rows], len(languages), idf

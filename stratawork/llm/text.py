@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -21,11 +22,28 @@ from stratawork.session import new_folder
 STEP_BYTES = 2_000_000
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; both hold it, and twice that while it grows.
+BATCH_BYTES = 4_000_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Actions inside pass rows to Python workers in batches of BATCH_BYTES; a longer single row is still passed whole."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table once into the shared folder and read it back: a cut of the lineage that outlives lost executors."""
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    df.write.parquet(folder)
+    with small_batches(spark):
+        df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -75,15 +93,15 @@ class Words(NamedTuple):
     end: np.ndarray
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about STEP_BYTES of text, and one row at least."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about `step` bytes of text, and one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         offsets = text_bytes(batch.column(column))[0]
         at = 0
         while at < batch.num_rows:
-            to = int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, "right")) - 1
+            to = int(np.searchsorted(offsets, offsets[at] + step, "right")) - 1
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
@@ -227,6 +245,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def pieces(text: str, most: int, number: int = 5) -> Column:
+    """A text of up to `most` characters, or of a longer one so many pieces, evenly spread over all of it, as long in sum."""
+    size, part = F.length(text), most // number
+    cut = [F.substring(F.col(text), F.floor((size - part) * (k / (number - 1))).cast("int") + 1, F.lit(part)) for k in range(number)]
+    return F.when(size > most, F.concat_ws("\n", *cut)).otherwise(F.col(text))
+
+
 def word_count(text: str = "text") -> Column:
     """Number of words between ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

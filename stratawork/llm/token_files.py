@@ -20,10 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratawork.llm.text import steps
+from stratawork.llm.text import small_batches, steps
 
-#: Words whose ids a worker keeps; the table is emptied when it is full.
-CACHED_WORDS = 500_000
+#: Bytes of words and their ids that a worker keeps, each word counted with its objects; the table is emptied when full.
+CACHED_BYTES, WORD_BYTES = 80_000_000, 200
+#: Bytes of text that are encoded in one step. A longer single text is a step of its own; where words are encoded by
+#: themselves it is cut between words into parts of PART_CHARS.
+STEP_BYTES, PART_CHARS = 500_000, 1_000_000
 #: Documents in a batch that is read back.
 BATCH_DOCS = 4096
 
@@ -33,14 +36,15 @@ _SIGNS = '!"#$%&()*+,./:;<=>?@[\\]^_`{|}~-'
 _MANIFEST = "part int, docs long, tokens long, null_ids long, width int"
 
 
-def _encoder(tokenizer: str, end_id: int, kind: str, by_core: bool = True):
-    """Texts to the bytes of their ids.
+def _encoder(tokenizer: str, end_id: int, kind: str, way: str = "cores"):
+    """Texts to the bytes of their ids, in one of three ways.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its words put
-    together; each worker asks the tokenizers library once for a word and keeps the answer. With `by_core` a word of
-    letters and signs behind them is looked up in these two parts, and new letter runs are encoded in one text, in which
-    tokens that end a word tell them apart.
+    "whole" asks the tokenizers library for every whole text. "words" is for tokenizers that drop white space and never
+    join what it separates, so that a text's ids are those of its words put together; each worker asks for a word once
+    and keeps the answer. With "cores" a word of letters and signs behind them is looked up in these two parts, and new
+    letter runs are encoded in one text, in which tokens that end a word tell them apart.
     """
+    by_core = way == "cores"
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,6 +54,14 @@ def _encoder(tokenizer: str, end_id: int, kind: str, by_core: bool = True):
     code, wide = {2: "H", 4: "I"}[np.dtype(kind).itemsize], np.dtype(kind).itemsize
     known: dict[str, bytes] = {}
     end = array(code, [end_id]).tobytes()
+
+    def whole_texts(texts: list[str]) -> list[bytes]:
+        coded = model.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(code, one.ids).tobytes() + end for one in coded]
+
+    if way == "whole":
+        return whole_texts
+    held = 0
     ends_word = np.zeros(model.get_vocab_size(with_added_tokens=True), bool)
     ends_word[[i for token, i in model.get_vocab().items() if token.endswith("</w>")]] = True
 
@@ -86,28 +98,54 @@ def _encoder(tokenizer: str, end_id: int, kind: str, by_core: bool = True):
             known.update(each(whole))
         known.update([(word, known[core] + known[signs]) for word, core, signs in signed])
 
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > CACHED_WORDS:
+    def encoded(texts: list[str]) -> list[bytes]:
+        nonlocal held
+        if held > CACHED_BYTES:
             known.clear()
+            held = 0
         pieces = [(text.lower() if by_core and plain(text) else text).replace("\n", " ").split(" ") for text in texts]
         coded = [list(map(known.get, words)) for words in pieces]
         new = {word for words, found in zip(pieces, coded) if None in found for word, ids in zip(words, found) if ids is None}
         if new:
+            before = len(known)
             learn(new)
+            held += WORD_BYTES * (len(known) - before) + sum(map(len, new))
             get = known.__getitem__
             coded = [list(map(get, words)) if None in found else found for words, found in zip(pieces, coded)]
-        return [b"".join(found) + end for found in coded]
+        return [b"".join(found) for found in coded]
+
+    def in_parts(text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > PART_CHARS:
+            gaps = [g for g in (text.find(" ", at + PART_CHARS), text.find("\n", at + PART_CHARS)) if g >= 0]
+            if not gaps:
+                break
+            yield text[at : min(gaps)]
+            at = min(gaps) + 1
+        yield text[at:]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if max(map(len, texts), default=0) <= PART_CHARS:
+            return [ids + end for ids in encoded(texts)]
+        return [b"".join(encoded([part])[0] for part in in_parts(text)) + end for text in texts]
 
     return encode
 
 
-def _cuts_at_cores(tokenizer: str) -> bool:
-    """Whether the two ways to encode agree on texts in which they could differ."""
-    probe = ["Words, words and WORDS!! x.y a-b it's don't'' 12a a12 [x] (y) a_b ein größer, Été été. naïve%%% a'' 's", "a" * 40 + ",,, ," * 3]
-    return _encoder(tokenizer, 1, "<u4")(probe) == _encoder(tokenizer, 1, "<u4", False)(probe)
+#: Texts in which the ways to encode differ if they do anywhere.
+_PROBE = (
+    "Words, words and WORDS!! x.y a-b it's don't'' 12a a12 [x] (y) a_b ein größer, Été été. naïve%%% a'' 's", "a" * 40 + ",,, ," * 3,
+    "Hello world  two  spaces\n\nlines\tand tabs ", " leading and trailing ", "日本語 テキスト，中文。 <s> </s> [UNK] <|endoftext|>", "",
+)
+
+
+def _fastest_way(tokenizer: str) -> str:
+    """The quickest way that gives the ids of whole texts for the probe."""
+    wanted = _encoder(tokenizer, 1, "<u4", "whole")(list(_PROBE))
+    return next((way for way in ("cores", "words") if _encoder(tokenizer, 1, "<u4", way)(list(_PROBE)) == wanted), "whole")
 
 
-def _writer(folder: str, tokenizer, end_id: int, kind: str, by_core: bool):
+def _writer(folder: str, tokenizer, end_id: int, kind: str, way: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
@@ -115,9 +153,9 @@ def _writer(folder: str, tokenizer, end_id: int, kind: str, by_core: bool):
         names = [f"{path}/{name}-{part:06d}.bin" for name in ("tokens", "offsets", "docs")]
         encode, files, at, null_ids = None, [], 0, 0
         docs = 0
-        for batch in steps(batches):
+        for batch in steps(batches, step=STEP_BYTES):
             if encode is None:
-                encode = _encoder(tokenizer.value, end_id, kind, by_core)
+                encode = _encoder(tokenizer.value, end_id, kind, way)
                 files = [store.open_output_stream(f"{name}.{attempt}") for name in names]
             coded = encode(batch.column("text").to_pylist())
             files[0].write(b"".join(coded))
@@ -144,7 +182,7 @@ def _writer(folder: str, tokenizer, end_id: int, kind: str, by_core: bool):
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 1) -> DataFrame:
-    """Encode every whole text and write the files; returns the manifest (part, docs, tokens, null_ids, width, base).
+    """Encode every whole text and write the files by any tokenizer of the tokenizers library; returns the manifest (part, docs, tokens, null_ids, width, base).
 
     `folder` must be one that all executors reach. Documents follow each other in ascending doc_id, null ids first and
     repeated ids by text; null texts are empty and hold the end id alone. Ids take 16 bits where the vocabulary allows
@@ -164,7 +202,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
     text = F.coalesce("text", F.lit("")).alias("text")
     ordered = docs.select(F.col("doc_id").cast("long"), text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shared = spark.sparkContext.broadcast(tokenizer)
-    ordered.mapInArrow(_writer(folder, shared, end_id, kind, _cuts_at_cores(tokenizer)), _MANIFEST).write.parquet(f"{folder}/parts")
+    with small_batches(spark):
+        ordered.mapInArrow(_writer(folder, shared, end_id, kind, _fastest_way(tokenizer)), _MANIFEST).write.parquet(f"{folder}/parts")
     parts = spark.read.schema(_MANIFEST).parquet(f"{folder}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     base = F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")

@@ -21,9 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratawork.llm.text import held_out, steps
+from stratawork.llm.text import held_out, pieces, steps
 
-#: The field is fitted on about so many toxic and other documents, drawn by a hash of their ids, each up to MOST_CHARS long.
+#: The field is fitted on about so many toxic and other documents, drawn by a hash of their ids; of longer
+#: texts it sees MOST_CHARS, in pieces from all over them.
 SAMPLE = {1: 1500, 0: 3500}
 MOST_CHARS = 10_000
 #: Sentences in the fit: all that hold a toxic token, and others up to this number.
@@ -318,7 +319,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     place = F.expr("shiftrightunsigned(xxhash64(doc_id, 3), 32)")
     bound = F.when(F.col("toxic") > 0, min(1.0, SAMPLE[1] / counts[1])).otherwise(min(1.0, SAMPLE[0] / counts[0]))
     sample = known.filter(place < bound * float(2**32)).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    texts = docs.filter(F.length("text").between(1, MOST_CHARS)).select(F.col("doc_id").cast("long"), "text")
+    texts = docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("long"), pieces("text", MOST_CHARS).alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic", "doc_id").toArrow()  # about 7500 ids at most
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     texts, toxic = rows.column("text").to_pylist(), rows.column("toxic").to_pylist()

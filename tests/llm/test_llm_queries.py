@@ -69,7 +69,7 @@ def plain_near_duplicates(spark, rows, docs):
 
 
 def plain_decontamination(spark, rows, docs):
-    """Every alignment of every document with every item, scored word by word."""
+    """Every alignment of every document with every item, word by word: ten points, or 80 % of 13 words or of a shorter item."""
     words_of = lambda text: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", (text or "").lower())
     items = {r.item_id: words_of(r.text) for r in read(spark, SF_DIR, "benchmark").collect()}
     where = {}
@@ -80,14 +80,18 @@ def plain_decontamination(spark, rows, docs):
     for r in rows:
         own = words_of(r.text)
         equal = Counter((item, at - k) for at, word in enumerate(own) for item, k in where.get(word, ()))
-        best = 0
+        best = False
         for (item, shift), n in equal.items():
-            if n >= min(10, len(items[item])) and len(items[item]) >= 8:
-                now = 0
-                for k, word in enumerate(items[item]):
-                    if 0 <= k + shift < len(own):
-                        now = max(0, now + (1 if own[k + shift] == word else -2))
-                        best = max(best, now >= min(10, len(items[item])))
+            wanted, size = items[item], len(items[item])
+            if n < min(10, size) and 100 * n < 80 * min(size, 13):
+                continue
+            same = [own[k + shift] == word for k, word in enumerate(wanted) if 0 <= k + shift < len(own)]
+            now = 0
+            for equal_word in same:  # ten points, or every word of a shorter item
+                now = max(0, now + (1 if equal_word else -2))
+                best = best or now >= min(10, size)
+            windows = range(max(len(same) - 12, 1)) if size >= 8 else ()
+            best = best or any(100 * sum(same[i : i + 13]) >= 80 * min(size, 13) for i in windows)
         if not best:
             clean.append(r.doc_id)
     return sorted(clean)
