@@ -648,8 +648,12 @@ def recomputed_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The models of one landed manifest that holds the nodes of all parts in one document."""
     folder = new_folder(spark, "manifest")
-    nodes = _manifests(spark, sf_dir).select(F.explode("nodes").alias("id", "node"))
-    member = F.concat(F.lit('"'), "id", F.lit('":'), "node")
-    document = F.concat(F.lit('{"metadata":{"project":"shop"},"nodes":{'), F.listagg(member, F.lit(",")), F.lit("}}"))
-    nodes.agg(document.alias("value")).write.text(folder)
-    return manifest_node_rows(read_manifests(spark, folder), "model", "inv-1", STARTED, with_all_results=False)
+    nodes = _manifests(spark, sf_dir).select(F.explode("nodes").alias("id", "node")).withColumn("n", F.monotonically_increasing_id())
+    comma = F.when(F.col("n") > nodes.agg(F.min("n")).scalar(), ",").otherwise("")
+    members = nodes.select(F.concat(comma, F.lit('"'), "id", F.lit('":'), "node").alias("value"))
+    first, last = (
+        spark.range(0, 1, 1, 1).select(F.lit(text).alias("value")) for text in ('{"metadata":{"project":"shop"},"nodes":{', "}}")
+    )
+    first.unionAll(members).unionAll(last).write.text(folder)  # files in the order of the union, each some lines of the document
+    manifests = read_manifests(spark, folder, pieces=True)
+    return manifest_node_rows(manifests, "model", "inv-1", STARTED, with_all_results=False)

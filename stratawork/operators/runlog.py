@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import blank_to_null, try_int
 from ..schemas import METADATA, NODE
+from ..sources.documents import read_json_members
 from .write import write_table
 
 EXECUTION_KINDS = ("model", "seed", "snapshot", "test")
@@ -101,10 +102,13 @@ def node_rows(
 _GROUPS = {"source": "sources", "exposure": "exposures"}
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest documents, one for each file: file, document (a variant). A file that is no JSON fails."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("document"))
+def read_manifests(spark: SparkSession, path: str, pieces: bool = False) -> DataFrame:
+    """Manifest documents, one for each file, member by member: file, document (a variant). A file that is no JSON fails.
+
+    Each row is the document with one node only (`read_json_members`), so that neither a task nor a row holds a whole one.
+    With `pieces` the files of a folder are one document.
+    """
+    return read_json_members(spark, path, pieces).select("file", F.parse_json("document").alias("document"))
 
 
 def manifest_node_rows(
@@ -116,8 +120,8 @@ def manifest_node_rows(
 ) -> DataFrame:
     """Like `node_rows`, from whole documents as `read_manifests` gives them.
 
-    A document is parsed once, and its nodes become rows by a lateral explosion of the variant, so that they are dealt out
-    before they are typed. all_results is the node as compact JSON with its keys in order.
+    Each node is parsed once and becomes a row by a lateral explosion of its variant; they are dealt out before they are
+    typed. all_results is the node as compact JSON with its keys in order.
     """
     group = _GROUPS.get(kind, "nodes")
     stamped = manifests.select(

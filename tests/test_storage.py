@@ -226,6 +226,53 @@ def test_one_manifest_of_five_thousand_nodes(spark, tmp_path):
     assert manifest_node_rows(manifests, "source", "inv", datetime(2024, 1, 1)).count() == 0
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Tasks that read 300 bytes of a file each."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 300)
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_manifest_is_read_in_blocks_and_comes_node_by_node(spark, tmp_path, small_blocks):
+    odd = 'a,"b\\"{[,' + "\n]},é"
+    node = lambda k: {"resource_type": "model", "name": odd + str(k), "tags": [odd, f"t{k}"], "config": {"meta": {odd: [k, {"x": [odd]}]}}}
+    whole = {odd: odd, "nodes": {f"{odd}{k}": node(k) for k in range(40)}, "long": {"text": "x,y" * 500}, "list": [[1, 2], {"a": 3}, "b"], "none": {}, "last": 7.5}
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "m.json").write_text(json.dumps(whole))
+    (tmp_path / "lines").mkdir()
+    lines = json.dumps(whole, indent=1).split("\n")
+    for k in range(0, len(lines), 50):
+        (tmp_path / "lines" / f"part-{k:05d}").write_text("".join(f"{x}\n" for x in lines[k : k + 50]))
+    for folder, pieces in (("one", False), ("lines", True)):
+        manifests = read_manifests(spark, str(tmp_path / folder), pieces)
+        each = [json.loads(x[0]) for x in manifests.select(F.to_json("document")).collect()]
+        assert len(each) == 47 and all(len(x) == 1 for x in each)
+        assert all(len(x["nodes"]) == 1 for x in each if "nodes" in x)
+        assert sorted(json.dumps(v) for x in each for v in x.get("list", [])) == ['"b"', "[1, 2]", '{"a": 3}']
+        assert all({k: v} in each for k, v in whole.items() if k not in ("nodes", "list"))
+        rows = manifest_node_rows(manifests, "model", "inv", datetime(2024, 1, 1)).collect()
+        assert {r.node_id: json.loads(r.all_results) for r in rows} == whole["nodes"] and len(rows) == 40
+        assert {r.node_id: (r.name, r.tags, json.loads(r.meta)) for r in rows} == {
+            k: (v["name"], v["tags"], v["config"]["meta"]) for k, v in whole["nodes"].items()
+        }
+    assert {x.file.rsplit("/", 1)[1] for x in manifests.select("file").distinct().collect()} == {"lines"}
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        '{"nodes": {"a": {}}', '{"nodes": {"a": "x}}', '{"nodes": {"a": {}],"b": 2}', '{"nodes": {"a": {},}}', '{"nodes": {"a": {}},}', '{,"nodes": {}}',
+        '{"nodes": {"a": {},,"b": {}}}', '{"nodes": {,"a": {}}}', '{"nodes": {"a": {}, 5}}', '{"nodes": {"a": {}} "b": 1}', '{"nodes": {"a": {}, "\\u0061": {}}}',
+        '{"nodes": {"a": {}}, "nodes": {"b": {}}}', '{"nodes": {"a": {"b": 1, "b": 2}}}', '{}}, {{', "\n",
+    ],
+)
+def test_a_manifest_that_is_no_json_fails(spark, tmp_path, text):
+    (tmp_path / "m.json").write_text(text)
+    with pytest.raises(Exception, match="MALFORMED|no JSON|twice"):
+        read_manifests(spark, str(tmp_path)).collect()
+
+
 # Keys ----------------------------------------------------------------------------------------------------------------
 
 
